@@ -10,14 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name -> module that defines ``query(spark, sf_dir)`` and, where SQL can express it, ``ORACLE_SQL``.
 MODULES = {
     "op1_packing": "packing",
-    "op2_sharding": "sharding",
-    "op3_topk_search": "topk",
-    "op4_pii": "pii",
-    "op5_quality_rules": "rules",
-    "op6_quality_classifier": "discriminant",
-    "op7_language_id": "language",
     "op8_token_counts": "tokens",
-    "op9_mixing": "mixing",
     "op10_simhash": "simhash",
 }
 
