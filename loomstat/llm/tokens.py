@@ -14,6 +14,7 @@ are counted each; an empty table gives no rows; other columns are not carried.
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterator
 from itertools import chain
@@ -127,12 +128,18 @@ class TokenCounter:
         return [n + sum(map(lookup.__getitem__, words)) for n, words in zip(extra, split)]
 
 
+@functools.lru_cache(maxsize=2)
+def token_counter(path: str) -> TokenCounter:
+    """One for each Python worker, so that its tasks share what it remembers."""
+    return TokenCounter(path)
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of each row of ``docs`` (doc_id, text)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter(tokenizer_path)
+        counter = token_counter(tokenizer_path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             sizes = batch.column(2).to_pylist()
