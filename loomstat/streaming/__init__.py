@@ -1,0 +1 @@
+"""Profiles of panels that arrive in parts."""
