@@ -1,20 +1,50 @@
-"""The corpus pipeline: language ID, near-duplicates, personal data, mixing, packing."""
+"""The corpus pipeline: language ID, near-duplicates, personal data, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir), docs being what the stage before returned, and works on
+all of it. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstat.llm import packing
+from loomstat.llm import language, mixing, packing, pii, simhash
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told by compression with a clear margin; the rest goes."""
+    return language.accepted(docs, language.dictionaries(docs))
+
+
+def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates by 5-word shingles."""
+    return simhash.deduplicated(docs, shingle=5)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind in brackets."""
+    return pii.redacted(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed(docs)
 
 
-def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens, none of which crosses documents."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("packing", pack_stage)]
+STAGES = [
+    ("language_id", language_stage),
+    ("near_duplicates", duplicates_stage),
+    ("pii", pii_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 
 #: Classification by compression, fingerprints and tokenizers are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
