@@ -57,13 +57,15 @@ def _bracketed(long: DataFrame, probabilities: list[float], by: list[str]) -> Da
     brackets = sketch.select(*(F.col(c).alias(f"_{c}") for c in by), "n", F.inline(wanted))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
     # one row for each group and probability: a size given by the catalogue, not by the rows
-    met = values.join(F.broadcast(brackets), [*same, F.col("value") <= F.col("high")] if by else F.col("value") <= F.col("high"))
-    held = F.when(F.col("value") >= F.col("low"), F.col("value"))
-    counted = met.groupBy(*by, "k", "p", "n", held.alias("held")).agg(F.count("*").alias("m"))
-    order = Window.partitionBy(*by, "k").orderBy(F.col("held").asc_nulls_first())
-    upto = counted.withColumn("upto", F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    met = values.join(F.broadcast(brackets), same) if by else values.crossJoin(F.broadcast(brackets))
+    # what lies below a bracket, and what lies above, is one entry each: its value next to the bracket
+    held = F.when(F.col("value") < F.col("low"), float("-inf")).when(F.col("value") > F.col("high"), float("inf")).otherwise(F.col("value"))
+    counted = met.groupBy(*by, "k", "p", "n", held.alias("held")).agg(F.count("*").alias("m"), F.min("value").alias("least"), F.max("value").alias("most"))
+    edge = F.when(F.col("held") == float("-inf"), F.col("most")).otherwise(F.col("least"))
+    order = Window.partitionBy(*by, "k").orderBy("held")
+    upto = counted.withColumn("edge", edge).withColumn("upto", F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     place = F.col("p") * (F.col("n") - 1)
-    at = lambda rank: F.min(F.when((F.col("upto") > rank) & F.col("held").isNotNull(), F.col("held")))
+    at = lambda rank: F.min_by("edge", F.when(F.col("upto") > rank, F.col("held")))
     picked = upto.groupBy(*by, "k", "p", "n").agg(at(F.floor(place)).alias("a"), at(F.ceil(place)).alias("b"))
     value = F.col("a") + (F.col("b") - F.col("a")) * (place - F.floor(place))
     gathered = picked.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", value.alias("v")))).alias("all"))
