@@ -69,11 +69,18 @@ def _neighbours(values: np.ndarray, block: int) -> np.ndarray:
     return np.concatenate(done)
 
 
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of each row's k highest scores, ties to smaller ids."""
+    if scores.dtype == object:
+        return np.array([sorted(range(len(s)), key=lambda c: (-s[c], i[c]))[:k] for s, i in zip(scores, ids)])
+    return np.lexsort((ids, -scores), axis=1)[:, :k]
+
+
 class Blocks:
     """A chunk's candidates in blocks, with each block's term maxima and minima."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray, block: int):
-        order = _neighbours(values, block)
+        order = _neighbours(values.astype(np.float64), block)
         self.ids, self.values = ids[order], values[order]
         self.starts = np.arange(0, len(ids), block)
         self.ends = np.append(self.starts[1:], len(ids))
@@ -108,7 +115,7 @@ class Blocks:
                     got[ids[None, :] == query_ids[rows, None]] = -np.inf
                 every = np.concatenate([scores[rows], got], axis=1)
                 every_id = np.concatenate([found[rows], np.broadcast_to(ids, got.shape)], axis=1)
-                best = np.lexsort((every_id, -every), axis=1)[:, :k]
+                best = _best(every, every_id, k)
                 scores[rows] = np.take_along_axis(every, best, 1)
                 found[rows] = np.take_along_axis(every_id, best, 1)
         return scores, found
