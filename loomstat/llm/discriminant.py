@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, id_crc, table
+from .packing import strides
 
 #: Weight of the pooled diagonal in a class covariance, and the least variance of a standardised statistic.
 SHRINKAGE, FLOOR = 0.1, 1e-2
@@ -83,7 +84,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [statistics(t or b"") for t in batch.column(1).to_pylist()]
+            found = [statistics(t or b"") for _, texts in strides(batch.column(1)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], ["doc_id", "x"])
 
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(rows, f"doc_id {id_type}, x array<double>")

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_crc, table
+from .packing import strides
 
 UNKNOWN = "und"
 #: Bytes of a language's dictionary.
@@ -114,7 +115,7 @@ def classified(docs: DataFrame, learned: dict[str, bytes]) -> DataFrame:
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = Compressors(learned)
         for batch in batches:
-            rows = [(UNKNOWN, 0.0, True) if t is None else compressors.classify(t) for t in batch.column(1).to_pylist()]
+            rows = [(UNKNOWN, 0.0, True) if t is None else compressors.classify(t) for _, texts in strides(batch.column(1)) for t in texts]
             columns = zip(*rows) if rows else ([], [], [])
             types = (pa.string(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], ["doc_id", "lang_pred", "score", "rejected"])
@@ -128,8 +129,8 @@ def accepted(docs: DataFrame, learned: dict[str, bytes]) -> DataFrame:
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = Compressors(learned)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            keep = [t is not None and not compressors.classify(t)[2] for t in texts]
+            told = strides(batch.column(batch.num_columns - 1))
+            keep = [t is not None and not compressors.classify(t)[2] for _, texts in told for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_())).select(range(batch.num_columns - 1))
 
     return docs.select("*", letters().cast("binary")).mapInArrow(passed, docs.schema)

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +29,10 @@ from .common import table
 
 #: Words longer than this many bytes are tokenized each time, not remembered.
 LONGEST_KEPT = 48
-#: Words that each of a Python worker's two generations of memory holds (about 80 MB each).
-MOST_KEPT = 400_000
+#: Words that each of a Python worker's two generations of memory holds (about 30 MB each).
+MOST_KEPT = 200_000
 #: Bytes of text tokenized in one go.
-STRIDE = 4 << 20
+STRIDE = 2 << 20
 
 
 def _classes() -> np.ndarray:
@@ -121,16 +122,16 @@ def piece_lengths(n: int, seq_len: int) -> list[int]:
     return [seq_len] * (n // seq_len) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def strides(texts: list[bytes], most: int = STRIDE) -> Iterator[slice]:
-    """Slices of ``texts`` with about ``most`` bytes each."""
+def strides(column: pa.Array, most: int = STRIDE) -> Iterator[tuple[int, list]]:
+    """The texts of a column in stretches of about ``most`` bytes, each with its first row: few are held as Python objects at a time."""
     start = total = 0
-    for k, t in enumerate(texts):
-        total += len(t)
+    for k, size in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        total += size
         if total >= most:
-            yield slice(start, k + 1)
+            yield start, column.slice(start, k + 1 - start).to_pylist()
             start, total = k + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
+    if start < len(column):
+        yield start, column.slice(start).to_pylist()
 
 
 def pack(
@@ -154,10 +155,9 @@ def pack(
         tokenizer = word_tokenizer(tokenizer_path)
         for batch in batches:
             ids = batch.column(0)
-            texts = [t or b"" for t in batch.column(1).to_pylist()]
-            for part in strides(texts):
+            for first, texts in strides(batch.column(1)):
                 row, start, length, crc, total, own = [], [], [], [], [], []
-                for k, doc in enumerate(tokenizer.encode(texts[part]), part.start):
+                for k, doc in enumerate(tokenizer.encode([t or b"" for t in texts]), first):
                     doc += end
                     n, at = len(doc) // 4, 0
                     view = memoryview(doc)

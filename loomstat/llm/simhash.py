@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, fresh, table
 from .components import components
+from .packing import strides
 
 BITS = 64
 SEED = 42
@@ -60,7 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t or b"", shingle) for t in batch.column(2).to_pylist()]
+            found = [fingerprint(t or b"", shingle) for _, texts in strides(batch.column(2)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["doc_id", "text_hash", "fp"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary")).mapInArrow(
