@@ -122,15 +122,15 @@ class Blocks:
 
 
 def _search_chunk(candidates: pd.DataFrame, queries: pd.DataFrame, k: int, block: int) -> pd.DataFrame:
-    width = max(max(map(len, candidates["value"])), max(map(len, queries["value"])), 1)
-    values, wanted = _matrix(candidates["value"], width), _matrix(queries["value"], width)
+    width = max(max(map(len, candidates["value"])), max(map(len, queries["weights"])), 1)
+    values, wanted = _matrix(candidates["value"], width), _matrix(queries["weights"], width)
     most = [max(abs(int(m.min())), abs(int(m.max()))) for m in (values, wanted)]
     kind = np.float64 if width * most[0] * most[1] < EXACT else object  # object: Python's unbounded integers
     blocks = Blocks(candidates["vec_id"].to_numpy(np.int64), values.astype(kind), block)
-    scores, ids = blocks.search(queries["vec_id"].to_numpy(np.int64), wanted.astype(kind), k)
+    scores, ids = blocks.search(queries["query_id"].to_numpy(np.int64), wanted.astype(kind), k)
     real = np.flatnonzero((scores != -np.inf).ravel())
     flat = [min(max(int(s), _LEAST), _MOST) for s in scores.ravel()[real]]
-    return pd.DataFrame({"query": np.repeat(queries["query"].to_numpy(), k)[real], "query_id": np.repeat(queries["vec_id"].to_numpy(), k)[real], "vec_id": ids.ravel()[real], "score": np.array(flat, np.int64)})
+    return pd.DataFrame({"query": np.repeat(queries["query"].to_numpy(), k)[real], "query_id": np.repeat(queries["query_id"].to_numpy(), k)[real], "vec_id": ids.ravel()[real], "score": np.array(flat, np.int64)})
 
 
 def top_k(
@@ -148,14 +148,16 @@ def top_k(
     each = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     dealt = lambda n, name: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int").alias(name)
     candidates = vectors.select("vec_id", "value", dealt(chunks, "chunk")).select("*", each(groups, "group"))
-    wanted = queries.select("query", "vec_id", "value", dealt(groups, "group")).select("*", each(chunks, "chunk"))
+    # other names, so that no column is one of the candidates' where both come from one table
+    renamed = queries.select("query", F.col("vec_id").alias("query_id"), F.col("value").alias("weights"), dealt(groups, "query_group"))
+    wanted = renamed.select("*", each(chunks, "query_chunk"))
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"query": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
         return _search_chunk(a, b, k, block)
 
-    found = candidates.groupBy("chunk", "group").cogroup(wanted.groupBy("chunk", "group")).applyInPandas(search, "query long, query_id long, vec_id long, score long")
+    found = candidates.groupBy("chunk", "group").cogroup(wanted.groupBy("query_chunk", "query_group")).applyInPandas(search, "query long, query_id long, vec_id long, score long")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
