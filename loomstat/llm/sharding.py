@@ -52,11 +52,11 @@ class Node:
     def leaves(self) -> list[Node]:
         return [self] if self.left is None else self.left.leaves() + self.right.leaves()
 
-    def route(self, value) -> Column:
-        """For each row, ``value(leaf)`` of the leaf it lies in."""
+    def route(self) -> str:
+        """SQL for the number of the leaf that a row lies in: the first of its shards."""
         if self.left is None:
-            return value(self)
-        return F.when(F.col(f"key{self.dimension}") < F.lit(self.threshold), self.left.route(value)).otherwise(self.right.route(value))
+            return str(self.first)
+        return f"CASE WHEN key{self.dimension} < {self.threshold}L THEN {self.left.route()} ELSE {self.right.route()} END"
 
 
 def _hashed_value(col: Column) -> Column:
@@ -69,26 +69,29 @@ def _scaled_log(col: Column) -> Column:
     return (F.log2(F.coalesce(col, F.lit(0)) + 1.0) * (1 << 25)).cast("long")
 
 
-def _medians(points: DataFrame, root: Node, open_nodes: list[Node]) -> None:
+def _medians(points: DataFrame, root: Node, open_nodes: list[Node], dimensions: int) -> None:
     """Set each open node's threshold, narrowing brackets of all of them together."""
     seeking = list(open_nodes)
     while seeking:
-        by_first = {n.first: n for n in seeking}
-        one = lambda f: root.route(lambda n: f(n) if n.first in by_first and n.left is None else F.lit(None).cast("long"))
-        key = one(lambda n: F.col(f"key{n.dimension}"))
-        low, high = one(lambda n: F.lit(n.low).cast("long")), one(lambda n: F.lit(n.high).cast("long"))
-        step = one(lambda n: F.lit((n.high - n.low) // BINS + 1).cast("long"))
-        inside = points.select(one(lambda n: F.lit(n.first).cast("long")).alias("node"), key.alias("key"), low.alias("low"), high.alias("high"), step.alias("step"), "size")
-        inside = inside.filter(F.col("node").isNotNull() & F.col("key").between(F.col("low"), F.col("high")))
+        own = {n.first: n for n in seeking}
+        by_node = lambda f, rest: f"element_at(array({', '.join(str(f(own[k]) if k in own else rest) + 'L' for k in range(root.shards))}), node + 1)"
+        key = f"element_at(array({', '.join(f'key{d}' for d in range(dimensions))}), int({by_node(lambda n: n.dimension + 1, 1)}))"
+        low, step = by_node(lambda n: n.low, 1), by_node(lambda n: (n.high - n.low) // BINS + 1, 1)
+        placed = points.selectExpr("*", f"{root.route()} AS node")
+        keyed = placed.selectExpr("node", "size", f"{key} AS key", f"{low} AS low", f"{by_node(lambda n: n.high, 0)} AS high", f"{step} AS step")
         bins = (
-            inside.groupBy("node", F.expr("(key - low) div step").alias("bin"))
+            keyed.filter("key BETWEEN low AND high")  # a node that is not sought has none
+            .groupBy("node", F.expr("(key - low) div step").alias("bin"))
             .agg(F.sum("size").alias("size"), F.min("key").alias("low"), F.max("key").alias("high"))
             .collect()
         )
+        by_bin: dict[int, list] = {}
+        for b in sorted(bins, key=lambda b: b["bin"]):
+            by_bin.setdefault(b["node"], []).append(b)
         left = []
         for n in seeking:
             below = n.below
-            for b in sorted((b for b in bins if b["node"] == n.first), key=lambda b: b["bin"]):
+            for b in by_bin[n.first]:
                 if below + b["size"] >= n.aim or b["high"] == n.high:
                     break
                 below += b["size"]
@@ -106,7 +109,7 @@ def kd_tree(points: DataFrame, shards: int, dimensions: int) -> Node:
     spans: list[int] = []
     while open_nodes := [n for n in root.leaves() if n.shards > 1]:
         keys = [f(f"key{d}").alias(f"{f.__name__}{d}") for d in range(dimensions) for f in (F.min, F.max)]
-        stats = {r["node"]: r for r in points.groupBy(root.route(lambda n: F.lit(n.first)).alias("node")).agg(F.sum("size").alias("size"), *keys).collect()}
+        stats = {r["node"]: r for r in points.groupBy(F.expr(root.route()).alias("node")).agg(F.sum("size").alias("size"), *keys).collect()}
         sought = []
         for n in open_nodes:
             n_left = n.shards // 2
@@ -118,7 +121,7 @@ def kd_tree(points: DataFrame, shards: int, dimensions: int) -> Node:
                 n.low, n.high = ends[n.dimension]
                 n.below, n.aim = 0, r["size"] * n_left / n.shards
                 sought.append(n)
-        _medians(points, root, sought)
+        _medians(points, root, sought, dimensions)
         for n in open_nodes:
             n_left = n.shards // 2
             n.left, n.right = Node(n.first, n_left), Node(n.first + n_left, n.shards - n_left)
@@ -145,7 +148,7 @@ def sharded(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | No
         total = points.agg(F.sum("size")).first()[0] or 0
         shards = max(1, -(-total // max(1, target_bytes or 1)))
     tree = kd_tree(points, shards, 3)
-    placed = points.select("doc_id", "size", "text_crc32", tree.route(lambda n: F.lit(n.first)).cast("int").alias("shard"), (F.col("key2").bitwiseAND((1 << LOW) - 1)).alias("low"))
+    placed = points.select("doc_id", "size", "text_crc32", F.expr(tree.route()).cast("int").alias("shard"), (F.col("key2").bitwiseAND((1 << LOW) - 1)).alias("low"))
     ranked = globally_ranked(placed, ["shard", "low", "doc_id"], "rank")
     counts = {r[0]: r[1] for r in ranked.groupBy("shard").count().collect()}
     starts, before = [], 0
