@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: What lies between words.
 GAP = r"[\x20\x09-\x0D]+"
 
+#: Bytes of text held as Python objects in one go.
+STRIDE = 2 << 20
+
 _ROW_BITS = 33  # monotonically_increasing_id: partition in the upper bits, row in the lower 33
 
 
@@ -76,3 +82,15 @@ def globally_ranked(df: DataFrame, keys: list[str], rank: str) -> DataFrame:
         before += counts.get(k, 0)
     start = F.element_at(F.lit(offsets or [0]).cast("array<bigint>"), part + 1)
     return ordered.withColumn(rank, row + start).drop(place)
+
+
+def strides(column: pa.Array, most: int = STRIDE) -> Iterator[tuple[int, list]]:
+    """The texts of a column in stretches of about ``most`` bytes, each with its first row: few are held as Python objects at a time."""
+    start = total = 0
+    for k, size in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        total += size
+        if total >= most:
+            yield start, column.slice(start, k + 1 - start).to_pylist()
+            start, total = k + 1, 0
+    if start < len(column):
+        yield start, column.slice(start).to_pylist()

@@ -26,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_crc, table
-from .packing import strides
+from .common import checkpointed, id_crc, strides, table
 
 #: Weight of the pooled diagonal in a class covariance, and the least variance of a standardised statistic.
 SHRINKAGE, FLOOR = 0.1, 1e-2

@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_crc, table
-from .packing import strides
+from .common import id_crc, strides, table
 
 UNKNOWN = "und"
 #: Bytes of a language's dictionary.

@@ -25,9 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh
+from .common import checkpointed, fresh, strides
 from .components import components
-from .packing import strides
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Short fingerprints of a text, two from each 64-bit hash, and their bits: random texts of a corpus of N meet N * 529 / 2**BITS others in each.

@@ -15,25 +15,24 @@ gives no pieces; other columns of the input are not carried.
 from __future__ import annotations
 
 import functools
+import json
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import strides, table
+from .merging import RankMerger
 
 #: Words longer than this many bytes are tokenized each time, not remembered.
 LONGEST_KEPT = 48
 #: Words that each of a Python worker's two generations of memory holds (about 30 MB each).
 MOST_KEPT = 200_000
-#: Bytes of text tokenized in one go.
-STRIDE = 2 << 20
-
 
 def _classes() -> np.ndarray:
     """1: ASCII lower-case letters; 2: other ASCII but white space and the apostrophe; 0: the rest."""
@@ -44,12 +43,21 @@ def _classes() -> np.ndarray:
     return kinds
 
 
+def _is_plain(word: bytes) -> bool:
+    """Whether the tokenizer takes the word as it is, in one piece: lower-case Latin letters in composed form only."""
+    if word.isalpha():  # ASCII letters only
+        return word.islower()
+    text = word.decode("utf-8", "replace")
+    return text.isalpha() and max(text) < "\u0250" and text == text.lower() and unicodedata.is_normalized("NFC", text)
+
+
 class WordTokenizer:
     """Ids of texts under a lower-casing tokenizer that splits at white space and between ASCII
     letters and other ASCII signs (but for the apostrophe), and never merges across.
 
     Under such a tokenizer a text's ids are the ids of those parts, one after the other, so a
-    part that comes again is not given to the library again.
+    part that comes again is not tokenized again. New words of Latin letters merge together in
+    arrays, which gives the library's ids; all else goes to the library.
     """
 
     def __init__(self, path: str):
@@ -60,28 +68,23 @@ class WordTokenizer:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.kinds = _classes()
-        vocabulary = self.library.get_vocab(with_added_tokens=True)
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends_word[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+        with open(path, encoding="utf-8") as file:
+            self.merger = RankMerger(json.load(file)["model"])
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         found = {}
-        texts = [w.decode("utf-8", "replace") for w in words]
-        plain = [(w, t) for w, t in zip(words, texts) if t.isalpha()]
-        other = [(w, t) for w, t in zip(words, texts) if not t.isalpha()]
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            # a word of letters ends with the one token that says so: many go in one text
-            ids = np.array(self.library.encode(" ".join(t for _, t in some), add_special_tokens=False).ids, "<u4")
-            ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
-            if len(ends) == len(some):
-                data = ids.tobytes()
-                found.update((w, data[a:b]) for (w, _), a, b in zip(some, [0, *ends], ends))
-            else:
-                other += some
+        plain, other = [], []
+        for w in words:
+            (plain if _is_plain(w) else other).append(w)
+        for at in range(0, len(plain), 1 << 14):
+            some = plain[at : at + (1 << 14)]
+            ids, sizes = self.merger.merged(some)
+            data, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+            found.update((w, data[a:b]) for w, a, b in zip(some, [0, *ends], ends))
         for at in range(0, len(other), 4096):
             some = other[at : at + 4096]
-            for (w, _), e in zip(some, self.library.encode_batch_fast([t for _, t in some], add_special_tokens=False)):
+            texts = [w.decode("utf-8", "replace") for w in some]
+            for w, e in zip(some, self.library.encode_batch_fast(texts, add_special_tokens=False)):
                 found[w] = np.array(e.ids, "<u4").tobytes()
         return found
 
@@ -122,18 +125,6 @@ def piece_lengths(n: int, seq_len: int) -> list[int]:
     return [seq_len] * (n // seq_len) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def strides(column: pa.Array, most: int = STRIDE) -> Iterator[tuple[int, list]]:
-    """The texts of a column in stretches of about ``most`` bytes, each with its first row: few are held as Python objects at a time."""
-    start = total = 0
-    for k, size in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
-        total += size
-        if total >= most:
-            yield start, column.slice(start, k + 1 - start).to_pylist()
-            start, total = k + 1, 0
-    if start < len(column):
-        yield start, column.slice(start).to_pylist()
-
-
 def pack(
     docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int = 1, with_ids: bool = False
 ) -> DataFrame:

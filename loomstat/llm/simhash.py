@@ -26,9 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, table
+from .common import checkpointed, fresh, strides, table
 from .components import components
-from .packing import strides
 
 BITS = 64
 SEED = 42

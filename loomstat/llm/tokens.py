@@ -19,13 +19,12 @@ import json
 from collections.abc import Iterator
 from itertools import chain
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .packing import strides
+from .common import strides, table
+from .merging import RankMerger
 
 #: Fixed value: how byte-level BPE splits text into pre-tokens.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -33,61 +32,6 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LONGEST_KEPT = 48
 #: Pre-tokens that each of a Python worker's two generations of memory holds (about 30 MB each).
 MOST_KEPT = 200_000
-#: Bytes of text counted in one go.
-STRIDE = 2 << 20
-
-_NEVER = np.iinfo(np.int64).max
-
-
-def byte_letters() -> list[str]:
-    """The letter by which byte-level vocabularies write each byte: itself if it prints, else from U+0100 on."""
-    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = iter(range(0x100, 0x200))
-    return [chr(b) if b in prints else chr(next(others)) for b in range(256)]
-
-
-class RankMerger:
-    """Merges of a byte-level BPE as sorted arrays, applied to many sequences at a time."""
-
-    def __init__(self, vocab: dict[str, int], merges: list[list[str]]):
-        self.first = np.array([vocab[c] for c in byte_letters()], np.int64)
-        self.width = max(vocab.values()) + 1
-        pairs = np.array([vocab[a] * self.width + vocab[b] for a, b in merges], np.int64)
-        made = np.array([vocab[a + b] for a, b in merges], np.int64)
-        order = np.argsort(pairs, kind="stable")
-        self.pairs, self.rank, self.made = pairs[order], order.astype(np.int64), made[order]
-
-    def counts(self, sequences: list[bytes]) -> np.ndarray:
-        """Symbols that survive in each sequence."""
-        sizes = np.array([len(s) for s in sequences], np.int64)
-        result = np.zeros(len(sequences), np.int64)
-        owner = np.flatnonzero(sizes)  # the sequence that each active run of ids belongs to
-        ids = self.first[np.frombuffer(b"".join(sequences), np.uint8)]
-        sizes = sizes[owner]
-        while len(owner):
-            starts = np.cumsum(sizes) - sizes
-            run = np.repeat(np.arange(len(owner)), sizes)
-            key = ids[:-1] * self.width + ids[1:]
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            known = (self.pairs[at] == key) & (run[1:] == run[:-1])
-            rank = np.full(len(ids), _NEVER)
-            rank[:-1][known] = self.rank[at[known]]
-            lowest = np.minimum.reduceat(rank, starts)
-            merge = np.flatnonzero((rank == lowest[run]) & (rank < _NEVER))
-            # of pairs that overlap (one symbol repeated), every second one merges
-            if len(merge):
-                new = np.concatenate(([True], np.diff(merge) != 1))
-                begin = np.flatnonzero(new)
-                since = np.arange(len(merge)) - np.repeat(begin, np.diff(np.append(begin, len(merge))))
-                merge = merge[since % 2 == 0]
-                ids[merge] = self.made[at[merge]]
-            alive = lowest < _NEVER
-            result[owner[~alive]] = sizes[~alive]
-            keep = alive[run]
-            keep[merge + 1] = False
-            sizes = sizes - np.bincount(run[merge], minlength=len(owner))
-            ids, sizes, owner = ids[keep], sizes[alive], owner[alive]
-        return result
 
 
 class TokenCounter:
@@ -98,8 +42,7 @@ class TokenCounter:
 
         with open(path, encoding="utf-8") as file:
             said = json.load(file)
-        merges = [m if isinstance(m, list) else m.split(" ") for m in said["model"]["merges"]]
-        self.merger = RankMerger(said["model"]["vocab"], merges)
+        self.merger = RankMerger(said["model"])
         special = sorted((t["content"] for t in said["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.find = regex.compile(PRE_TOKEN).findall
@@ -107,7 +50,7 @@ class TokenCounter:
         self.old: dict[str, int] = {}
 
     def _merged(self, words: list[str]) -> dict[str, int]:
-        return dict(zip(words, self.merger.counts([w.encode() for w in words]).tolist()))
+        return dict(zip(words, self.merger.merged([w.encode() for w in words])[1].tolist()))
 
     def count(self, texts: list[str]) -> list[int]:
         split, extra = [], []
@@ -142,7 +85,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
         counter = token_counter(tokenizer_path)
         for batch in batches:
             found: list[int] = []
-            for _, texts in strides(batch.column(1), STRIDE):
+            for _, texts in strides(batch.column(1)):
                 found += counter.count(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
