@@ -49,14 +49,12 @@ def _rounded(df: DataFrame, places: int = 4) -> DataFrame:
 
 
 def readings_panel(spark: SparkSession, sf_dir: str, flags: bool = False) -> DataFrame:
-    """One row a customer with up to three readings: mean price of urgent orders of status F, O and P.
-
-    One aggregate of the orders feeds all three: they share its shuffle.
-    """
-    urgent = _t(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
-    reading = lambda r, status: urgent.filter(F.col("o_orderstatus") == status).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg("o_totalprice").alias(r))
+    """One row a customer with up to three readings: mean price of urgent orders of status F, O and P, all from one aggregate."""
+    urgent = _t(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT' and o_orderstatus in ('F', 'O', 'P')")
+    means = (F.avg(F.when(F.col("o_orderstatus") == s, F.col("o_totalprice"))).alias(r) for r, s in zip(READINGS, "FOP"))
+    readings = urgent.groupBy(F.col("o_custkey").alias("c_custkey")).agg(*means)
     customers = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
-    return panel.left_join_chain(customers, {r: reading(r, s) for r, s in zip(READINGS, "FOP")}, "c_custkey", flags)
+    return panel.left_join_chain(customers, {"readings": readings}, "c_custkey", flags)
 
 
 PANEL = """panel AS (
