@@ -62,6 +62,27 @@ def id_crc(doc_id: str | Column) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")))
 
 
+def text_key() -> Column:
+    """A 64-bit hash of a row's text; null and empty are alike."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def doc_key() -> Column:
+    """A 64-bit hash of a row's doc_id, never null."""
+    return F.xxhash64("doc_id", F.col("doc_id").isNull())
+
+
+def distinct_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``chosen`` lists, once each, with all their columns and those that ``chosen`` carries.
+
+    ``chosen`` starts with doc_key and text_key, and has each pair once. Rows equal in both are
+    dropped before the shuffle as well as after it; the join then finds the rows in place.
+    """
+    keys = [fresh(docs, "doc_key"), fresh(docs, "text_key")]
+    once = docs.withColumns(dict(zip(keys, (doc_key(), text_key())))).dropDuplicates(keys)
+    return once.join(chosen.toDF(*keys, *chosen.columns[2:]), keys).drop(*keys)
+
+
 def globally_ranked(df: DataFrame, keys: list[str], rank: str) -> DataFrame:
     """Add the 0-based position of each row in the order of ``keys`` over the whole table.
 

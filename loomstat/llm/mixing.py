@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, fresh, globally_ranked, table
+from .common import WORD, checkpointed, distinct_rows, doc_key, fresh, globally_ranked, table, text_key
 
 #: Weights of the sources in order of code points, null last, repeating.
 WEIGHTS = (5, 2, 1)
@@ -71,7 +71,7 @@ def copies(
     """
     spark = docs.sparkSession
     size = F.col("size").cast("string")
-    slim = docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64("text").alias("text_hash")).select(
+    slim = docs.select("doc_id", "source", word_count().alias("size"), text_key().alias("text_hash")).select(
         "doc_id",
         "text_hash",
         "source",
@@ -105,15 +105,11 @@ def copies(
 
 def mixed(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` with each row emitted as often as the mix takes it, all columns kept."""
-    taken = copies(docs, **parameters).filter("copies > 0")
     # rows equal in doc_id and text are interchangeable: they share their copies out
-    taken = taken.groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("copies"))
-    own, key, times = fresh(docs, "own_id"), fresh(docs, "own_hash"), fresh(docs, "own_copies")
-    taken = taken.select(F.col("doc_id").alias(own), F.col("text_hash").alias(key + "_taken"), F.col("copies").alias(times))
-    hashed = docs.withColumn(key, F.xxhash64("text"))
-    once = hashed.dropDuplicates(["doc_id", key])
-    joined = once.join(taken, once["doc_id"].eqNullSafe(taken[own]) & (once[key] == taken[key + "_taken"]))
-    return joined.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*docs.columns)
+    taken = copies(docs, **parameters).filter("copies > 0").groupBy(doc_key().alias("doc_key"), "text_hash").agg(F.sum("copies").cast("int").alias("copies"))
+    times = fresh(docs, "times_taken")
+    found = distinct_rows(docs, taken.withColumnRenamed("copies", times))
+    return found.withColumn(times, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,12 @@ One 64-bit fingerprint within 2 bits finds texts that are all but equal; texts t
 of their 5-word shingles differ in about 10 bits. So each text gets several short fingerprints
 over word pairs, each hashed by its ball of half the radius, as ``simhash`` does: texts meet
 that come within 2 bits in any of them. Those that meet in a variant's bucket are ordered by
-the least hash of their shingles, which near-duplicates mostly share, and each is paired with the
-next two: a number of pairs in proportion to the rows, for buckets of any size. Pairs are
-deduplicated and verified by the similarity of their shingles (exact for texts with up to
-``SKETCH`` distinct ones, else from the least ``SKETCH`` hashes); verified pairs are links.
+the least hash of their shingles, which near-duplicates mostly share, then by a hash that differs
+from bucket to bucket, and each is paired with the next two: a number of pairs in proportion to
+the rows, for buckets of any size. In a large group each text so meets over a hundred others at
+random. The variants of a fingerprint that very many texts have are dealt to several buckets.
+Pairs are deduplicated and verified by the similarity of their shingles (exact for texts with up
+to ``SKETCH`` distinct ones, else from the least ``SKETCH`` hashes); verified pairs are links.
 
 Equal texts are one node each from the start, so groups of exact copies cost nothing.
 
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, strides
+from .common import checkpointed, distinct_rows, doc_key, strides, text_key
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -34,6 +36,8 @@ PRINTS, BITS = 4, 32
 #: Least shingle hashes that stand for a text.
 SKETCH = 160
 STRIDE = 1 << 15
+#: Texts with one fingerprint whose variants share a bucket; and fingerprints at most, of those that more have, that are broadcast.
+CROWD, MOST_BROADCAST = 4096, 50_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -99,11 +103,17 @@ def resemblance(a: Column, b: Column, sketch: int = SKETCH) -> Column:
 
 def near_links(summaries: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Verified links (a, b) between the nodes of ``summaries``, which is read more than once: give it checkpointed."""
-    flips = [0, *(1 << k for k in range(BITS))]
-    ball = F.flatten(F.transform("prints", lambda p: F.array(*(p.bitwiseXOR(F.lit(m).cast("long")) for m in flips))))
-    met = Window.partitionBy("variant").orderBy("least", "node")
+    own = summaries.select("node", F.element_at("sketch", 1).alias("least"), F.explode("prints").alias("print"))
+    crowded = checkpointed(own.groupBy("print").count().filter(F.col("count") > CROWD).select(F.col("print").alias("crowd"), F.ceil(F.col("count") / CROWD).alias("parts")))
+    crowded = F.broadcast(crowded) if crowded.count() <= MOST_BROADCAST else crowded
+    ball = F.array(*(F.col("print").bitwiseXOR(F.lit(m).cast("long")) for m in (0, *(1 << k for k in range(BITS)))))
+    order = F.xxhash64("node", "variant")
+    part = F.when(F.col("parts") > 1, F.pmod(F.shiftright(order, 20), F.col("parts"))).otherwise(0)
+    met = Window.partitionBy("variant", "part").orderBy("least", "order")
     near = (
-        summaries.select("node", F.element_at("sketch", 1).alias("least"), F.explode(ball).alias("variant"))
+        own.join(crowded, F.col("print") == F.col("crowd"), "left")
+        .select("node", "least", "parts", F.explode(ball).alias("variant"))
+        .select("node", "least", "variant", order.alias("order"), part.cast("int").alias("part"))
         .select(F.col("node").alias("b"), F.array(F.lag("node", 1).over(met), F.lag("node", 2).over(met)).alias("before"))
         .select("b", F.explode("before").alias("a"))
         .filter("a is not null")
@@ -117,15 +127,11 @@ def near_links(summaries: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group: the one with the smallest doc_id (nulls last), all its columns kept."""
-    node = F.xxhash64(F.coalesce("text", F.lit("")))
-    summaries = checkpointed(_summaries(docs.select(node.alias("node"), "text"), shingle).dropDuplicates(["node"]))
+    node = text_key().alias("node")
+    summaries = checkpointed(_summaries(docs.select(node, "text"), shingle).dropDuplicates(["node"]))
     stars = components(near_links(summaries, similarity)).select(F.col("child").alias("node"), F.col("parent").alias("root"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_key", "node")).alias("first")
     # the first document of each text, then of each group of texts: both minima are combined before they are shuffled
-    texts = docs.select("doc_id", node.alias("node")).groupBy("node").agg(first)
-    kept = texts.join(stars, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select("first.doc_id", "first.node")
-    own, key = fresh(docs, "own_id"), fresh(docs, "own_hash")
-    kept = kept.select(F.col("doc_id").alias(own), F.col("node").alias(key + "_kept"))
-    hashed = docs.withColumn(key, node)
-    joined = hashed.join(kept, hashed["doc_id"].eqNullSafe(kept[own]) & (hashed[key] == kept[key + "_kept"]))
-    return joined.dropDuplicates(["doc_id", key]).select(*docs.columns)
+    texts = docs.select("doc_id", doc_key().alias("doc_key"), node).groupBy("node").agg(first)
+    kept = texts.join(stars, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    return distinct_rows(docs, kept.select("first.doc_key", "first.node")).select(*docs.columns)

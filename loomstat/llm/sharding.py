@@ -29,6 +29,8 @@ SHARDS = 40
 COST = 16
 #: Bins of a node's open bracket in each pass.
 BINS = 1024
+#: Shards at most of one tree, whose cuts stand in one SQL expression. For more, shard each shard again.
+MOST_SHARDS = 1024
 #: Bits of a key below the dimension's value: a hash of the row.
 LOW = 32
 
@@ -147,6 +149,8 @@ def sharded(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | No
     if shards is None:
         total = points.agg(F.sum("size")).first()[0] or 0
         shards = max(1, -(-total // max(1, target_bytes or 1)))
+    if shards > MOST_SHARDS:
+        raise ValueError(f"{shards} shards: one tree has at most {MOST_SHARDS}; shard into fewer and shard each of them")
     tree = kd_tree(points, shards, 3)
     placed = points.select("doc_id", "size", "text_crc32", F.expr(tree.route()).cast("int").alias("shard"), (F.col("key2").bitwiseAND((1 << LOW) - 1)).alias("low"))
     ranked = globally_ranked(placed, ["shard", "low", "doc_id"], "rank")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, strides, table
+from .common import checkpointed, distinct_rows, doc_key, strides, table, text_key
 from .components import components
 
 BITS = 64
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             found = [fingerprint(t or b"", shingle) for _, texts in strides(batch.column(2)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["doc_id", "text_hash", "fp"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary")).mapInArrow(
+    return docs.select("doc_id", text_key().alias("text_hash"), F.col("text").cast("binary")).mapInArrow(
         made, f"doc_id {id_type}, text_hash long, fp long"
     )
 
@@ -110,12 +110,8 @@ def deduplicated(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFram
     """
     prints = checkpointed(fingerprints(docs, shingle))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    kept = classes(prints, radius).groupBy("root").agg(first).select("first.doc_id", "first.text_hash")
-    own, key = fresh(docs, "own_id"), fresh(docs, "own_hash")
-    kept = kept.select(F.col("doc_id").alias(own), F.col("text_hash").alias(key + "_kept"))
-    hashed = docs.withColumn(key, F.xxhash64("text"))
-    joined = hashed.join(kept, hashed["doc_id"].eqNullSafe(kept[own]) & (hashed[key] == kept[key + "_kept"]))
-    return joined.dropDuplicates(["doc_id", key]).select(*(docs.columns))
+    kept = classes(prints, radius).groupBy("root").agg(first).select("first.*").select(doc_key(), "text_hash")
+    return distinct_rows(docs, kept).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

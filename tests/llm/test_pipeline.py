@@ -121,6 +121,17 @@ def test_large_group_of_copies(spark):
     assert kept.filter("doc_id < 3000").count() == 1 and kept.filter("doc_id >= 5000").count() == 50
 
 
+@pytest.mark.parametrize("broadcast", [0, 50_000])
+def test_crowded_fingerprints_are_dealt_out(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(nearcopies, "CROWD", 10)
+    monkeypatch.setattr(nearcopies, "MOST_BROADCAST", broadcast)
+    random.seed(5)
+    words = [random.choice(SPEECH["en"]) + random.choice("abcdefgh") for _ in range(200)]
+    copies = [" ".join([*words[:k], "edit", *words[k + 1 :]]) for k in range(0, 200, 2)]
+    docs = spark.createDataFrame(list(enumerate([" ".join(words), *copies])), "doc_id long, text string")
+    assert [r["doc_id"] for r in nearcopies.deduplicated(docs).collect()] == [0]
+
+
 @pytest.mark.parametrize("name", sorted(queries.MODULES))
 def test_queries_run_whole(spark, name):
     found = __spark_entry__.queries()[name](spark, SF)
