@@ -15,8 +15,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: What lies between words.
 GAP = r"[\x20\x09-\x0D]+"
 
-#: Bytes of text held as Python objects in one go.
-STRIDE = 2 << 20
+#: Bytes of text held as Python objects in one go, and handed to Python in one batch.
+STRIDE, BATCH = 2 << 20, 8 << 20
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition in the upper bits, row in the lower 33
 
@@ -105,6 +106,17 @@ def globally_ranked(df: DataFrame, keys: list[str], rank: str) -> DataFrame:
     return ordered.withColumn(rank, row + start).drop(place)
 
 
+def map_texts(texts: DataFrame, f, schema) -> DataFrame:
+    """``texts.mapInArrow(f, schema)`` in batches of BATCH bytes, unless the session sets a limit of its own.
+
+    Spark's default of 64 MiB a batch, on both sides of each task, is much where all rows are texts.
+    """
+    conf = texts.sparkSession.conf
+    if conf.get(_BATCH_SETTING, None) == _BATCH_DEFAULT:
+        conf.set(_BATCH_SETTING, BATCH)
+    return texts.mapInArrow(f, schema)
+
+
 def strides(column: pa.Array, most: int = STRIDE) -> Iterator[tuple[int, list]]:
     """The texts of a column in stretches of about ``most`` bytes, each with its first row: few are held as Python objects at a time."""
     start = total = 0

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_crc, strides, table
+from .common import checkpointed, id_crc, map_texts, strides, table
 
 #: Weight of the pooled diagonal in a class covariance, and the least variance of a standardised statistic.
 SHRINKAGE, FLOOR = 0.1, 1e-2
@@ -86,7 +86,7 @@ def measured(docs: DataFrame) -> DataFrame:
             found = [statistics(t or b"") for _, texts in strides(batch.column(1)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(rows, f"doc_id {id_type}, x array<double>")
+    return map_texts(docs.select("doc_id", F.col("text").cast("binary")), rows, f"doc_id {id_type}, x array<double>")
 
 
 @dataclass(frozen=True)

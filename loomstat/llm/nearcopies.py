@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, distinct_rows, doc_key, strides, text_key
+from .common import checkpointed, distinct_rows, doc_key, map_texts, strides, text_key
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -92,7 +92,7 @@ def _summaries(texts: DataFrame, shingle: int) -> DataFrame:
             columns = [batch.column(0), pa.array(prints, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, ["node", "prints", "sketch"])
 
-    return texts.select("node", F.col("text").cast("binary")).mapInArrow(made, "node long, prints array<long>, sketch array<int>")
+    return map_texts(texts.select("node", F.col("text").cast("binary")), made, "node long, prints array<long>, sketch array<int>")
 
 
 def resemblance(a: Column, b: Column, sketch: int = SKETCH) -> Column:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, distinct_rows, doc_key, strides, table, text_key
+from .common import checkpointed, distinct_rows, doc_key, map_texts, strides, table, text_key
 from .components import components
 
 BITS = 64
@@ -63,9 +63,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             found = [fingerprint(t or b"", shingle) for _, texts in strides(batch.column(2)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["doc_id", "text_hash", "fp"])
 
-    return docs.select("doc_id", text_key().alias("text_hash"), F.col("text").cast("binary")).mapInArrow(
-        made, f"doc_id {id_type}, text_hash long, fp long"
-    )
+    texts = docs.select("doc_id", text_key().alias("text_hash"), F.col("text").cast("binary"))
+    return map_texts(texts, made, f"doc_id {id_type}, text_hash long, fp long")
 
 
 def _masks(half: int) -> list[int]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import strides, table
+from .common import map_texts, strides, table
 from .merging import RankMerger
 
 #: Fixed value: how byte-level BPE splits text into pre-tokens.
@@ -90,11 +90,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     text = F.coalesce("text", F.lit(""))
-    return (
-        docs.select("doc_id", text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-        .mapInArrow(counted, f"doc_id {id_type}, n_bytes long, n_tokens long")
-        .withColumn("over_limit", F.col("n_tokens") > limit)
-    )
+    texts = docs.select("doc_id", text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
+    return map_texts(texts, counted, f"doc_id {id_type}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
