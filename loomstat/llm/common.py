@@ -16,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 #: Bytes of text held as Python objects in one go, and handed to Python in one batch.
-STRIDE, BATCH = 2 << 20, 8 << 20
+STRIDE, BATCH = 1 << 20, 8 << 20
 _BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition in the upper bits, row in the lower 33
@@ -117,6 +117,20 @@ def map_texts(texts: DataFrame, f, schema) -> DataFrame:
     return texts.mapInArrow(f, schema)
 
 
+_kept: dict = {}
+
+
+def kept(key, make):
+    """What ``make`` returned for ``key``, from one task of a Python worker to the next, as long as no other key is asked for.
+
+    So what an operator remembers goes when another operator comes to the same worker.
+    """
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def strides(column: pa.Array, most: int = STRIDE) -> Iterator[tuple[int, list]]:
     """The texts of a column in stretches of about ``most`` bytes, each with its first row: few are held as Python objects at a time."""
     start = total = 0

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_crc, map_texts, strides, table
+from .common import id_crc, kept, map_texts, strides, table
 
 UNKNOWN = "und"
 #: Bytes of a language's dictionary.
@@ -112,7 +112,7 @@ def classified(docs: DataFrame, learned: dict[str, bytes]) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressors = Compressors(learned)
+        compressors = kept(("languages", *learned.items()), lambda: Compressors(learned))
         for batch in batches:
             rows = [(UNKNOWN, 0.0, True) if t is None else compressors.classify(t) for _, texts in strides(batch.column(1)) for t in texts]
             columns = zip(*rows) if rows else ([], [], [])
@@ -127,7 +127,7 @@ def accepted(docs: DataFrame, learned: dict[str, bytes]) -> DataFrame:
     """The rows of ``docs`` whose language is not rejected, all their columns kept."""
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressors = Compressors(learned)
+        compressors = kept(("languages", *learned.items()), lambda: Compressors(learned))
         for batch in batches:
             told = strides(batch.column(batch.num_columns - 1))
             keep = [t is not None and not compressors.classify(t)[2] for _, texts in told for t in texts]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, distinct_rows, doc_key, map_texts, strides, text_key
+from .common import checkpointed, distinct_rows, doc_key, kept, map_texts, strides, text_key
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -82,6 +82,7 @@ def _summaries(texts: DataFrame, shingle: int) -> DataFrame:
     """node, prints (each below its number's upper bits) and sketch of each row of ``texts`` (node, text)."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("fingerprints", dict)
         for batch in batches:
             prints, sketches = [], []
             for _, some in strides(batch.column(1)):
@@ -133,5 +134,5 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_key", "node")).alias("first")
     # the first document of each text, then of each group of texts: both minima are combined before they are shuffled
     texts = docs.select("doc_id", doc_key().alias("doc_key"), node).groupBy("node").agg(first)
-    kept = texts.join(stars, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    return distinct_rows(docs, kept.select("first.doc_key", "first.node")).select(*docs.columns)
+    chosen = texts.join(stars, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    return distinct_rows(docs, chosen.select("first.doc_key", "first.node")).select(*docs.columns)

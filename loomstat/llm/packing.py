@@ -14,7 +14,6 @@ gives no pieces; other columns of the input are not carried.
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import unicodedata
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, strides, table
+from .common import kept, map_texts, strides, table
 from .merging import RankMerger
 
 #: Words longer than this many bytes are tokenized each time, not remembered.
@@ -113,10 +112,9 @@ class WordTokenizer:
         return [b"".join(map(lookup.__getitem__, words)) for words in split]
 
 
-@functools.lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
     """One for each Python worker, so that its tasks share what it remembers."""
-    return WordTokenizer(path)
+    return kept(("words", path), lambda: WordTokenizer(path))
 
 
 def piece_lengths(n: int, seq_len: int) -> list[int]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, distinct_rows, doc_key, map_texts, strides, table, text_key
+from .common import checkpointed, distinct_rows, doc_key, kept, map_texts, strides, table, text_key
 from .components import components
 
 BITS = 64
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("fingerprints", dict)
         for batch in batches:
             found = [fingerprint(t or b"", shingle) for _, texts in strides(batch.column(2)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["doc_id", "text_hash", "fp"])
@@ -109,8 +110,8 @@ def deduplicated(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFram
     """
     prints = checkpointed(fingerprints(docs, shingle))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    kept = classes(prints, radius).groupBy("root").agg(first).select("first.*").select(doc_key(), "text_hash")
-    return distinct_rows(docs, kept).select(*docs.columns)
+    chosen = classes(prints, radius).groupBy("root").agg(first).select("first.*").select(doc_key(), "text_hash")
+    return distinct_rows(docs, chosen).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,6 @@ are counted each; an empty table gives no rows; other columns are not carried.
 
 from __future__ import annotations
 
-import functools
 import json
 from collections.abc import Iterator
 from itertools import chain
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, strides, table
+from .common import kept, map_texts, strides, table
 from .merging import RankMerger
 
 #: Fixed value: how byte-level BPE splits text into pre-tokens.
@@ -71,10 +70,9 @@ class TokenCounter:
         return [n + sum(map(lookup.__getitem__, words)) for n, words in zip(extra, split)]
 
 
-@functools.lru_cache(maxsize=2)
 def token_counter(path: str) -> TokenCounter:
     """One for each Python worker, so that its tasks share what it remembers."""
-    return TokenCounter(path)
+    return kept(("counts", path), lambda: TokenCounter(path))
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> DataFrame:
