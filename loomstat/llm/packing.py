@@ -33,6 +33,10 @@ LONGEST_KEPT = 48
 #: Words that each of a Python worker's two generations of memory holds (about 30 MB each).
 MOST_KEPT = 200_000
 
+#: Bytes of text tokenized in one go.
+STRIDE = 2 << 20
+
+
 def _classes() -> np.ndarray:
     """1: ASCII lower-case letters; 2: other ASCII but white space and the apostrophe; 0: the rest."""
     kinds = np.zeros(256, np.uint8)
@@ -102,7 +106,7 @@ class WordTokenizer:
             self.old, self.young = self.young, {}
         new = set().union(*split).difference(self.young)
         if self.old:
-            again = {w: self.old[w] for w in new if w in self.old}
+            again = {w: ids for w, ids in zip(new, map(self.old.get, new)) if ids}
             self.young.update(again)
             new.difference_update(again)
         self.young.update(self._learn([w for w in new if len(w) <= LONGEST_KEPT]))
@@ -144,7 +148,7 @@ def pack(
         tokenizer = word_tokenizer(tokenizer_path)
         for batch in batches:
             ids = batch.column(0)
-            for first, texts in strides(batch.column(1)):
+            for first, texts in strides(batch.column(1), STRIDE):
                 row, start, length, crc, total, own = [], [], [], [], [], []
                 for k, doc in enumerate(tokenizer.encode([t or b"" for t in texts]), first):
                     doc += end
