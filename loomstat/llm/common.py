@@ -73,14 +73,20 @@ def doc_key() -> Column:
     return F.xxhash64("doc_id", F.col("doc_id").isNull())
 
 
-def distinct_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+def row_key(docs: DataFrame) -> Column:
+    """A 64-bit hash of all columns of a row but its text, never null."""
+    others = [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in docs.dtypes if c != "text"]
+    return F.xxhash64(*others, *(c.isNull() for c in others))
+
+
+def distinct_rows(docs: DataFrame, chosen: DataFrame, key: Column | None = None) -> DataFrame:
     """The rows of ``docs`` that ``chosen`` lists, once each, with all their columns and those that ``chosen`` carries.
 
-    ``chosen`` starts with doc_key and text_key, and has each pair once. Rows equal in both are
+    ``chosen`` starts with doc_key (or what ``key`` gives) and text_key, and has each pair once. Rows equal in both are
     dropped before the shuffle as well as after it; the join then finds the rows in place.
     """
     keys = [fresh(docs, "doc_key"), fresh(docs, "text_key")]
-    once = docs.withColumns(dict(zip(keys, (doc_key(), text_key())))).dropDuplicates(keys)
+    once = docs.withColumns(dict(zip(keys, (doc_key() if key is None else key, text_key())))).dropDuplicates(keys)
     return once.join(chosen.toDF(*keys, *chosen.columns[2:]), keys).drop(*keys)
 
 

@@ -90,8 +90,8 @@ def dictionaries(docs: DataFrame, sample: int = SAMPLE, snippet: int = SNIPPET,
     """Dictionaries from ``docs`` (doc_id, text, lang), by language, most texts first.
 
     Two passes: one counts each language's texts, by map-side-combined sums; one draws about
-    ``sample`` of each by a hash of doc_id. Only ``snippet`` characters of each of these go to
-    the driver: a bounded sample to fit on, not a limit on what is classified.
+    ``sample`` of each by a hash of doc_id. Only ``snippet`` characters of the letters
+    of each of these, from a hashed position, go to the driver: a bounded sample to fit on, not a limit on what is classified.
     """
     known = docs.filter(F.col("lang").isNotNull() & (F.octet_length("text") > 0))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
@@ -99,7 +99,9 @@ def dictionaries(docs: DataFrame, sample: int = SAMPLE, snippet: int = SNIPPET,
         return {}
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(2.0**53)
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2 * sample / n))))[F.col("lang")]
-    drawn = known.filter(place < share).select("lang", place.alias("place"), letters(F.substring("text", 1, snippet)).alias("text")).dropna().collect()
+    start = F.xxhash64("doc_id", F.lit(1))
+    spot = (F.pmod("start", F.greatest(F.length("text") - snippet + 1, F.lit(1))) + 1).cast("int")
+    drawn = known.filter(place < share).select("lang", place.alias("place"), letters().alias("text"), start.alias("start")).dropna().select("lang", "place", F.substring("text", spot, F.lit(snippet)).alias("text")).collect()
     texts: dict[str, list[str]] = {lang: [] for lang in sorted(counts, key=lambda c: (-counts[c], c))}
     for r in sorted(drawn, key=lambda r: (r["place"], r["text"])):
         if len(texts[r["lang"]]) < sample:

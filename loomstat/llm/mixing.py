@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, distinct_rows, doc_key, fresh, globally_ranked, table, text_key
+from .common import WORD, checkpointed, distinct_rows, fresh, globally_ranked, row_key, table, text_key
 
 #: Weights of the sources in order of code points, null last, repeating.
 WEIGHTS = (5, 2, 1)
@@ -63,15 +63,15 @@ def _hash60(value: Column) -> Column:
 
 
 def copies(
-    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST, seed: str = SEED
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST, seed: str = SEED, carried: tuple[str, ...] = ()
 ) -> DataFrame:
-    """doc_id, text_hash, size, source_size, target and copies of each row of ``docs`` (doc_id, text, source).
+    """doc_id, text_hash, size, source_size, target and copies of each row of ``docs`` (doc_id, text, source), and its ``carried`` columns.
 
     One row for each source goes to the driver, and returns with its target.
     """
     spark = docs.sparkSession
     size = F.col("size").cast("string")
-    slim = docs.select("doc_id", "source", word_count().alias("size"), text_key().alias("text_hash")).select(
+    slim = docs.select("doc_id", "source", word_count().alias("size"), text_key().alias("text_hash"), *carried).select(
         "doc_id",
         "text_hash",
         "source",
@@ -79,6 +79,7 @@ def copies(
         F.col("source").isNull().alias("unnamed"),
         (F.length(size) * 100 + F.substring(size, 1, 2).cast("int")).alias("bin"),
         _hash60(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("hash"),
+        *carried,
     )
     slim = checkpointed(slim)
     sources = slim.groupBy("unnamed", "source").agg(F.sum("size"), F.count("*")).collect()
@@ -98,17 +99,19 @@ def copies(
     copy = F.floor(F.col("rate") * (F.col("place") + 1) + F.col("offset")) - F.floor(F.col("rate") * F.col("place") + F.col("offset"))
     return (
         ranked.join(told, F.col("source").eqNullSafe(F.col("named")))
-        .select("doc_id", "text_hash", "size", "source_size", "target", place.alias("place"), rate.alias("rate"), offset.alias("offset"))
-        .select("doc_id", "text_hash", "size", "source_size", "target", copy.cast("int").alias("copies"))
+        .select("doc_id", "text_hash", "size", "source_size", "target", place.alias("place"), rate.alias("rate"), offset.alias("offset"), *carried)
+        .select("doc_id", "text_hash", "size", "source_size", "target", copy.cast("int").alias("copies"), *carried)
     )
 
 
 def mixed(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` with each row emitted as often as the mix takes it, all columns kept."""
-    # rows equal in doc_id and text are interchangeable: they share their copies out
-    taken = copies(docs, **parameters).filter("copies > 0").groupBy(doc_key().alias("doc_key"), "text_hash").agg(F.sum("copies").cast("int").alias("copies"))
+    # rows equal in all columns are interchangeable: they share their copies out
+    key = fresh(docs, "row_key")
+    told = copies(docs.withColumn(key, row_key(docs)), **parameters, carried=(key,))
+    taken = told.filter("copies > 0").groupBy(key, "text_hash").agg(F.sum("copies").cast("int").alias("copies"))
     times = fresh(docs, "times_taken")
-    found = distinct_rows(docs, taken.withColumnRenamed("copies", times))
+    found = distinct_rows(docs, taken.withColumnRenamed("copies", times), row_key(docs))
     return found.withColumn(times, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 

@@ -1,17 +1,19 @@
-"""SimHash near-dedup at a given similarity, for whole documents with all their columns.
+"""Near-dedup at a given similarity of shingle sets, for whole documents with all their columns.
 
-One 64-bit fingerprint within 2 bits finds texts that are all but equal; texts that share 80 %
-of their 5-word shingles differ in about 10 bits. So each text gets several short fingerprints
-over word pairs, each hashed by its ball of half the radius, as ``simhash`` does: texts meet
-that come within 2 bits in any of them. Those that meet in a variant's bucket are ordered by
-the least hash of their shingles, which near-duplicates mostly share, then by a hash that differs
-from bucket to bucket, and each is paired with the next two: a number of pairs in proportion to
-the rows, for buckets of any size. In a large group each text so meets over a hundred others at
-random. The variants of a fingerprint that very many texts have are dealt to several buckets.
-Pairs are deduplicated and verified by the similarity of their shingles (exact for texts with up
-to ``SKETCH`` distinct ones, else from the least ``SKETCH`` hashes); verified pairs are links.
+The search is an exact similarity join by prefixes: in any one order of all shingles, two texts of
+similarity ``t`` share one of the first ``n - ceil(t * n) + 1`` of each one's ``n`` shingles, and the
+first that they share lies so far to the front that enough can follow it (position filter). So
+each text is posted under the shingles of its prefix, and those that meet under one and fit by
+size and place are candidates. Shingles run from rare to common, as counted in a share of the
+texts: a passage that thousands share comes last, where its place rules out those that share
+little else. Only speed depends on these counts; all pairs that can be similar are compared.
 
-Equal texts are one node each from the start, so groups of exact copies cost nothing.
+Large groups of copies would make a pair of each two members. So texts that agree in several
+min-hashes are linked in chains first, and pairs within a component found so are passed over.
+
+Candidates are verified on all shingle hashes (64 bits) of both texts, which are made anew for
+candidates only; verified pairs are links. Equal texts are one node each from the start, so
+groups of exact copies cost nothing.
 
 Edge cases: as in ``simhash``: null, empty and blank texts are all alike; fewer words than a
 shingle has make one shingle; a null doc_id comes last in its group; of rows equal in doc_id
@@ -20,31 +22,36 @@ and text one stays; an empty table gives no rows; all columns of the input are k
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, distinct_rows, doc_key, kept, map_texts, strides, text_key
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Short fingerprints of a text, two from each 64-bit hash, and their bits: random texts of a corpus of N meet N * 529 / 2**BITS others in each.
-PRINTS, BITS = 4, 32
-#: Least shingle hashes that stand for a text.
-SKETCH = 160
-STRIDE = 1 << 15
-#: Texts with one fingerprint whose variants share a bucket; and fingerprints at most, of those that more have, that are broadcast.
-CROWD, MOST_BROADCAST = 4096, 50_000
+#: Min-hashes of a text, and how many of them a chain's members agree in.
+MINIMA, AGREEING = 16, 4
+#: One in so many texts is counted to tell common shingles; and those at most that are told.
+COUNTED, COMMON = 16, 1 << 17
+#: Texts met under one shingle above which the pairs within its largest component are passed over in one go.
+CROWD = 64
+#: Candidates at most that are broadcast to fetch their texts.
+MOST_BROADCAST = 50_000
+#: Pairs handed on in one batch.
+PAIRS = 1 << 16
+#: What rounding may take from a bound.
+SLACK = 1e-6
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
-def _mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
+def _mixed(x: np.ndarray) -> np.ndarray:
     """A bijection that spreads each bit of ``x`` over all bits."""
-    x = x + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -60,77 +67,204 @@ def _runs(words: np.ndarray, width: int) -> np.ndarray:
     return total
 
 
-def summarised(text: bytes, shingle: int = SHINGLE) -> tuple[list[int], np.ndarray]:
-    """The short fingerprints of one text, and its sketch: the least shingle hashes, in order."""
+def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of a text's distinct shingles, in order."""
     from xxhash import xxh64_intdigest
 
     split = text.lower().split()
     words = np.fromiter(map(xxh64_intdigest, split), np.uint64, len(split))
-    pairs = _runs(words, 2) if len(words) else np.zeros(0, np.uint64)
-    prints: list[int] = []
-    for seed in range(PRINTS * BITS // 64):
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(pairs), STRIDE):
-            hashes = _mixed(pairs[at : at + STRIDE], seed + 1)
-            ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-        prints += np.packbits(2 * ones > len(pairs), bitorder="little").view(np.uint32).tolist()
-    shingles = np.unique((_runs(words, shingle) if len(words) else np.zeros(1, np.uint64)) >> np.uint64(33))
-    return prints, shingles[:SKETCH].astype(np.int32)
-
-
-def _summaries(texts: DataFrame, shingle: int) -> DataFrame:
-    """node, prints (each below its number's upper bits) and sketch of each row of ``texts`` (node, text)."""
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return np.unique(_runs(words, shingle)) if len(words) else np.zeros(1, np.uint64)
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, times: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The part of a text's shingles, rare ones first, of which each similar text shares one. ``common`` is in order."""
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        weight = np.where(common[at] == hashes, times[at], 0)
+        if weight.any():
+            hashes = hashes[np.argsort(weight, kind="stable")]
+    return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - SLACK) + 1]
+
+
+def chain_keys(hashes: np.ndarray) -> np.ndarray:
+    """Keys of which texts share one if they agree in ``AGREEING`` min-hashes, each the least of a range of hashes."""
+    starts = np.arange(MINIMA, dtype=np.uint64) << np.uint64(64 - MINIMA.bit_length() + 1)
+    least = hashes[np.searchsorted(hashes, starts) % len(hashes)].reshape(-1, AGREEING)
+    total = np.arange(1, len(least) + 1, dtype=np.uint64)
+    for k in range(AGREEING):
+        total = _mixed(total + least[:, k] * _ODD[k % len(_ODD)])
+    return total
+
+
+def _mapped(texts: DataFrame, made, columns: dict[str, tuple[pa.DataType, str]]) -> DataFrame:
+    """node and what ``made`` gives, a tuple for each text, of ``texts`` (node, text)."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("fingerprints", dict)
         for batch in batches:
-            prints, sketches = [], []
-            for _, some in strides(batch.column(1)):
-                for text in some:
-                    own, sketch = summarised(text or b"", shingle)
-                    prints.append([k << BITS | p for k, p in enumerate(own)])
-                    sketches.append(sketch)
-            columns = [batch.column(0), pa.array(prints, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "prints", "sketch"])
-
-    return map_texts(texts.select("node", F.col("text").cast("binary")), made, "node long, prints array<long>, sketch array<int>")
-
-
-def resemblance(a: Column, b: Column, sketch: int = SKETCH) -> Column:
-    """The share of shingles that two sketches have in common, among the least of both together."""
-    least = F.slice(F.array_sort(F.array_union(a, b)), 1, sketch)
-    return F.size(F.array_intersect(F.array_intersect(a, b), least)) / F.size(least)
-
-
-def near_links(summaries: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b) between the nodes of ``summaries``, which is read more than once: give it checkpointed."""
-    own = summaries.select("node", F.element_at("sketch", 1).alias("least"), F.explode("prints").alias("print"))
-    crowded = checkpointed(own.groupBy("print").count().filter(F.col("count") > CROWD).select(F.col("print").alias("crowd"), F.ceil(F.col("count") / CROWD).alias("parts")))
-    crowded = F.broadcast(crowded) if crowded.count() <= MOST_BROADCAST else crowded
-    ball = F.array(*(F.col("print").bitwiseXOR(F.lit(m).cast("long")) for m in (0, *(1 << k for k in range(BITS)))))
-    order = F.xxhash64("node", "variant")
-    part = F.when(F.col("parts") > 1, F.pmod(F.shiftright(order, 20), F.col("parts"))).otherwise(0)
-    met = Window.partitionBy("variant", "part").orderBy("least", "order")
-    near = (
-        own.join(crowded, F.col("print") == F.col("crowd"), "left")
-        .select("node", "least", "parts", F.explode(ball).alias("variant"))
-        .select("node", "least", "variant", order.alias("order"), part.cast("int").alias("part"))
-        .select(F.col("node").alias("b"), F.array(F.lag("node", 1).over(met), F.lag("node", 2).over(met)).alias("before"))
-        .select("b", F.explode("before").alias("a"))
-        .filter("a is not null")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
-    sketch = lambda end: summaries.select(F.col("node").alias(end), F.col("sketch").alias(f"sketch_{end}"))
-    told = near.join(sketch("a"), "a").join(sketch("b"), "b")
-    return told.filter(resemblance(F.col("sketch_a"), F.col("sketch_b")) >= similarity).select("a", "b")
+            for first, some in strides(batch.column(1)):
+                found = list(zip(*(made(text or b"") for text in some)))
+                arrays = [pa.array(values, kind) for values, (kind, _) in zip(found, columns.values())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(some)), *arrays], ["node", *columns])
+
+    schema = ", ".join(["node long", *(f"{name} {kind}" for name, (_, kind) in columns.items())])
+    return map_texts(texts.select("node", F.col("text").cast("binary")), mapped, schema)
+
+
+_LONGS = (pa.list_(pa.int64()), "array<long>")
+
+
+def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that come most often in a share of the texts, in order, and in how many texts each."""
+    counted = texts.filter(F.pmod("node", F.lit(COUNTED)) == 0).dropDuplicates(["node"])
+    own = _mapped(counted, lambda text: (shingles(text, shingle).view(np.int64),), {"own": _LONGS})
+    times = own.select(F.explode("own").alias("shingle")).groupBy("shingle").count().filter("count > 1")
+    found = times.orderBy(F.desc("count"), "shingle").limit(COMMON).toArrow()
+    common = found["shingle"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(common)
+    return common[order], found["count"].to_numpy().astype(np.int32)[order]
+
+
+def _summaries(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """node, size, keys (of chains) and prefix of each row of ``texts`` (node, text)."""
+    common, times = _common(texts, shingle)
+
+    def made(text: bytes) -> tuple:
+        own = shingles(text, shingle)
+        return len(own), chain_keys(own).view(np.int64), prefix(own, common, times, similarity).view(np.int64)
+
+    return _mapped(texts, made, {"size": (pa.int32(), "int"), "keys": _LONGS, "prefix": _LONGS})
+
+
+def chained(summaries: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts next to each other under one of their keys."""
+    keyed = summaries.select("node", F.explode("keys").alias("key"), F.element_at("keys", 1).alias("first"), F.element_at("keys", -1).alias("last"))
+    met = Window.partitionBy("key").orderBy("first", "last", "node")
+    return keyed.select(F.col("node").alias("b"), F.lag("node").over(met).alias("a")).filter("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _pairs(size: np.ndarray, most: np.ndarray, node: np.ndarray, group: np.ndarray, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes of different groups under one key, each within the other's ``most``; in order of key and size."""
+    left = np.arange(len(key))
+    step = 1
+    while len(left):
+        left = left[left + step < len(key)]
+        other = left + step
+        near = (key[other] == key[left]) & (size[other] <= most[left])  # later ones are larger
+        left, other = left[near], other[near]
+        fit = (size[left] <= most[other]) & (group[left] != group[other])
+        yield node[left[fit]], node[other[fit]]
+        step += 1
+
+
+def _crowd_pairs(size: np.ndarray, most: np.ndarray, node: np.ndarray, group: np.ndarray, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``_pairs`` under a single key, without a look at the pairs within a group that has most of its texts."""
+    while len(node) > CROWD:
+        groups, counts = np.unique(group, return_counts=True)
+        if 2 * counts.max() <= len(node):
+            break
+        inner = group == groups[counts.argmax()]
+        inner_size, inner_most, inner_node = size[inner], most[inner], node[inner]
+        size, most, node, group, key = (column[~inner] for column in (size, most, node, group, key))
+        for own_size, own_most, own in zip(size, most, node):
+            fit = inner_node[(inner_size <= own_most) & (own_size <= inner_most)]
+            yield np.full(len(fit), own), fit
+    yield from _pairs(size, most, node, group, key)
+
+
+def _meetings(key: np.ndarray, size: np.ndarray, at: np.ndarray, node: np.ndarray, group: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates among postings in order of key (whole ones) and size."""
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    lengths = np.diff(np.r_[starts, len(key)])
+    mixed = np.minimum.reduceat(group, starts) != np.maximum.reduceat(group, starts)
+    # the size of another text up to which what follows in both is enough
+    most = np.floor((1 + similarity) / similarity * (size - at) - size + SLACK).astype(np.int64)
+    columns = (size, most, node, group, key)
+    for k in np.flatnonzero(mixed & (lengths > CROWD)):
+        yield from _crowd_pairs(*(column[starts[k] : starts[k] + lengths[k]] for column in columns))
+    few = np.repeat(mixed & (lengths <= CROWD), lengths)
+    yield from _pairs(*(column[few] for column in columns))
+
+
+def met(summaries: DataFrame, stars: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """All pairs (a, b) that can be similar, but for those of one component in ``stars`` (child, parent)."""
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("shingle", "size", "at", "node", "root")
+
+        def found(parts: list) -> Iterator[pa.RecordBatch]:
+            held, total = [], 0
+            for pair in _meetings(*(np.concatenate(c) for c in zip(*parts)), similarity) if parts else ():
+                held.append(pair)
+                total += len(pair[0])
+                if total >= PAIRS:
+                    yield batch_of(held)
+                    held, total = [], 0
+            if total:
+                yield batch_of(held)
+
+        def batch_of(held: list) -> pa.RecordBatch:
+            x, y = (np.concatenate(c) for c in zip(*held))
+            ends = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], ["a", "b"])
+
+        open_parts: list = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(name).to_numpy(zero_copy_only=False) for name in names]
+            columns[1:3] = (c.astype(np.int64) for c in columns[1:3])
+            last = int(np.searchsorted(columns[0], columns[0][-1]))  # where the batch's last shingle begins
+            if last or (open_parts and open_parts[-1][0][-1] != columns[0][0]):
+                yield from found([*open_parts, [c[:last] for c in columns]])
+                open_parts = []
+            open_parts.append([c[last:] for c in columns])
+        yield from found(open_parts)
+
+    told = summaries.select("node", "size", "prefix").join(stars.select(F.col("child").alias("node"), F.col("parent").alias("root")), "node", "left")
+    posted = told.select(F.posexplode("prefix").alias("at", "shingle"), "size", "node", F.coalesce("root", "node").alias("root"))
+    posted = posted.repartition("shingle").sortWithinPartitions("shingle", "size")
+    return posted.mapInArrow(paired, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose texts in ``texts`` (node, text) share ``similarity`` of all their shingles."""
+    pairs = checkpointed(pairs)
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    ends = checkpointed(ends)
+    few = ends.count() <= MOST_BROADCAST
+    asked = texts.join(F.broadcast(ends) if few else ends, "node", "left_semi")
+    sets = _mapped(asked, lambda text: (shingles(text, shingle).tobytes(),), {"own": (pa.binary(), "binary")}).dropDuplicates(["node"])
+    sets = checkpointed(sets)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+                both = np.concatenate([x, y])
+                both.sort(kind="stable")
+                shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                keep.append(shared >= similarity * (len(both) - shared))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    own = lambda end: sets.select(F.col("node").alias(end), F.col("own").alias(f"own_{end}"))
+    told = pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "own_a", "own_b")
+    return map_texts(told, compared, "a long, b long")
+
+
+def groups(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(child, parent) for each linked node of ``texts`` (node, text) but the smallest of its component."""
+    summaries = checkpointed(_summaries(texts, shingle, similarity).dropDuplicates(["node"]))
+    stars = components(verified(chained(summaries), texts, shingle, similarity))
+    links = verified(met(summaries, stars, similarity), texts, shingle, similarity)
+    return components(stars.select(F.col("child").alias("a"), F.col("parent").alias("b")).union(links))
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group: the one with the smallest doc_id (nulls last), all its columns kept."""
     node = text_key().alias("node")
-    summaries = checkpointed(_summaries(docs.select(node, "text"), shingle).dropDuplicates(["node"]))
-    stars = components(near_links(summaries, similarity)).select(F.col("child").alias("node"), F.col("parent").alias("root"))
+    stars = groups(docs.select(node, "text"), shingle, similarity).select(F.col("child").alias("node"), F.col("parent").alias("root"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_key", "node")).alias("first")
     # the first document of each text, then of each group of texts: both minima are combined before they are shuffled
     texts = docs.select("doc_id", doc_key().alias("doc_key"), node).groupBy("node").agg(first)

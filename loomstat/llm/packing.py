@@ -162,12 +162,12 @@ def pack(
                         crc.append(zlib.crc32(piece))
                         total.append(n)
                         if with_ids:
-                            own.append(piece.cast("I").tolist())
+                            own.append(piece)
                         at += size
                 columns = [ids.take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
                 if with_ids:
-                    columns.append(pa.array(own, pa.list_(pa.int32())))
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *length]), pa.int32()), pa.array(np.frombuffer(b"".join(own), np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 

@@ -86,6 +86,16 @@ def mod97(match: Column) -> Column:
 
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _NAME = r"[A-Za-z0-9._%+-]"
+#: Signs of an account number, by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_SIGNS_END = "(?![A-Za-z0-9])"
+_KNOWN_IBAN = "(?:" + "|".join(rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items()) + ")" + _SIGNS_END
+#: Of other countries, as many words as fit, but none with which a known one starts.
+_OTHER_IBAN = rf"[A-Z]{{2}}[0-9]{{2}}(?:(?:\x20(?!{_KNOWN_IBAN}))?[A-Z0-9]){{11,30}}{_SIGNS_END}"
 
 BASE = (
     Kind("email", rf"(?:\G|(?<!{_NAME})){_NAME}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda t: F.contains(t, F.lit("@")), words="mail|contact|write"),
@@ -94,7 +104,7 @@ BASE = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: F.contains(t, F.lit("+")), lambda m: _number_of_digits(m, 9, 15), words="phone|call|tel|mobile"),
 )
 FURTHER = (
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", lambda t: F.rlike(t, F.lit("[A-Z]{2}[0-9]{2}")), mod97, words="iban|account|konto|compte|cuenta"),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?:{_KNOWN_IBAN}|{_OTHER_IBAN})", lambda t: F.rlike(t, F.lit("[A-Z]{2}[0-9]{2}")), mod97, words="iban|account|konto|compte|cuenta"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda t: F.rlike(t, F.lit("[0-9]-[0-9]{2}-[0-9]")), lambda m: ~F.rlike(m, F.lit("^(?:000|666|9)|-00-|-0000$")), 0.3, r"\bssn\b|social|security|taxpayer"),
     Kind("secret", r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,128}+(?![A-Za-z0-9])", lambda t: F.rlike(t, F.lit("[0-9A-Fa-f]{32}")), lambda m: F.rlike(m, F.lit("[0-9]")), 0.3, "token|secret|api|key|passw|bearer"),
 )

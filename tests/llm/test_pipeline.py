@@ -167,3 +167,65 @@ def test_held_out_accuracy(spark):
     assert scored.agg(F.avg((F.col("quality") == F.col("predicted")).cast("int"))).first()[0] > 0.97
     judged = __spark_entry__.queries()["op5_quality_rules"](spark, sf).join(labels, "doc_id").filter("not base_failed")
     assert judged.agg(F.avg((F.col("quality") == F.col("kept").cast("int")).cast("int"))).first()[0] > 0.97
+
+
+def _prose(n, vocabulary=5000):
+    return [f"w{random.randrange(vocabulary)}" for _ in range(n)]
+
+
+def _one_of_each_group(spark, texts):
+    found = nearcopies.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    groups = groups_of(texts)
+    assert sorted(r["doc_id"] for r in found.collect()) == sorted(set(groups))
+    return len(set(groups))
+
+
+@pytest.mark.parametrize("n", [50, 200, 500])
+def test_small_groups_that_share_a_long_passage(spark, n):
+    random.seed(n)
+    passage, texts = _prose(168), []
+    for _ in range(n):
+        words = [*passage, *_prose(32)]
+        texts += [" ".join(words), " ".join([*words[:-4], *_prose(4)])]  # 0.73 to the others, 0.96 to its copy
+    assert _one_of_each_group(spark, texts) == n
+
+
+@pytest.mark.parametrize("kind", ["appended", "replaced", "scattered"])
+def test_every_kind_of_edit_is_found(spark, kind):
+    random.seed(4)
+    texts = []
+    for k in range(150):
+        words = _prose(random.randint(170, 400))
+        n = len(words)
+        texts.append(" ".join(words))
+        if kind == "appended":  # n of n + m shingles stay
+            words += _prose(int(n * random.uniform(0.12, 0.24)))
+        elif kind == "replaced":
+            m = int(n * random.uniform(0.05, 0.105))
+            at = random.randrange(n - m)
+            words[at : at + m] = _prose(m)
+        else:
+            for at in random.sample(range(n), int(n * random.uniform(0.012, 0.022))):
+                words[at] = "edit"
+        texts.append(" ".join(words))
+    assert 150 <= _one_of_each_group(spark, texts) < 200  # a few just under 0.8 are no copies
+
+
+def test_long_texts_are_told_by_all_their_shingles(spark):
+    random.seed(6)
+    texts = []
+    for k in range(120):  # 0.79 or 0.81 of 400 shingles and more
+        words, share = _prose(random.randint(400, 600)), 0.79 if k % 2 else 0.81
+        texts += [" ".join(words), " ".join([*words, *_prose(round((len(words) - 4) * (1 / share - 1)))])]
+    assert _one_of_each_group(spark, texts) == 180
+
+
+def test_last_stage_gives_the_token_ids(spark, corpus):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    some = corpus.filter("doc_id < 5")
+    found = corpus_pipeline.STAGES[-1][1](spark, some, SF).orderBy("doc_id", "start").collect()
+    for r in some.collect():
+        ids = [i for f in found if f["doc_id"] == r["doc_id"] for i in f["ids"]]
+        assert ids == [*library.encode(r["text"], add_special_tokens=False).ids, 1]

@@ -253,3 +253,32 @@ def test_empty_tables(spark):
 
 def test_digest_of_no_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_account_numbers_end_where_their_country_says(spark):
+    texts = {
+        "IBAN DE89370400440532013000 BIC COBADEFFXXX": "IBAN [IBAN] BIC COBADEFFXXX",
+        "DE89 3704 0044 0532 0130 00 TODAY": "[IBAN] TODAY",
+        "GB82 WEST 1234 5698 7654 32 A new": "[IBAN] A new",
+        "NO9386011117947 NO93 8601 1117 947 OR": "[IBAN] [IBAN] OR",
+        "REF AB12 DE89370400440532013000": "REF AB12 [IBAN]",
+        "DE89370400440532013001 BIC": "DE89370400440532013001 BIC",
+    }
+    found = pii.redacted(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")).orderBy("doc_id")
+    assert [r["text"] for r in found.collect()] == list(texts.values())
+
+
+def test_mixing_keeps_rows_of_one_document_in_their_sources(spark):
+    rows = [(k, f"text {k} of some words", source, lang) for k in range(40) for source, lang in (("a", "en"), ("b", "en"), ("b", None))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    wanted = mixing.copies(docs, carried=("source",)).groupBy("source").agg(F.sum("copies").alias("n")).collect()
+    mix = mixing.mixed(docs)
+    assert {r["source"]: r["count"] for r in mix.groupBy("source").count().collect()} == {r["source"]: r["n"] for r in wanted}
+    assert set(map(tuple, mix.distinct().collect())) <= set(rows) and mix.filter("source = 'b' and lang is null").count() > 0
+
+
+def test_dictionaries_are_drawn_from_the_letters_of_whole_texts(spark):
+    rows = [(k, "1" * 500 + " " + lang_word * 30, lang) for k in range(20) for lang, lang_word in (("en", "the house and "), ("de", "das haus und "))]
+    rows += [(100 + k, "opening " * 50 + "closing " * 200, "fr") for k in range(20)]
+    learned = language.dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(learned) == {"en", "de", "fr"} and b"closing" in learned["fr"]
