@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, distinct_rows, doc_key, kept, map_texts, strides, text_key
+from .common import checkpointed, distinct_rows, doc_key, kept, map_texts, released, strides, text_key
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -40,8 +40,8 @@ MINIMA, AGREEING = 16, 4
 COUNTED, COMMON = 16, 1 << 17
 #: Texts met under one shingle above which the pairs within its largest component are passed over in one go.
 CROWD = 64
-#: Candidates at most that are broadcast to fetch their texts.
-MOST_BROADCAST = 50_000
+#: Candidates at most that are broadcast to fetch their texts; for more, all texts are shuffled.
+MOST_BROADCAST = 1 << 20
 #: Pairs handed on in one batch.
 PAIRS = 1 << 16
 #: What rounding may take from a bound.
@@ -232,10 +232,10 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similar
     pairs = checkpointed(pairs)
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     ends = checkpointed(ends)
+    released(texts.sparkSession)  # what the pairs were found with
     few = ends.count() <= MOST_BROADCAST
     asked = texts.join(F.broadcast(ends) if few else ends, "node", "left_semi")
     sets = _mapped(asked, lambda text: (shingles(text, shingle).tobytes(),), {"own": (pa.binary(), "binary")}).dropDuplicates(["node"])
-    sets = checkpointed(sets)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,9 +256,13 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similar
 def groups(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(child, parent) for each linked node of ``texts`` (node, text) but the smallest of its component."""
     summaries = checkpointed(_summaries(texts, shingle, similarity).dropDuplicates(["node"]))
+    released(texts.sparkSession)
     stars = components(verified(chained(summaries), texts, shingle, similarity))
     links = verified(met(summaries, stars, similarity), texts, shingle, similarity)
-    return components(stars.select(F.col("child").alias("a"), F.col("parent").alias("b")).union(links))
+    found = components(stars.select(F.col("child").alias("a"), F.col("parent").alias("b")).union(links))
+    del summaries, stars, links
+    released(texts.sparkSession)
+    return found
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
