@@ -1,23 +1,30 @@
 """Near-dedup at a given similarity of shingle sets, for whole documents with all their columns.
 
-The search is an exact similarity join by prefixes: in any one order of all shingles, two texts of
-similarity ``t`` share one of the first ``n - ceil(t * n) + 1`` of each one's ``n`` shingles, and the
-first that they share lies so far to the front that enough can follow it (position filter). So
-each text is posted under the shingles of its prefix, and those that meet under one and fit by
-size and place are candidates. Shingles run from rare to common, as counted in a share of the
-texts: a passage that thousands share comes last, where its place rules out those that share
-little else. Only speed depends on these counts; all pairs that can be similar are compared.
-
-Large groups of copies would make a pair of each two members. So texts that agree in several
-min-hashes are linked in chains first, and pairs within a component found so are passed over.
-
-Candidates are verified on all shingle hashes (64 bits) of both texts, which are made anew for
-candidates only; verified pairs are links. Equal texts are one node each from the start, so
-groups of exact copies cost nothing.
+SimHash by ball hashing comes first: texts whose fingerprints lie within the radius are compared,
+and linked if their shingle sets are as similar as asked. It finds copies that are all but equal,
+at little cost. Most copies at 0.8 lie further apart, so an exact similarity join by prefixes
+finds the rest: in any one order of all shingles, two texts of similarity ``t`` share one of the
+first ``n - ceil(t * n) + 1`` of each one's ``n`` shingles, and the first that they share lies so
+far to the front that enough can follow it (position filter). So each text is posted under the
+shingles of its prefix, and those that meet under one and fit by size and place are candidates.
+Shingles run from rare to common, as counted in a share of the texts. Only speed depends on
+these counts.
+
+Large groups of copies would make a pair of each two members. So under each shingle a text is
+compared with its next ``WIDTH`` neighbours only, in order of size. Under those with more texts,
+what was linked meanwhile need not be compared any more; where what is left comes to few
+pairs a text, all of them are compared, else more neighbours, and so on, until every pair that can
+be similar was compared or lies within one group. Crowded shingles are dealt to several tasks.
+
+Candidates are ruled out by the parities of their shingles in a bitmap, where these differ in
+more places than similar sets do, and else verified on all shingle hashes (64 bits) of both texts,
+which are made anew for these only; verified pairs are links. Equal texts are one node each from
+the start, so groups of exact copies cost nothing. Nodes are 64-bit hashes of texts.
 
 Edge cases: as in ``simhash``: null, empty and blank texts are all alike; fewer words than a
 shingle has make one shingle; a null doc_id comes last in its group; of rows equal in doc_id
-and text one stays; an empty table gives no rows; all columns of the input are kept.
+and text one stays; an empty table gives no rows; all columns of the input are kept, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -27,20 +34,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import checkpointed, distinct_rows, doc_key, kept, map_texts, released, strides, text_key
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Min-hashes of a text, and how many of them a chain's members agree in.
-MINIMA, AGREEING = 16, 4
+#: Bits by which the fingerprints of texts compared in the first place differ at most.
+RADIUS = 2
 #: One in so many texts is counted to tell common shingles; and those at most that are told.
 COUNTED, COMMON = 16, 1 << 17
-#: Texts met under one shingle above which the pairs within its largest component are passed over in one go.
-CROWD = 64
-#: Candidates at most that are broadcast to fetch their texts; for more, all texts are shuffled.
+#: Neighbours under a shingle that a text is compared with in the first round, and times as many in each further one.
+WIDTH, WIDER = 16, 4
+#: Texts under a shingle that meet in one task.
+PART = 1 << 17
+#: Texts or shingles at most that are broadcast to be looked up; for more, all are shuffled.
 MOST_BROADCAST = 1 << 20
 #: Pairs handed on in one batch.
 PAIRS = 1 << 16
@@ -48,6 +58,7 @@ PAIRS = 1 << 16
 SLACK = 1e-6
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
+_LONGS = (pa.list_(pa.int64()), "array<long>")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -86,14 +97,16 @@ def prefix(hashes: np.ndarray, common: np.ndarray, times: np.ndarray, similarity
     return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - SLACK) + 1]
 
 
-def chain_keys(hashes: np.ndarray) -> np.ndarray:
-    """Keys of which texts share one if they agree in ``AGREEING`` min-hashes, each the least of a range of hashes."""
-    starts = np.arange(MINIMA, dtype=np.uint64) << np.uint64(64 - MINIMA.bit_length() + 1)
-    least = hashes[np.searchsorted(hashes, starts) % len(hashes)].reshape(-1, AGREEING)
-    total = np.arange(1, len(least) + 1, dtype=np.uint64)
-    for k in range(AGREEING):
-        total = _mixed(total + least[:, k] * _ODD[k % len(_ODD)])
-    return total
+def parities(hashes: np.ndarray) -> bytes:
+    """A bitmap of two to four bits a shingle: whether an odd number of shingles falls on each."""
+    size = 1 << max(8, (2 * len(hashes) - 1).bit_length())
+    return np.packbits(np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def difference(a: bytes, b: bytes) -> int:
+    """The least number of shingles by which two sets with these parities differ."""
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0) ^ x).sum())
 
 
 def _mapped(texts: DataFrame, made, columns: dict[str, tuple[pa.DataType, str]]) -> DataFrame:
@@ -111,9 +124,6 @@ def _mapped(texts: DataFrame, made, columns: dict[str, tuple[pa.DataType, str]])
     return map_texts(texts.select("node", F.col("text").cast("binary")), mapped, schema)
 
 
-_LONGS = (pa.list_(pa.int64()), "array<long>")
-
-
 def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that come most often in a share of the texts, in order, and in how many texts each."""
     counted = texts.filter(F.pmod("node", F.lit(COUNTED)) == 0).dropDuplicates(["node"])
@@ -125,116 +135,214 @@ def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return common[order], found["count"].to_numpy().astype(np.int32)[order]
 
 
-def _summaries(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """node, size, keys (of chains) and prefix of each row of ``texts`` (node, text)."""
-    common, times = _common(texts, shingle)
+def summaries(texts: DataFrame, common: np.ndarray, times: np.ndarray, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """node, size, fp (fingerprint), bits (parities) and prefix of each node of ``texts`` (node, text)."""
 
     def made(text: bytes) -> tuple:
         own = shingles(text, shingle)
-        return len(own), chain_keys(own).view(np.int64), prefix(own, common, times, similarity).view(np.int64)
-
-    return _mapped(texts, made, {"size": (pa.int32(), "int"), "keys": _LONGS, "prefix": _LONGS})
-
-
-def chained(summaries: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts next to each other under one of their keys."""
-    keyed = summaries.select("node", F.explode("keys").alias("key"), F.element_at("keys", 1).alias("first"), F.element_at("keys", -1).alias("last"))
-    met = Window.partitionBy("key").orderBy("first", "last", "node")
-    return keyed.select(F.col("node").alias("b"), F.lag("node").over(met).alias("a")).filter("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _pairs(size: np.ndarray, most: np.ndarray, node: np.ndarray, group: np.ndarray, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes of different groups under one key, each within the other's ``most``; in order of key and size."""
-    left = np.arange(len(key))
-    step = 1
-    while len(left):
-        left = left[left + step < len(key)]
-        other = left + step
-        near = (key[other] == key[left]) & (size[other] <= most[left])  # later ones are larger
-        left, other = left[near], other[near]
-        fit = (size[left] <= most[other]) & (group[left] != group[other])
-        yield node[left[fit]], node[other[fit]]
-        step += 1
-
-
-def _crowd_pairs(size: np.ndarray, most: np.ndarray, node: np.ndarray, group: np.ndarray, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``_pairs`` under a single key, without a look at the pairs within a group that has most of its texts."""
-    while len(node) > CROWD:
-        groups, counts = np.unique(group, return_counts=True)
-        if 2 * counts.max() <= len(node):
-            break
-        inner = group == groups[counts.argmax()]
-        inner_size, inner_most, inner_node = size[inner], most[inner], node[inner]
-        size, most, node, group, key = (column[~inner] for column in (size, most, node, group, key))
-        for own_size, own_most, own in zip(size, most, node):
-            fit = inner_node[(inner_size <= own_most) & (own_size <= inner_most)]
-            yield np.full(len(fit), own), fit
-    yield from _pairs(size, most, node, group, key)
-
-
-def _meetings(key: np.ndarray, size: np.ndarray, at: np.ndarray, node: np.ndarray, group: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidates among postings in order of key (whole ones) and size."""
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    lengths = np.diff(np.r_[starts, len(key)])
-    mixed = np.minimum.reduceat(group, starts) != np.maximum.reduceat(group, starts)
-    # the size of another text up to which what follows in both is enough
-    most = np.floor((1 + similarity) / similarity * (size - at) - size + SLACK).astype(np.int64)
-    columns = (size, most, node, group, key)
-    for k in np.flatnonzero(mixed & (lengths > CROWD)):
-        yield from _crowd_pairs(*(column[starts[k] : starts[k] + lengths[k]] for column in columns))
-    few = np.repeat(mixed & (lengths <= CROWD), lengths)
-    yield from _pairs(*(column[few] for column in columns))
-
-
-def met(summaries: DataFrame, stars: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """All pairs (a, b) that can be similar, but for those of one component in ``stars`` (child, parent)."""
+        return len(own), simhash.majority(own), parities(own), prefix(own, common, times, similarity).view(np.int64)
 
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("shingle", "size", "at", "node", "root")
+    columns = {"size": (pa.int32(), "int"), "fp": (pa.int64(), "long"), "bits": (pa.binary(), "binary"), "prefix": _LONGS}
+    return _mapped(texts, made, columns).dropDuplicates(["node"])
+
+
+def _ordered(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def ball(told: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (a, b) of texts whose fingerprints are equal or, by ball hashing, within ``radius``; each chain of these is connected."""
+    first = checkpointed(told.groupBy("fp").agg(F.min("node").alias("first"), F.max("node").alias("last")))
+    equal = told.join(first.filter("first < last"), "fp").filter("node > first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    end = lambda name: first.select(F.col("fp").alias(name), F.col("first").alias(f"node_{name}"))
+    near = simhash.links(first.select("fp"), radius).join(end("a"), "a").join(end("b"), "b").select(*_ordered("node_a", "node_b"))
+    return equal.unionByName(near)
+
+
+def _posted(told: DataFrame, stars: DataFrame) -> DataFrame:
+    """shingle, size, at (its place), node and root of each text under each shingle of its prefix."""
+    rooted = told.select("node", "size", "prefix").join(stars.select(F.col("child").alias("node"), F.col("parent").alias("root")), "node", "left")
+    return rooted.select(F.posexplode("prefix").alias("at", "shingle"), "size", "node", F.coalesce("root", "node").alias("root"))
+
+
+def _most(size: np.ndarray, at: np.ndarray, similarity: float) -> np.ndarray:
+    """The size of another text up to which what follows in both is enough."""
+    return np.floor((1 + similarity) / similarity * (size - at) - size + SLACK).astype(np.int64)
+
+
+def _batched(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Batches of the pairs, each pair in order and once a batch."""
+
+    def batch_of(held: list) -> pa.RecordBatch:
+        x, y = (np.concatenate(c) for c in zip(*held))
+        ends = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], ["a", "b"])
 
-        def found(parts: list) -> Iterator[pa.RecordBatch]:
+    held, total = [], 0
+    for pair in pairs:
+        held.append(pair)
+        total += len(pair[0])
+        if total >= PAIRS:
+            yield batch_of(held)
             held, total = [], 0
-            for pair in _meetings(*(np.concatenate(c) for c in zip(*parts)), similarity) if parts else ():
-                held.append(pair)
-                total += len(pair[0])
-                if total >= PAIRS:
-                    yield batch_of(held)
-                    held, total = [], 0
-            if total:
-                yield batch_of(held)
-
-        def batch_of(held: list) -> pa.RecordBatch:
-            x, y = (np.concatenate(c) for c in zip(*held))
-            ends = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], ["a", "b"])
-
-        open_parts: list = []
+    if total:
+        yield batch_of(held)
+
+
+def _columns(batch: pa.RecordBatch, names: tuple[str, ...]) -> list[np.ndarray]:
+    return [batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64) for name in names]
+
+
+def neighbours(dealt: DataFrame, width: int, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of ``dealt`` (shingle, part, ...) which can be similar, of different roots, among each one's next ``width`` of its part.
+
+    Besides, with null as b, each shingle under which more than these may be left to compare.
+    A task holds a batch and ``width`` rows.
+    """
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("shingle", "part", "size", "at", "node", "root")
+        tail: list[np.ndarray] = [np.zeros(0, np.int64)] * len(names)
+        seen = [0, 0, 0, 0]  # of the last part so far: texts, least and greatest root, shingle
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = _columns(batch, names)
+            begin, columns = len(tail[0]), [np.concatenate(c) for c in zip(tail, new)]
+            key, part, size, at, node, root = columns
+            most = _most(size, at, similarity)
+
+            def near(begin=begin, key=key, part=part, size=size, most=most, node=node, root=root) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for step in range(1, width + 1):
+                    other = np.arange(max(begin, step), len(key))
+                    other = other[(key[other - step] == key[other]) & (part[other - step] == part[other])]
+                    if not len(other):
+                        break
+                    left = other - step
+                    fit = (size[other] <= most[left]) & (size[left] <= most[other]) & (root[left] != root[other])
+                    yield node[left[fit]], node[other[fit]]
+
+            yield from _batched(near())
+            key, part, root = new[0], new[1], new[5]
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+            counts = np.diff(np.r_[starts, len(key)])
+            low, high = np.minimum.reduceat(root, starts), np.maximum.reduceat(root, starts)
+            if begin and tail[0][-1] == key[0] and tail[1][-1] == part[0]:  # the last part goes on
+                counts[0] += seen[0]
+                low[0], high[0] = min(low[0], seen[1]), max(high[0], seen[2])
+            # the last one is told when it is more, even if it goes on
+            left_over = np.unique(key[starts[(counts > width + 1) & (low != high)]])
+            if len(left_over):
+                yield pa.RecordBatch.from_arrays([pa.array(left_over), pa.nulls(len(left_over), pa.int64())], ["a", "b"])
+            seen = [counts[-1], low[-1], high[-1], key[-1]]
+            same = np.flatnonzero((columns[0] == key[-1]) & (columns[1] == part[-1]))[-width:]
+            tail = [c[same] for c in columns]
+
+    placed = dealt.repartition("shingle", "part").sortWithinPartitions("shingle", "part", "size", "node")
+    return placed.mapInArrow(paired, "a long, b long").distinct()
+
+
+def meetings(celled: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """All pairs (a, b) of ``celled`` which can be similar and are to meet: in cells from 0 on inner texts with others, below 0 others of different roots."""
+
+    def of_cell(x: int, inner: np.ndarray, size: np.ndarray, at: np.ndarray, node: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        most, own = _most(size, at, similarity), inner.astype(bool)
+        if x >= 0:
+            inner_size, inner_most, inner_node = size[own], most[own], node[own]
+            for n, m, k in zip(size[~own], most[~own], node[~own]):
+                upto = np.searchsorted(inner_size, m, "right")  # in order of size
+                fit = inner_node[:upto][inner_most[:upto] >= n]
+                yield np.full(len(fit), k), fit
+            return
+        left, step = np.arange(len(node)), 1
+        while len(left := left[left + step < len(node)]):
+            left = left[size[left + step] <= most[left]]  # later ones are larger
+            other = left + step
+            fit = (size[left] <= most[other]) & (root[left] != root[other])
+            yield node[left[fit]], node[other[fit]]
+            step += 1
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("shingle", "x", "y", "inner", "size", "at", "node", "root")
+
+        def found(parts: list[list[np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            if parts:
+                key, x, y, *rest = (np.concatenate(c) for c in zip(*parts))
+                cuts = np.flatnonzero((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+                for start, end in zip([0, *cuts], [*cuts, len(key)]):
+                    yield from of_cell(int(x[start]), *(c[start:end] for c in rest))
+
+        held: list[list[np.ndarray]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(name).to_numpy(zero_copy_only=False) for name in names]
-            columns[1:3] = (c.astype(np.int64) for c in columns[1:3])
-            last = int(np.searchsorted(columns[0], columns[0][-1]))  # where the batch's last shingle begins
-            if last or (open_parts and open_parts[-1][0][-1] != columns[0][0]):
-                yield from found([*open_parts, [c[:last] for c in columns]])
-                open_parts = []
-            open_parts.append([c[last:] for c in columns])
-        yield from found(open_parts)
-
-    told = summaries.select("node", "size", "prefix").join(stars.select(F.col("child").alias("node"), F.col("parent").alias("root")), "node", "left")
-    posted = told.select(F.posexplode("prefix").alias("at", "shingle"), "size", "node", F.coalesce("root", "node").alias("root"))
-    posted = posted.repartition("shingle").sortWithinPartitions("shingle", "size")
-    return posted.mapInArrow(paired, "a long, b long").distinct()
-
-
-def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+            columns = _columns(batch, names)
+            apart = (columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1]) | (columns[2] != columns[2][-1])
+            last = int(apart.sum())  # where the batch's last cell begins
+            if last or (held and any(held[-1][k][-1] != columns[k][0] for k in range(3))):
+                yield from _batched(found([*held, [c[:last] for c in columns]]))
+                held = []
+            held.append([c[last:] for c in columns])
+        yield from _batched(found(held))
+
+    placed = celled.repartition("shingle", "x", "y").sortWithinPartitions("shingle", "x", "y", "size", "node")
+    return placed.mapInArrow(paired, "a long, b long").distinct()
+
+
+def _among(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` is in ``few``, which is checkpointed: broadcast only when its rows are counted and few."""
+    return rows.join(F.broadcast(few) if few.count() <= MOST_BROADCAST else few, key, "left_semi")
+
+
+def further(told: DataFrame, stars: DataFrame, crowded: DataFrame, width: int, turn: int, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Pairs of a further round under ``crowded`` shingles, and the shingles that are left after it.
+
+    Where no more than ``width`` pairs a text are left, all of them: the shingle's largest root (inner texts) meets
+    the others, and these meet each other, in blocks of at most PART texts. Elsewhere ``width`` neighbours.
+    """
+    posted = _among(_posted(told, stars), crowded, "shingle")
+    by_root = posted.groupBy("shingle", "root").agg(F.count("*").alias("n"))
+    tally = by_root.groupBy("shingle").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("chief"))
+    others = F.col("all") - F.col("most")
+    few_pairs = F.col("most") * others + others * others / 2 <= F.col("all") * width
+    tally = checkpointed(tally.withColumn("others", others).withColumn("closing", few_pairs).filter("others > 0"))
+    blocks = lambda n: F.greatest(F.ceil(F.col(n) / PART), F.lit(1)).cast("int")
+    met = posted.join(tally, "shingle")
+    block = lambda n: F.pmod(F.xxhash64("node", F.lit(turn)), n).cast("int")
+    inner = F.col("root") == F.col("chief")
+    cells = met.filter("closing").withColumns({"inner": inner.cast("int"), "p": blocks("most"), "q": blocks("others")})
+    cells = cells.withColumn("own", F.when(inner, block(F.col("p"))).otherwise(block(F.col("q"))))
+    every = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    cell = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    with_inner, own = every("p", lambda i: cell(i, F.col("own"))), F.col("own")
+    with_others = every("q", lambda k: cell(-1 - F.least(own, k), F.greatest(own, k)))
+    celled = cells.select("shingle", "inner", "size", "at", "node", "root", F.inline(F.when(inner, every("q", lambda j: cell(own, j))).otherwise(F.concat(with_inner, with_others))))
+    dealt = met.filter("not closing").withColumn("part", block(blocks("all")))
+    pairs = meetings(celled, similarity).unionByName(neighbours(dealt, width, similarity).filter("b is not null"))
+    return pairs, tally.filter("not closing").select("shingle")
+
+
+def _possible(pairs: DataFrame, told: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose parities do not rule them out."""
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            most = np.floor((1 - similarity) / (1 + similarity) * sizes + SLACK).tolist()
+            keep = [difference(x.as_py(), y.as_py()) <= m for x, y, m in zip(batch.column(4), batch.column(5), most)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    own = lambda end: told.select(F.col("node").alias(end), F.col("size").cast("long").alias(f"size_{end}"), F.col("bits").alias(f"bits_{end}"))
+    both = pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "size_a", "size_b", "bits_a", "bits_b")
+    return map_texts(both, passed, "a long, b long")
+
+
+def verified(pairs: DataFrame, told: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose texts in ``texts`` (node, text) share ``similarity`` of all their shingles."""
-    pairs = checkpointed(pairs)
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    ends = checkpointed(ends)
+    near = checkpointed(_possible(pairs, told, similarity))
+    ends = checkpointed(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     released(texts.sparkSession)  # what the pairs were found with
-    few = ends.count() <= MOST_BROADCAST
-    asked = texts.join(F.broadcast(ends) if few else ends, "node", "left_semi")
+    asked = _among(texts, ends, "node")
     sets = _mapped(asked, lambda text: (shingles(text, shingle).tobytes(),), {"own": (pa.binary(), "binary")}).dropDuplicates(["node"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,30 +353,51 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similar
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(shared >= similarity * (len(both) - shared))
+                keep.append(shared >= similarity * (len(both) - shared) - SLACK)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     own = lambda end: sets.select(F.col("node").alias(end), F.col("own").alias(f"own_{end}"))
-    told = pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "own_a", "own_b")
-    return map_texts(told, compared, "a long, b long")
+    both = near.join(own("a"), "a").join(own("b"), "b").select("a", "b", "own_a", "own_b")
+    return map_texts(both, compared, "a long, b long")
 
 
-def groups(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def groups(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(child, parent) for each linked node of ``texts`` (node, text) but the smallest of its component."""
-    summaries = checkpointed(_summaries(texts, shingle, similarity).dropDuplicates(["node"]))
-    released(texts.sparkSession)
-    stars = components(verified(chained(summaries), texts, shingle, similarity))
-    links = verified(met(summaries, stars, similarity), texts, shingle, similarity)
-    found = components(stars.select(F.col("child").alias("a"), F.col("parent").alias("b")).union(links))
-    del summaries, stars, links
-    released(texts.sparkSession)
-    return found
-
-
-def deduplicated(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    spark = texts.sparkSession
+    common, times = _common(texts, shingle)
+    told = checkpointed(summaries(texts, common, times, shingle, similarity))
+    tested = checkpointed(ball(told, radius))
+    stars = components(verified(tested, told, texts, shingle, similarity))
+    posted = _posted(told, stars)
+    hot = np.flatnonzero(times > PART // COUNTED)
+    if len(hot):  # known beforehand: dealt to several parts at once
+        parts = [(int(s), -(-int(t) * COUNTED // PART)) for s, t in zip(common[hot].view(np.int64), times[hot])]
+        posted = posted.join(F.broadcast(spark.createDataFrame(parts, "shingle long, parts int")), "shingle", "left")
+        part = F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(0))
+    else:
+        parts, part = [], F.lit(0)
+    found = checkpointed(neighbours(posted.withColumn("part", part.cast("int")), WIDTH, similarity))
+    pairs, crowded = found.filter("b is not null"), found.filter("b is null").select(F.col("a").alias("shingle"))
+    if parts:
+        crowded = crowded.union(spark.createDataFrame([(s,) for s, _ in parts], "shingle long")).distinct()
+    crowded = checkpointed(crowded)
+    width, turn = WIDTH, 0
+    while True:
+        pairs = checkpointed(pairs.join(tested, ["a", "b"], "left_anti"))
+        links = checkpointed(verified(pairs, told, texts, shingle, similarity))
+        stars = components(stars.select(F.col("child").alias("a"), F.col("parent").alias("b")).union(links))
+        if crowded.isEmpty():
+            return stars
+        tested, width, turn = tested.union(pairs), WIDER * width, turn + 1
+        pairs, crowded = further(told, stars, crowded, width, turn, similarity)
+        pairs, crowded = checkpointed(pairs), checkpointed(crowded)
+
+
+def deduplicated(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """One document of each group: the one with the smallest doc_id (nulls last), all its columns kept."""
     node = text_key().alias("node")
-    stars = groups(docs.select(node, "text"), shingle, similarity).select(F.col("child").alias("node"), F.col("parent").alias("root"))
+    stars = groups(docs.select(node, "text"), shingle, similarity, radius).select(F.col("child").alias("node"), F.col("parent").alias("root"))
+    released(docs.sparkSession)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_key", "node")).alias("first")
     # the first document of each text, then of each group of texts: both minima are combined before they are shuffled
     texts = docs.select("doc_id", doc_key().alias("doc_key"), node).groupBy("node").agg(first)

@@ -46,7 +46,11 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[k:] for k in range(shingle))))
-    hashes = np.array([xxh64_intdigest(s, SEED) for s in shingles], np.uint64)
+    return majority(np.array([xxh64_intdigest(s, SEED) for s in shingles], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the 64-bit ``hashes`` have, as a signed 64-bit integer."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), STRIDE):
         some = hashes[at : at + STRIDE].view(np.uint8).reshape(-1, 8)

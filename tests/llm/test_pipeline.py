@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,9 +123,9 @@ def test_large_group_of_copies(spark):
 
 
 @pytest.mark.parametrize("broadcast", [0, 50_000])
-def test_crowded_fingerprints_are_dealt_out(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(nearcopies, "CROWD", 10)
-    monkeypatch.setattr(nearcopies, "MOST_BROADCAST", broadcast)
+def test_crowded_shingles_take_several_rounds(spark, monkeypatch, broadcast):
+    for name, value in (("WIDTH", 1), ("WIDER", 2), ("PART", 16), ("COUNTED", 2), ("MOST_BROADCAST", broadcast)):
+        monkeypatch.setattr(nearcopies, name, value)
     random.seed(5)
     words = [random.choice(SPEECH["en"]) + random.choice("abcdefgh") for _ in range(200)]
     copies = [" ".join([*words[:k], "edit", *words[k + 1 :]]) for k in range(0, 200, 2)]
@@ -132,6 +133,33 @@ def test_crowded_fingerprints_are_dealt_out(spark, monkeypatch, broadcast):
     assert [r["doc_id"] for r in nearcopies.deduplicated(docs).collect()] == [0]
 
 
+def test_crowded_shingles_lose_no_link(spark, monkeypatch):
+    for name, value in (("WIDTH", 1), ("WIDER", 2), ("PART", 8)):
+        monkeypatch.setattr(nearcopies, name, value)
+    random.seed(8)
+    passage, texts = _prose(100), []
+    for k in range(80):  # about 0.75 to each other, and chains of copies among them
+        words = [*passage, *_prose(14)]
+        texts.append(" ".join(words))
+        for _ in range(k % 4):
+            at = random.randrange(len(words))
+            words[at] = f"edit{at}"
+            texts.append(" ".join(words))
+    random.shuffle(texts)
+    assert 10 < _one_of_each_group(spark, texts) <= 80
+
+
+def test_parities_never_rule_out_similar_sets():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 60, 300, 2000):
+        for share in (0.0, 0.1, 0.5, 1.0):
+            a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            b = np.concatenate([a[int(share * n) :], rng.integers(0, 1 << 63, rng.integers(0, n + 1)).astype(np.uint64)])
+            a, b = np.unique(a), np.unique(b)
+            least = nearcopies.difference(nearcopies.parities(a), nearcopies.parities(b))
+            assert least <= len(np.setxor1d(a, b)) and nearcopies.difference(nearcopies.parities(a), nearcopies.parities(a)) == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.MODULES))
 def test_queries_run_whole(spark, name):
     found = __spark_entry__.queries()[name](spark, SF)
