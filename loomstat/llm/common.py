@@ -17,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 #: Bytes of text held as Python objects in one go, and handed to Python in one batch.
-STRIDE, BATCH = 1 << 20, 8 << 20
+STRIDE, BATCH = 1 << 20, 4 << 20
 _BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition in the upper bits, row in the lower 33

@@ -1,9 +1,8 @@
 """Near-dedup at a given similarity of shingle sets, for whole documents with all their columns.
 
-SimHash by ball hashing comes first: texts whose fingerprints lie within the radius are compared,
-and linked if their shingle sets are as similar as asked. It finds copies that are all but equal,
-at little cost. Most copies at 0.8 lie further apart, so an exact similarity join by prefixes
-finds the rest: in any one order of all shingles, two texts of similarity ``t`` share one of the
+SimHash by ball hashing proposes texts whose fingerprints lie within the radius: copies that are
+all but equal. Most copies at 0.8 lie further apart, so an exact similarity join by prefixes
+proposes the rest: in any one order of all shingles, two texts of similarity ``t`` share one of the
 first ``n - ceil(t * n) + 1`` of each one's ``n`` shingles, and the first that they share lies so
 far to the front that enough can follow it (position filter). So each text is posted under the
 shingles of its prefix, and those that meet under one and fit by size and place are candidates.
@@ -47,7 +46,7 @@ RADIUS = 2
 #: One in so many texts is counted to tell common shingles; and those at most that are told.
 COUNTED, COMMON = 16, 1 << 17
 #: Neighbours under a shingle that a text is compared with in the first round, and times as many in each further one.
-WIDTH, WIDER = 16, 4
+WIDTH, WIDER = 32, 8
 #: Texts under a shingle that meet in one task.
 PART = 1 << 17
 #: Texts or shingles at most that are broadcast to be looked up; for more, all are shuffled.
@@ -159,10 +158,9 @@ def ball(told: DataFrame, radius: int = RADIUS) -> DataFrame:
     return equal.unionByName(near)
 
 
-def _posted(told: DataFrame, stars: DataFrame) -> DataFrame:
-    """shingle, size, at (its place), node and root of each text under each shingle of its prefix."""
-    rooted = told.select("node", "size", "prefix").join(stars.select(F.col("child").alias("node"), F.col("parent").alias("root")), "node", "left")
-    return rooted.select(F.posexplode("prefix").alias("at", "shingle"), "size", "node", F.coalesce("root", "node").alias("root"))
+def _posted(told: DataFrame) -> DataFrame:
+    """shingle, size, at (its place) and node of each text under each shingle of its prefix."""
+    return told.select(F.posexplode("prefix").alias("at", "shingle"), "size", "node")
 
 
 def _most(size: np.ndarray, at: np.ndarray, similarity: float) -> np.ndarray:
@@ -194,39 +192,40 @@ def _columns(batch: pa.RecordBatch, names: tuple[str, ...]) -> list[np.ndarray]:
 
 
 def neighbours(dealt: DataFrame, width: int, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) of ``dealt`` (shingle, part, ...) which can be similar, of different roots, among each one's next ``width`` of its part.
+    """Pairs (a, b) of ``dealt`` (shingle, part, ...) which can be similar, of different roots (if told), among each one's next ``width`` of its part.
 
     Besides, with null as b, each shingle under which more than these may be left to compare.
     A task holds a batch and ``width`` rows.
     """
+    root = "root" if "root" in dealt.columns else "node"
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("shingle", "part", "size", "at", "node", "root")
+        names = ("shingle", "part", "size", "at", "node", root)
         tail: list[np.ndarray] = [np.zeros(0, np.int64)] * len(names)
-        seen = [0, 0, 0, 0]  # of the last part so far: texts, least and greatest root, shingle
+        seen = [0, 0, 0]  # of the last part so far: texts, least and greatest root
         for batch in batches:
             if not batch.num_rows:
                 continue
             new = _columns(batch, names)
             begin, columns = len(tail[0]), [np.concatenate(c) for c in zip(tail, new)]
-            key, part, size, at, node, root = columns
+            key, part, size, at, node, top = columns
             most = _most(size, at, similarity)
 
-            def near(begin=begin, key=key, part=part, size=size, most=most, node=node, root=root) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            def near(begin=begin, key=key, part=part, size=size, most=most, node=node, top=top) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 for step in range(1, width + 1):
                     other = np.arange(max(begin, step), len(key))
                     other = other[(key[other - step] == key[other]) & (part[other - step] == part[other])]
                     if not len(other):
                         break
                     left = other - step
-                    fit = (size[other] <= most[left]) & (size[left] <= most[other]) & (root[left] != root[other])
+                    fit = (size[other] <= most[left]) & (size[left] <= most[other]) & (top[left] != top[other])
                     yield node[left[fit]], node[other[fit]]
 
             yield from _batched(near())
-            key, part, root = new[0], new[1], new[5]
+            key, part, top = new[0], new[1], new[5]
             starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
             counts = np.diff(np.r_[starts, len(key)])
-            low, high = np.minimum.reduceat(root, starts), np.maximum.reduceat(root, starts)
+            low, high = np.minimum.reduceat(top, starts), np.maximum.reduceat(top, starts)
             if begin and tail[0][-1] == key[0] and tail[1][-1] == part[0]:  # the last part goes on
                 counts[0] += seen[0]
                 low[0], high[0] = min(low[0], seen[1]), max(high[0], seen[2])
@@ -234,7 +233,7 @@ def neighbours(dealt: DataFrame, width: int, similarity: float = SIMILARITY) ->
             left_over = np.unique(key[starts[(counts > width + 1) & (low != high)]])
             if len(left_over):
                 yield pa.RecordBatch.from_arrays([pa.array(left_over), pa.nulls(len(left_over), pa.int64())], ["a", "b"])
-            seen = [counts[-1], low[-1], high[-1], key[-1]]
+            seen = [counts[-1], low[-1], high[-1]]
             same = np.flatnonzero((columns[0] == key[-1]) & (columns[1] == part[-1]))[-width:]
             tail = [c[same] for c in columns]
 
@@ -300,7 +299,8 @@ def further(told: DataFrame, stars: DataFrame, crowded: DataFrame, width: int, t
     Where no more than ``width`` pairs a text are left, all of them: the shingle's largest root (inner texts) meets
     the others, and these meet each other, in blocks of at most PART texts. Elsewhere ``width`` neighbours.
     """
-    posted = _among(_posted(told, stars), crowded, "shingle")
+    roots = stars.select(F.col("child").alias("node"), F.col("parent").alias("root"))
+    posted = _among(_posted(told), crowded, "shingle").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = posted.groupBy("shingle", "root").agg(F.count("*").alias("n"))
     tally = by_root.groupBy("shingle").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("chief"))
     others = F.col("all") - F.col("most")
@@ -366,9 +366,8 @@ def groups(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     spark = texts.sparkSession
     common, times = _common(texts, shingle)
     told = checkpointed(summaries(texts, common, times, shingle, similarity))
-    tested = checkpointed(ball(told, radius))
-    stars = components(verified(tested, told, texts, shingle, similarity))
-    posted = _posted(told, stars)
+    stars = spark.createDataFrame([], "child long, parent long")
+    posted = _posted(told)
     hot = np.flatnonzero(times > PART // COUNTED)
     if len(hot):  # known beforehand: dealt to several parts at once
         parts = [(int(s), -(-int(t) * COUNTED // PART)) for s, t in zip(common[hot].view(np.int64), times[hot])]
@@ -377,20 +376,21 @@ def groups(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     else:
         parts, part = [], F.lit(0)
     found = checkpointed(neighbours(posted.withColumn("part", part.cast("int")), WIDTH, similarity))
-    pairs, crowded = found.filter("b is not null"), found.filter("b is null").select(F.col("a").alias("shingle"))
+    released(spark)
+    crowded = found.filter("b is null").select(F.col("a").alias("shingle"))
     if parts:
         crowded = crowded.union(spark.createDataFrame([(s,) for s, _ in parts], "shingle long")).distinct()
-    crowded = checkpointed(crowded)
-    width, turn = WIDTH, 0
+    pairs = checkpointed(ball(told, radius).union(found.filter("b is not null")).distinct())
+    tested, width, turn = pairs, WIDTH, 0
     while True:
-        pairs = checkpointed(pairs.join(tested, ["a", "b"], "left_anti"))
-        links = checkpointed(verified(pairs, told, texts, shingle, similarity))
+        links = verified(pairs, told, texts, shingle, similarity)
         stars = components(stars.select(F.col("child").alias("a"), F.col("parent").alias("b")).union(links))
         if crowded.isEmpty():
             return stars
-        tested, width, turn = tested.union(pairs), WIDER * width, turn + 1
+        width, turn = WIDER * width, turn + 1
         pairs, crowded = further(told, stars, crowded, width, turn, similarity)
-        pairs, crowded = checkpointed(pairs), checkpointed(crowded)
+        pairs = checkpointed(pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = tested.union(pairs)
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
