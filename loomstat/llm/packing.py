@@ -94,10 +94,13 @@ class WordTokenizer:
     def _split(self, text: bytes) -> list[bytes]:
         if b"<|" in text:  # may hold a special token, whose letters' case counts
             return text.split()
-        signs = np.frombuffer(text.lower(), np.uint8)
+        own, signs = np.frombuffer(text, np.uint8), np.frombuffer(text.lower(), np.uint8)
         kinds = self.kinds[signs]
         cuts = np.flatnonzero((kinds[1:] ^ kinds[:-1]) == 3) + 1  # 1 beside 2
-        return np.insert(signs, cuts, 32).tobytes().split() if len(cuts) else signs.tobytes().split()
+        # a capital and marks after it are composed before the tokenizer lowers them: such a word keeps its case
+        composed = bool((((own[:-1] - 65) < 26) & (own[1:] > 127)).any())
+        words = np.insert(own if composed else signs, cuts, 32).tobytes().split()
+        return [w.lower() if w.isascii() else w for w in words] if composed else words
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
