@@ -4,7 +4,9 @@ DataFrame functions only. A pattern's matches and the pieces of text between the
 expression passes, taken only by texts that pass a cheap test) give all positions by running
 sums of lengths, in code points. Patterns are written so that a scan stays linear on long runs
 of like characters: possessive where that changes no match, and starting only where a run
-starts or the last match ended.
+starts or the last match ended. Running sums go by stretches, and what lies around spans or
+between them is taken from the text's blocks, so that the time of a text grows with its length
+and its spans alone.
 
 Kinds, in order. Base kinds, which always stay: ``email``; ``ip`` (parts at most 255); ``card``
 (13 to 19 digits, Luhn); ``phone`` (9 to 15 digits). Further kinds, which stay with a score of at
@@ -12,8 +14,8 @@ least ``THRESHOLD``: ``iban`` (mod-97 confirms), ``ssn`` and ``secret`` (long he
 both of which need a context word nearby.
 
 Edge cases: a null text counts as empty and has no spans; repeated rows are searched each; a
-null doc_id stays null; an empty table gives no rows; other columns are not carried by
-``query`` and are kept by ``redacted``.
+null doc_id stays null; an empty table gives no rows; other columns, whatever their names, are
+not carried by ``query`` and are kept by ``found`` and ``redacted``.
 """
 
 from __future__ import annotations
@@ -33,6 +35,9 @@ THRESHOLD = 0.6
 #: What a context word nearby adds.
 CONTEXT = 0.4
 
+#: Places of a running fold that are gathered in one array before it joins the others; code points of a block of text.
+STRETCH, BLOCK = 128, 256
+
 _SPAN = "array<struct<start:int,end:int,match:string>>"
 
 
@@ -111,31 +116,57 @@ FURTHER = (
 KINDS = BASE + FURTHER
 
 
+def running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """The fold by ``step``, from 0, of an array of integers up to each place. Stretches keep the arrays that grow short."""
+
+    def appended(seen: Column, last: Column, more: Column) -> Column:
+        return F.struct(last.alias("last"), F.concat(seen["out"], F.array(more)).alias("out"))
+
+    def stretch(part: Column, before: Column) -> Column:
+        begun = F.struct(before.alias("last"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, begun, lambda seen, x: let(step(seen["last"], x), lambda v: appended(seen, v, v)))
+
+    def stretches(values: Column) -> Column:
+        last = F.greatest(F.floor((F.size(values) - 1) / STRETCH), F.lit(0)).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(values, k * STRETCH + 1, STRETCH))
+        begun = F.struct(F.lit(0).alias("last"), F.array().cast("array<array<int>>").alias("out"))
+        folded = F.aggregate(parts, begun, lambda seen, part: let(stretch(part, seen["last"]), lambda s: appended(seen, s["last"], s["out"])))
+        return F.flatten(folded["out"])
+
+    return let(values, stretches)
+
+
+def _piece(blocks: Column, start: Column, end: Column) -> Column:
+    """The text from ``start`` up to ``end``, from its blocks."""
+    first = F.floor(start / BLOCK).cast("int")
+    n = F.floor((end + BLOCK - 1) / BLOCK).cast("int") - first
+    return F.substring(F.array_join(F.slice(blocks, first + 1, F.greatest(n, F.lit(0))), ""), start - first * BLOCK + 1, F.greatest(end - start, F.lit(0)))
+
+
 def _matches(text: Column, kind: Kind) -> Column:
     """Spans of the kind's confirmed matches, in order."""
     none = F.array().cast(_SPAN)
-
-    def step(seen: Column, pair: Column) -> Column:
-        start = seen["at"] + F.length(pair["before"])
-        end = start + F.length(pair["match"])
-        span = F.array(F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match")))
-        return F.struct(end.alias("at"), F.when(kind.valid(pair["match"]), F.concat(seen["spans"], span)).otherwise(seen["spans"]).alias("spans"))
-
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), 0)
     pieces = F.split(text, kind.pattern, -1)
     # the last piece follows the last match
     pairs = F.filter(F.arrays_zip(pieces.alias("before"), matches.alias("match")), lambda p: p["match"].isNotNull())
-    zipped = F.transform(pairs, lambda p: F.struct(p["before"].alias("before"), p["match"].alias("match")))
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    return F.when(kind.gate(text), F.aggregate(zipped, start, step, lambda seen: seen["spans"])).otherwise(none)
+    zipped = F.transform(pairs, lambda p: F.struct((F.length(p["before"]) + F.length(p["match"])).alias("step"), p["match"].alias("match")))
+
+    def spans(zipped: Column) -> Column:
+        def placed(ends: Column) -> Column:
+            span = lambda p, i: F.struct((F.get(ends, i) - F.length(p["match"])).alias("start"), F.get(ends, i).alias("end"), p["match"].alias("match"))
+            return F.filter(F.transform(zipped, span), lambda s: kind.valid(s["match"]))
+
+        return let(running(F.transform(zipped, lambda p: p["step"]), lambda total, n: total + n), placed)
 
+    return F.when(kind.gate(text), let(zipped, spans)).otherwise(none)
 
-def _scored(text: Column, kind: Kind, spans: Column) -> Column:
+
+def _scored(blocks: Column, kind: Kind, spans: Column) -> Column:
     """The kind's spans as (kind, start, end, score)."""
 
     def score(s: Column) -> Column:
-        first = F.greatest(s["start"] - NEAR, F.lit(0))
-        around = F.concat_ws(" ", F.substring(text, first + 1, s["start"] - first), F.substring(text, s["end"] + 1, F.lit(NEAR)))
+        around = F.concat_ws(" ", _piece(blocks, F.greatest(s["start"] - NEAR, F.lit(0)), s["start"]), _piece(blocks, s["end"], s["end"] + NEAR))
         return F.when(F.rlike(F.lower(around), F.lit(kind.words)), kind.prior + CONTEXT).otherwise(kind.prior)
 
     return F.transform(
@@ -143,36 +174,61 @@ def _scored(text: Column, kind: Kind, spans: Column) -> Column:
     )
 
 
+def searched(text: Column) -> Column:
+    """base and further, a text's spans by kind, then start, and blocks (none where no pattern matches), in one struct.
+
+    All is bound inside one expression, so that no filter on a result computes a part of it anew for each span.
+    """
+
+    def of_matches(matches: Column) -> Column:
+        some = sum((F.size(matches[k.name]) for k in KINDS), F.lit(0)) > 0
+        blocks = F.when(some, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), 0)).otherwise(F.array().cast("array<string>"))
+        return let(blocks, lambda b: of_blocks(matches, b))
+
+    def of_blocks(matches: Column, blocks: Column) -> Column:
+        scored = lambda kinds: F.concat(*(_scored(blocks, k, matches[k.name]) for k in kinds))
+        sure = F.filter(scored(FURTHER), lambda s: s["score"] >= THRESHOLD)
+        return F.struct(scored(BASE).alias("base"), sure.alias("further"), blocks.alias("blocks"))
+
+    return let(F.struct(*(_matches(text, k).alias(k.name) for k in KINDS)), of_matches)
+
+
 def found(docs: DataFrame, base: str = "base_spans", further: str = "further_spans") -> DataFrame:
     """``docs`` with two columns of spans, array<struct<kind, start, end, score>>, by kind, then start."""
-    text, names = fresh(docs, "whole_text"), {k.name: fresh(docs, f"{k.name}_matches") for k in KINDS}
-    matched = docs.withColumn(text, F.coalesce(docs["text"], F.lit("")))
-    matched = matched.withColumns({names[k.name]: _matches(F.col(text), k) for k in KINDS})
-    scored = lambda kinds: F.concat(*(_scored(F.col(text), k, F.col(names[k.name])) for k in kinds))
-    sure = F.filter(scored(FURTHER), lambda s: s["score"] >= THRESHOLD)
-    return matched.withColumns({base: scored(BASE), further: sure}).drop(text, *names.values())
+    told = fresh(docs, "told")
+    marked = docs.withColumn(told, searched(F.coalesce(docs["text"], F.lit(""))))
+    return marked.withColumns({base: F.col(told)["base"], further: F.col(told)["further"]}).drop(told)
+
+
+def _rebuilt(text: Column, told: Column) -> Column:
+    """The text with its spans, as ``searched`` told them, replaced by their kinds in brackets."""
+
+    def of_spans(spans: Column) -> Column:
+        reach = running(F.transform(spans, lambda s: s["end"]), lambda far, end: F.greatest(far, end))
+        return let(reach, lambda r: joined(spans, r))
+
+    def joined(spans: Column, reach: Column) -> Column:  # reach: how far the spans up to each one go
+        def tagged(s: Column, i: Column) -> Column:
+            at = F.coalesce(F.get(reach, i - 1), F.lit(0))
+            tag = F.concat(_piece(told["blocks"], at, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            return F.when(s["start"] >= at, tag).otherwise("")  # a span that overlaps lies in its tag
+
+        return F.concat(F.array_join(F.transform(spans, tagged), ""), _piece(told["blocks"], F.element_at(reach, -1), F.length(text)))
+
+    spans = F.transform(F.concat(told["base"], told["further"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    return F.when(F.size(told["base"]) + F.size(told["further"]) > 0, let(F.array_sort(spans), of_spans)).otherwise(text)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with each span of personal data replaced by its kind in brackets; n_chars, if there, follows."""
-    base, further = fresh(docs, "base_spans"), fresh(docs, "further_spans")
-    text = F.col("text")
-
-    def step(seen: Column, s: Column) -> Column:
-        tagged = F.concat(seen["out"], F.substring(text, seen["at"] + 1, s["start"] - seen["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        out = F.when(s["start"] >= seen["at"], tagged).otherwise(seen["out"])  # a span that overlaps lies in its tag
-        return F.struct(F.greatest(seen["at"], s["end"]).alias("at"), out.alias("out"))
-
-    spans = F.array_sort(F.transform(F.concat(F.col(base), F.col(further)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    begun = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rebuilt = F.aggregate(spans, begun, step, lambda seen: F.concat(seen["out"], F.substring(text, seen["at"] + 1, F.length(text))))
-    marked = found(docs, base, further)
-    any_span = F.size(F.col(base)) + F.size(F.col(further)) > 0
-    new = {"text": F.when(any_span, rebuilt).otherwise(text)}
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        marked = marked.withColumn("text", new.pop("text")).withColumn("n_chars", F.when(any_span, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return marked.withColumns(new).select(*docs.columns)
+    """``docs`` with each span of personal data replaced by its kind in brackets; n_chars, if there, follows where one was."""
+    text = docs["text"]
+    clean = let(searched(F.coalesce(text, F.lit(""))), lambda told: _rebuilt(text, told))
+    if "n_chars" not in docs.columns:
+        return docs.withColumn("text", clean)
+    new = fresh(docs, "new_text")
+    marked = docs.withColumn(new, clean)
+    n_chars = F.when(F.col(new) != F.col("text"), F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return marked.withColumn("n_chars", n_chars).withColumn("text", F.col(new)).select(*docs.columns)
 
 
 def _joined(spans: Column) -> Column:
@@ -180,7 +236,7 @@ def _joined(spans: Column) -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts, digest and spans over all documents."""
+    """Counts, digest, spans and their scores over all documents."""
     spans = found(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda name: F.size(F.filter("base_spans", lambda s: s["kind"] == name)).cast("long").alias(f"n_{name}")
     return spans.select(
@@ -188,4 +244,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(count(k.name) for k in BASE),
         F.sha2(_joined(F.col("base_spans")), 256).alias("base_sha256"),
         _joined(F.concat("base_spans", "further_spans")).alias("spans"),
+        F.transform(F.concat("base_spans", "further_spans"), lambda s: s["score"]).alias("scores"),
     )
