@@ -8,7 +8,9 @@ predicted. Where the runner-up comes close, the prediction is marked as rejected
 Edge cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; null
 languages teach nothing; with no languages learned every text is ``und``; with one, every text
 that has letters is that one; equal sizes go to the language with more texts learned from; repeated
-rows are classified each; an empty table gives no rows; other columns are not carried.
+rows are classified each; null or repeated ids neither add to nor take from what is learned; an
+empty table gives no rows; other columns, whatever their names, are not carried by ``classified``
+and are kept by ``accepted``.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import id_crc, kept, map_texts, strides, table
@@ -25,7 +27,7 @@ from .common import id_crc, kept, map_texts, strides, table
 UNKNOWN = "und"
 #: Bytes of a language's dictionary.
 DICTIONARY = 96 << 10
-#: Texts at most that a language's dictionary is drawn from, and characters of each.
+#: Texts at most that a language's dictionary is drawn from, and characters of the passage drawn from each.
 SAMPLE, SNIPPET = 400, 400
 #: Bytes of text compressed by itself.
 PIECE = 4 << 10
@@ -72,7 +74,15 @@ class Compressors:
 
 
 def _joined(texts: list[str], size: int) -> bytes:
-    return b" ".join(t.encode() for t in texts)[-size:]
+    """The last of the texts, whole ones, that come to ``size`` bytes at most; of a single longer one, its last letters."""
+    found: list[bytes] = []
+    left = size
+    for text in map(str.encode, reversed(texts)):
+        if len(text) > left:
+            break
+        found.append(text)
+        left -= len(text) + 1
+    return b" ".join(reversed(found)) if found or not texts else texts[-1].encode()[-size:].decode(errors="ignore").encode()
 
 
 def _agreeing(texts: dict[str, list[str]], size: int) -> dict[str, list[str]]:
@@ -89,26 +99,35 @@ def _agreeing(texts: dict[str, list[str]], size: int) -> dict[str, list[str]]:
 def dictionaries(docs: DataFrame, sample: int = SAMPLE, snippet: int = SNIPPET, size: int = DICTIONARY) -> dict[str, bytes]:
     """Dictionaries from ``docs`` (doc_id, text, lang), by language, most texts first.
 
-    Two passes: one counts each language's texts, by map-side-combined sums; one draws about
-    ``sample`` of each by a hash of doc_id. Only ``snippet`` characters of the letters
-    of each of these, from a hashed position, go to the driver: a bounded sample to fit on, not a limit on what is classified.
+    Two passes: one counts each language's texts, by map-side-combined sums; one draws ``sample``
+    of each by a hash of doc_id and text, whatever ids are null or come again. Only a passage of
+    ``snippet`` characters of the letters of each of these, from a hashed position in the whole
+    text, goes to the driver: a bounded sample to fit on, not a limit on what is classified.
     """
     known = docs.filter(F.col("lang").isNotNull() & (F.octet_length("text") > 0))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return {}
-    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(2.0**53)
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2 * sample / n))))[F.col("lang")]
-    start = F.xxhash64("doc_id", F.lit(1))
-    spot = (F.pmod("start", F.greatest(F.length("text") - snippet + 1, F.lit(1))) + 1).cast("int")
-    drawn = known.filter(place < share).select("lang", place.alias("place"), letters().alias("text"), start.alias("start")).dropna().select("lang", "place", F.substring("text", spot, F.lit(snippet)).alias("text")).collect()
     texts: dict[str, list[str]] = {lang: [] for lang in sorted(counts, key=lambda c: (-counts[c], c))}
-    for r in sorted(drawn, key=lambda r: (r["place"], r["text"])):
-        if len(texts[r["lang"]]) < sample:
-            texts[r["lang"]].append(r["text"])
+    for r in sorted(drawn(known, counts, sample, snippet).collect(), key=lambda r: (r["place"], r["text"])):
+        texts[r["lang"]].append(r["text"])
     return {lang: _joined(own, size) for lang, own in _agreeing(texts, size).items() if own}
 
 
+def drawn(known: DataFrame, counts: dict[str, int], sample: int = SAMPLE, snippet: int = SNIPPET) -> DataFrame:
+    """lang, place and text (the passage) of at most ``sample`` rows of each language, those first by hash."""
+    hashed = F.xxhash64("doc_id", "text")
+    place = F.shiftrightunsigned(hashed, 11) / F.lit(2.0**53)
+    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2 * sample / n))))[F.col("lang")]
+    start = F.xxhash64("doc_id", "text", F.lit(1))
+    spot = (F.pmod("start", F.greatest(F.length("text") - snippet + 1, F.lit(1))) + 1).cast("int")
+    some = known.withColumn("place", place).filter(F.col("place") < share).select("lang", "place", letters().alias("text"), start.alias("start")).dropna()
+    passages = some.select("lang", "place", F.substring("text", spot, F.lit(snippet)).alias("text"))
+    # each task keeps its first ones of a language before they are shuffled
+    first = Window.partitionBy("lang").orderBy("place", "text")
+    return passages.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= sample).drop("rank")
+
+
 def classified(docs: DataFrame, learned: dict[str, bytes]) -> DataFrame:
     """doc_id, lang_pred, score and rejected of each row of ``docs`` (doc_id, text)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
