@@ -31,8 +31,8 @@ COST = 16
 BINS = 1024
 #: Shards at most of one tree, whose cuts stand in one SQL expression. For more, shard each shard again.
 MOST_SHARDS = 1024
-#: Bits of a key below the dimension's value: a hash of the row.
-LOW = 32
+#: Bits of a key below the dimension's value: a hash of the row, of which the last bits spread rows that are equal.
+LOW, TIE = 32, 12
 
 
 @dataclass
@@ -142,7 +142,8 @@ def sharded(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | No
         F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
         *(_hashed_value(F.col(c)).alias(f"value{k}") for k, c in enumerate(("source", "lang"))),
         _scaled_log(F.octet_length("text")).alias("value2"),
-        F.shiftrightunsigned(F.xxhash64("doc_id", F.monotonically_increasing_id()), 64 - LOW).alias("low"),
+        # rows equal in id and text, and they alone, go by the files' layout: it does not matter which of them lies where
+        F.shiftleft(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - LOW + TIE), TIE).bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - TIE)).alias("low"),
     )
     keys = (F.shiftleft(F.col(f"value{d}"), LOW).bitwiseOR(F.col("low")).alias(f"key{d}") for d in range(3))
     points = checkpointed(points.select("doc_id", "size", "text_crc32", *keys))
