@@ -91,13 +91,14 @@ def measured(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Discriminant:
-    """Means and Cholesky factors of inverse use, by class, over standardised statistics; or, with no factors, a prior alone."""
+    """Means, Cholesky factors of the covariances and the factors' inverses, by class, over standardised statistics; or a prior alone."""
 
     prior: float
     centre: np.ndarray | None = None
     scale: np.ndarray | None = None
     means: tuple[np.ndarray, ...] = ()
     factors: tuple[np.ndarray, ...] = ()
+    inverses: tuple[np.ndarray, ...] = ()
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """The score of each row of ``x``."""
@@ -105,9 +106,8 @@ class Discriminant:
             return np.full(len(x), self.prior)
         z = np.clip((x - self.centre) / self.scale, -REACH, REACH)
         density = []
-        for mean, factor in zip(self.means, self.factors):
-            solved = np.linalg.solve(factor, (z - mean).T)
-            density.append(-0.5 * (solved**2).sum(axis=0) - np.log(np.diag(factor)).sum())
+        for mean, factor, inverse in zip(self.means, self.factors, self.inverses):
+            density.append(-0.5 * (((z - mean) @ inverse.T) ** 2).sum(axis=1) - np.log(np.diag(factor)).sum())
         log_odds = density[1] - density[0] + np.log(self.prior / (1 - self.prior))
         return 1.0 / (1.0 + np.exp(-np.clip(log_odds / TEMPERATURE, -500, 500)))
 
@@ -161,7 +161,8 @@ def fitted(labelled: DataFrame, shrinkage: float = SHRINKAGE) -> Discriminant:
     own = [sums[c][2] / sums[c][0] - np.outer(means[c], means[c]) for c in (0, 1)]
     pooled = np.diag(np.diag(sum(n * s for n, s in zip(counts, own)) / sum(counts)))
     shrunk = [(1 - shrinkage) * s + shrinkage * pooled + FLOOR * np.eye(width) for s in own]
-    return Discriminant(prior, np.array(centre), np.array(scale), means, tuple(np.linalg.cholesky(s) for s in shrunk))
+    factors = tuple(np.linalg.cholesky(s) for s in shrunk)
+    return Discriminant(prior, np.array(centre), np.array(scale), means, factors, tuple(np.linalg.solve(f, np.eye(width)) for f in factors))
 
 
 def scored(measures: DataFrame, model: Discriminant) -> DataFrame:
