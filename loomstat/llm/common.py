@@ -31,12 +31,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint.
 
     The folder is the one that the cluster names in ``spark.checkpoint.dir``; a temporary
-    one is set only where the session names none (tests, local runs).
+    one is set only where the session names none and all tasks run in this process (tests).
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomstat-checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -78,25 +80,20 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def doc_key() -> Column:
-    """A 64-bit hash of a row's doc_id, never null."""
-    return F.xxhash64("doc_id", F.col("doc_id").isNull())
-
-
 def row_key(docs: DataFrame) -> Column:
     """A 64-bit hash of all columns of a row but its text, never null."""
     others = [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in docs.dtypes if c != "text"]
     return F.xxhash64(*others, *(c.isNull() for c in others))
 
 
-def distinct_rows(docs: DataFrame, chosen: DataFrame, key: Column | None = None) -> DataFrame:
+def distinct_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``chosen`` lists, once each, with all their columns and those that ``chosen`` carries.
 
-    ``chosen`` starts with doc_key (or what ``key`` gives) and text_key, and has each pair once. Rows equal in both are
+    ``chosen`` starts with row_key and text_key, and has each pair once. Rows equal in both, so in all columns, are
     dropped before the shuffle as well as after it; the join then finds the rows in place.
     """
-    keys = [fresh(docs, "doc_key"), fresh(docs, "text_key")]
-    once = docs.withColumns(dict(zip(keys, (doc_key() if key is None else key, text_key())))).dropDuplicates(keys)
+    keys = [fresh(docs, "row_key"), fresh(docs, "text_key")]
+    once = docs.withColumns(dict(zip(keys, (row_key(docs), text_key())))).dropDuplicates(keys)
     return once.join(chosen.toDF(*keys, *chosen.columns[2:]), keys).drop(*keys)
 
 

@@ -1,4 +1,8 @@
-"""Connected components of a graph given as pairs of long node ids."""
+"""Connected components of a graph given as pairs of long node ids.
+
+Edge cases: links from a node to itself and repeated links add nothing; links with a null end are
+left out; no links give no rows; other columns are not taken.
+"""
 
 from __future__ import annotations
 
@@ -25,8 +29,7 @@ def _large_star(pairs: DataFrame) -> DataFrame:
     # a parent's smallest neighbour is its own least parent, if it has one; its children are larger
     least = pairs.groupBy("child").agg(F.min("parent").alias("least"))
     up = least.select(F.col("child").alias("parent"), "least")
-    moved = pairs.join(up, "parent", "left").select("child", F.coalesce("least", "parent").alias("parent"))
-    return _pairs(moved)
+    return pairs.join(up, "parent", "left").select("child", F.coalesce("least", "parent").alias("parent"))
 
 
 def _is_star(pairs: DataFrame) -> bool:

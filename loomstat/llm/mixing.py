@@ -11,8 +11,9 @@ one range shuffle over (source, size, hash), which splits sources of any size ev
 
 Edge cases: a null or blank text has size 0 and is emitted like any other, at no words; a null
 source is a source of its own, last in order; if all sizes are 0, all targets are 0; repeated
-rows count each (equal rows may swap their copies); a null doc_id hashes as the empty text; an
-empty table gives no rows; other columns are not carried by ``query``.
+rows count each (equal rows may swap their copies); a null doc_id hashes as the empty text, and
+rows of one id go by size and text; an empty table gives no rows; other columns, whatever their
+names, are not carried by ``copies`` and are kept by ``mixed``.
 """
 
 from __future__ import annotations
@@ -90,7 +91,8 @@ def copies(
     for r, target in zip(sources, targets(sizes, own, budget * sum(sizes), most)):
         rows.append((r[1], r[2], target, before))
         before += r[3]
-    ranked = globally_ranked(slim, ["unnamed", "source", "bin", "hash", "doc_id"], "rank")
+    # rows that still tie are alike in all that a mix looks at
+    ranked = globally_ranked(slim, ["unnamed", "source", "bin", "hash", "doc_id", "size", "text_hash", *carried], "rank")
     told = spark.createDataFrame(rows, "named string, source_size long, target double, before long")
     told = F.broadcast(told) if len(rows) <= BROADCAST_SOURCES else told
     place = F.col("rank") - F.col("before")
@@ -111,7 +113,7 @@ def mixed(docs: DataFrame, **parameters) -> DataFrame:
     told = copies(docs.withColumn(key, row_key(docs)), **parameters, carried=(key,))
     taken = told.filter("copies > 0").groupBy(key, "text_hash").agg(F.sum("copies").cast("int").alias("copies"))
     times = fresh(docs, "times_taken")
-    found = distinct_rows(docs, taken.withColumnRenamed("copies", times), row_key(docs))
+    found = distinct_rows(docs, taken.withColumnRenamed("copies", times))
     return found.withColumn(times, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 

@@ -22,7 +22,7 @@ the start, so groups of exact copies cost nothing. Nodes are 64-bit hashes of te
 
 Edge cases: as in ``simhash``: null, empty and blank texts are all alike; fewer words than a
 shingle has make one shingle; a null doc_id comes last in its group; of rows equal in doc_id
-and text one stays; an empty table gives no rows; all columns of the input are kept, whatever
+and text one stays, by a hash of their other columns; an empty table gives no rows; all columns of the input are kept, whatever
 their names.
 """
 
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import checkpointed, distinct_rows, doc_key, kept, map_texts, released, strides, text_key
+from .common import checkpointed, distinct_rows, kept, map_texts, released, row_key, strides, text_key
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -398,8 +398,8 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
     node = text_key().alias("node")
     stars = groups(docs.select(node, "text"), shingle, similarity, radius).select(F.col("child").alias("node"), F.col("parent").alias("root"))
     released(docs.sparkSession)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_key", "node")).alias("first")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "node")).alias("first")
     # the first document of each text, then of each group of texts: both minima are combined before they are shuffled
-    texts = docs.select("doc_id", doc_key().alias("doc_key"), node).groupBy("node").agg(first)
+    texts = docs.select("doc_id", row_key(docs).alias("row_key"), node).groupBy("node").agg(first)
     chosen = texts.join(stars, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    return distinct_rows(docs, chosen.select("first.doc_key", "first.node")).select(*docs.columns)
+    return distinct_rows(docs, chosen.select("first.row_key", "first.node")).select(*docs.columns)

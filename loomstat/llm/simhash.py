@@ -13,7 +13,8 @@ exact copies of any size cost one row each from there on.
 Edge cases: a null, empty or blank text has fingerprint zero, linked like any other; fewer
 words than a shingle has make one shingle of what there is; a null doc_id takes part but is
 never a component's id unless all ids there are null; repeated rows share fingerprint and
-component; an empty table gives no rows; other columns are not carried by ``query``.
+component; an empty table gives no rows; other columns, whatever their names, are not carried
+by ``fingerprints`` and are kept by ``deduplicated``.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, distinct_rows, doc_key, kept, map_texts, strides, table, text_key
+from .common import checkpointed, distinct_rows, kept, map_texts, row_key, shuffle_partitions, strides, table, text_key
 from .components import components
 
 BITS = 64
@@ -59,17 +60,17 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, text_hash and fp (signed 64-bit fingerprint) of each row of ``docs``."""
+    """doc_id, row_hash, text_hash and fp (signed 64-bit fingerprint) of each row of ``docs``."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("fingerprints", dict)
         for batch in batches:
-            found = [fingerprint(t or b"", shingle) for _, texts in strides(batch.column(2)) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["doc_id", "text_hash", "fp"])
+            found = [fingerprint(t or b"", shingle) for _, texts in strides(batch.column(3)) for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.int64())], ["doc_id", "row_hash", "text_hash", "fp"])
 
-    texts = docs.select("doc_id", text_key().alias("text_hash"), F.col("text").cast("binary"))
-    return map_texts(texts, made, f"doc_id {id_type}, text_hash long, fp long")
+    texts = docs.select("doc_id", row_key(docs).alias("row_hash"), text_key().alias("text_hash"), F.col("text").cast("binary"))
+    return map_texts(texts, made, f"doc_id {id_type}, row_hash long, text_hash long, fp long")
 
 
 def _masks(half: int) -> list[int]:
@@ -86,8 +87,10 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
         raise ValueError(f"radius must be even, not {radius}: half of it is searched from both ends")
     variants: Column = F.array(*(F.col("fp").bitwiseXOR(F.lit(m).cast("long")) for m in _masks(radius // 2)))
     met = Window.partitionBy("variant").orderBy("fp")
+    # a row makes many: they are few now, and may lie in few tasks
+    spread = prints.select("fp").repartition(shuffle_partitions(prints.sparkSession), "fp")
     return (
-        prints.select("fp", F.explode(variants).alias("variant"))
+        spread.select("fp", F.explode(variants).alias("variant"))
         .select(F.lag("fp").over(met).alias("a"), F.col("fp").alias("b"))
         .filter(F.col("a").isNotNull() & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
         .distinct()
@@ -110,16 +113,16 @@ def classes(prints: DataFrame, radius: int = 2) -> DataFrame:
 def deduplicated(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """One document of each group: the one with the smallest doc_id (nulls last), all its columns kept.
 
-    Of rows equal in doc_id and text one stays.
+    Of rows equal in doc_id and text one stays, by a hash of their other columns.
     """
     prints = checkpointed(fingerprints(docs, shingle))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    chosen = classes(prints, radius).groupBy("root").agg(first).select("first.*").select(doc_key(), "text_hash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash", "text_hash")).alias("first")
+    chosen = classes(prints, radius).groupBy("root").agg(first).select("first.row_hash", "first.text_hash")
     return distinct_rows(docs, chosen).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of 3-word shingles over all documents, linked at 2 or fewer differing bits."""
-    prints = checkpointed(fingerprints(table(spark, sf_dir, "documents")).select("doc_id", "fp"))
+    prints = checkpointed(fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fp"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return classes(prints).select("doc_id", hexed.alias("fingerprint"), "component_id")
