@@ -9,16 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomstat.llm import language, mixing, nearcopies, packing, pii
-from loomstat.llm.common import checkpointed
+from loomstat.llm.common import checkpointed, prepared
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told by compression with a clear margin; the rest goes."""
+    prepared(spark)
     return language.accepted(docs, language.dictionaries(docs))
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that share 80 % of their 5-word shingles."""
+    prepared(spark)
     return nearcopies.deduplicated(docs)
 
 
@@ -36,6 +38,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Sequences of at most 2048 tokens with their ids, none of which crosses documents."""
     import public_tokenizers
 
+    prepared(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
 
 

@@ -119,15 +119,15 @@ def globally_ranked(df: DataFrame, keys: list[str], rank: str) -> DataFrame:
     return ordered.withColumn(rank, row + start).drop(place)
 
 
-def map_texts(texts: DataFrame, f, schema) -> DataFrame:
-    """``texts.mapInArrow(f, schema)`` in batches of BATCH bytes, unless the session sets a limit of its own.
+def prepared(spark: SparkSession) -> SparkSession:
+    """Have texts handed to Python in batches of BATCH bytes, unless the session has a limit of its own.
 
-    Spark's default of 64 MiB a batch, on both sides of each task, is much where all rows are texts.
+    Spark's default of 64 MiB a batch, on both sides of each task, is much where all rows are texts. The queries and
+    the pipeline's stages ask for it; operators leave the session as they find it.
     """
-    conf = texts.sparkSession.conf
-    if conf.get(_BATCH_SETTING, None) == _BATCH_DEFAULT:
-        conf.set(_BATCH_SETTING, BATCH)
-    return texts.mapInArrow(f, schema)
+    if spark.conf.get(_BATCH_SETTING, None) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, BATCH)
+    return spark
 
 
 _kept: dict = {}

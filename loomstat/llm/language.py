@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_crc, kept, map_texts, strides, table
+from .common import id_crc, kept, strides, table
 
 UNKNOWN = "und"
 #: Bytes of a language's dictionary.
@@ -141,7 +141,7 @@ def classified(docs: DataFrame, learned: dict[str, bytes]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], ["doc_id", "lang_pred", "score", "rejected"])
 
     schema = f"doc_id {id_type}, lang_pred string, score double, rejected boolean"
-    return map_texts(docs.select("doc_id", letters().cast("binary")), predicted, schema)
+    return docs.select("doc_id", letters().cast("binary")).mapInArrow(predicted, schema)
 
 
 def accepted(docs: DataFrame, learned: dict[str, bytes]) -> DataFrame:
@@ -154,7 +154,7 @@ def accepted(docs: DataFrame, learned: dict[str, bytes]) -> DataFrame:
             keep = [t is not None and not compressors.classify(t)[2] for _, texts in told for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_())).select(range(batch.num_columns - 1))
 
-    return map_texts(docs.select("*", letters().cast("binary")), passed, docs.schema)
+    return docs.select("*", letters().cast("binary")).mapInArrow(passed, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

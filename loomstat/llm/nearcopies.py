@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import checkpointed, distinct_rows, kept, map_texts, released, row_key, strides, text_key
+from .common import checkpointed, distinct_rows, kept, released, row_key, strides, text_key
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -120,7 +120,7 @@ def _mapped(texts: DataFrame, made, columns: dict[str, tuple[pa.DataType, str]])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(some)), *arrays], ["node", *columns])
 
     schema = ", ".join(["node long", *(f"{name} {kind}" for name, (_, kind) in columns.items())])
-    return map_texts(texts.select("node", F.col("text").cast("binary")), mapped, schema)
+    return texts.select("node", F.col("text").cast("binary")).mapInArrow(mapped, schema)
 
 
 def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -334,7 +334,7 @@ def _possible(pairs: DataFrame, told: DataFrame, similarity: float) -> DataFrame
 
     own = lambda end: told.select(F.col("node").alias(end), F.col("size").cast("long").alias(f"size_{end}"), F.col("bits").alias(f"bits_{end}"))
     both = pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "size_a", "size_b", "bits_a", "bits_b")
-    return map_texts(both, passed, "a long, b long")
+    return both.mapInArrow(passed, "a long, b long")
 
 
 def verified(pairs: DataFrame, told: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -358,7 +358,7 @@ def verified(pairs: DataFrame, told: DataFrame, texts: DataFrame, shingle: int =
 
     own = lambda end: sets.select(F.col("node").alias(end), F.col("own").alias(f"own_{end}"))
     both = near.join(own("a"), "a").join(own("b"), "b").select("a", "b", "own_a", "own_b")
-    return map_texts(both, compared, "a long, b long")
+    return both.mapInArrow(compared, "a long, b long")
 
 
 def groups(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:

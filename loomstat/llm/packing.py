@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, map_texts, strides, table
+from .common import kept, strides, table
 from .merging import RankMerger
 
 #: Words longer than this many bytes are tokenized each time, not remembered.
@@ -176,7 +176,7 @@ def pack(
 
     schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     return (
-        map_texts(docs.select("doc_id", F.col("text").cast("binary")), pieces, schema)
+        docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(pieces, schema)
         .withColumn("sequence_id", F.monotonically_increasing_id())
         .withColumn("offset", F.lit(0).cast("long"))
         .withColumn("bucket", F.log2("length").cast("int"))

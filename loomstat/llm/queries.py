@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import prepared
+
 #: Query name -> module that defines ``query(spark, sf_dir)`` and, where SQL can express it, ``ORACLE_SQL``.
 MODULES = {
     "op1_packing": "packing",
@@ -26,8 +28,12 @@ def _module(name: str):
     return importlib.import_module(f"{__package__}.{MODULES[name]}")
 
 
+def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: _module(name).query(prepared(spark), sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _module(name).query for name in MODULES}
+    return {name: _query(name) for name in MODULES}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, distinct_rows, kept, map_texts, row_key, shuffle_partitions, strides, table, text_key
+from .common import checkpointed, distinct_rows, kept, row_key, shuffle_partitions, strides, table, text_key
 from .components import components
 
 BITS = 64
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.int64())], ["doc_id", "row_hash", "text_hash", "fp"])
 
     texts = docs.select("doc_id", row_key(docs).alias("row_hash"), text_key().alias("text_hash"), F.col("text").cast("binary"))
-    return map_texts(texts, made, f"doc_id {id_type}, row_hash long, text_hash long, fp long")
+    return texts.mapInArrow(made, f"doc_id {id_type}, row_hash long, text_hash long, fp long")
 
 
 def _masks(half: int) -> list[int]:

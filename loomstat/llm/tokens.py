@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, map_texts, strides, table
+from .common import kept, strides, table
 from .merging import RankMerger
 
 #: Fixed value: how byte-level BPE splits text into pre-tokens.
@@ -89,7 +89,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
 
     text = F.coalesce("text", F.lit(""))
     texts = docs.select("doc_id", text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    return map_texts(texts, counted, f"doc_id {id_type}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return texts.mapInArrow(counted, f"doc_id {id_type}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
