@@ -1,39 +1,46 @@
 """Exact top-k inner products by block-at-a-time pruning.
 
-Vectors are quantised to integers and dealt into chunks of bounded size. Within a chunk they
-are ordered so that alike ones are neighbours, and cut into ranges of documents, the blocks.
-A block keeps the maxima and minima of each term (component); a query's bound for a block is
-the sum over its terms of weight times maximum (or minimum, for a negative weight). Each query
-takes the blocks in descending order of bounds and scores whole blocks through their forward
-index (the block's rows) until the bound of its next block falls below its k-th score. Blocks
-whose bound equals the k-th score are scored too, for ties.
-
-Queries are dealt into groups as well, and each group meets each chunk once: a stated query
-set against all rows, in blocks. Each pairing gives at most k rows for a query, whose best k
-are kept by a window over the query.
+Vectors are quantised to integers and dealt into chunks of bounded size, alike ones together: by
+the signs of their most varied components around the means. A chunk, and within it each block of
+neighbouring rows, keeps the maxima and minima of each term (component); a query's bound for it
+is the sum over its terms of weight times maximum (or minimum, for a negative weight).
+
+Each query is answered in the chunk with its best bound first. The k-th score found there goes
+with it to the other chunks whose bounds reach it, and to these alone. In a chunk a query takes
+the blocks in descending order of bounds and scores whole blocks through their forward index (the
+block's rows) until the bound of its next block falls below its k-th score. Chunks and blocks
+whose bound equals the k-th score are scored too, for ties. The best k of what all of a query's
+chunks gave are kept by a window over the query.
 
 Edge cases: vectors that are null or hold a null, NaN or infinite component take no part; of
 vectors with different lengths the missing components count as zero; ties go to the smaller
 vec_id, then to either of repeated rows; a query meets no row with its own vec_id; repeated
 query rows are answered once; with fewer candidates than k all are returned; a score beyond 64
-bits saturates; an empty table gives no rows; other columns are not carried.
+bits saturates; an empty table gives no rows; other columns, whatever their names, are not
+carried.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, globally_ranked, table
 
 K = 5
 SCALE = 256
 #: Vectors of a chunk and of a block, and queries of a group.
 CHUNK, BLOCK, GROUP = 16_384, 64, 4_096
+#: Components at most by whose signs vectors are dealt, for so many more cells than chunks.
+SIGNS, FINER = 60, 4
+#: Bytes of chunk bounds at most that go to all tasks; beyond, queries go to all chunks.
+MOST_BOUNDS = 256 << 20
 #: Values up to this are exact in floating point.
 EXACT = 1 << 53
 _LEAST, _MOST = -(1 << 63), (1 << 63) - 1
@@ -69,6 +76,11 @@ def _neighbours(values: np.ndarray, block: int) -> np.ndarray:
     return np.concatenate(done)
 
 
+def _bounds(queries: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """The highest score that each query can have in each range of rows with these term minima and maxima."""
+    return np.maximum(queries, 0) @ most.T + np.minimum(queries, 0) @ least.T
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of each row's k highest scores, ties to smaller ids."""
     if scores.dtype == object:
@@ -87,10 +99,10 @@ class Blocks:
         self.most = np.maximum.reduceat(self.values, self.starts, axis=0)
         self.least = np.minimum.reduceat(self.values, self.starts, axis=0)
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best scores and ids of each query, padded with the lowest score."""
-        weights = np.maximum(queries, 0), np.minimum(queries, 0)
-        bounds = weights[0] @ self.most.T + weights[1] @ self.least.T
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k best scores and ids of each query, padded with the lowest score; those below the query's floor may lack."""
+        floors = np.full(len(queries), -np.inf) if floors is None else floors
+        bounds = _bounds(queries, self.least, self.most)
         order = np.argsort(-bounds, axis=1, kind="stable")
         n = len(queries)
         scores, found = np.full((n, k), -np.inf), np.full((n, k), _MOST, np.int64)
@@ -99,7 +111,8 @@ class Blocks:
         active = np.arange(n)
         for turn in range(len(self.starts)):
             blocks = order[active, turn]
-            going = bounds[active, blocks] >= scores[active, -1]  # else no later block can do better
+            # else no later block can do better
+            going = (bounds[active, blocks] >= scores[active, -1]) & (bounds[active, blocks] >= floors[active])
             active, blocks = active[going], blocks[going]
             if not len(active):
                 break
@@ -121,18 +134,105 @@ class Blocks:
         return scores, found
 
 
+def _kind(width: int, *matrices: np.ndarray) -> type:
+    """In what sums of products are exact: floating point, or Python's unbounded integers."""
+    most = [max(abs(int(m.min(initial=0))), abs(int(m.max(initial=0)))) for m in matrices]
+    return np.float64 if width * math.prod(most) < EXACT else object
+
+
 def _search_chunk(candidates: pd.DataFrame, queries: pd.DataFrame, k: int, block: int) -> pd.DataFrame:
     width = max(max(map(len, candidates["value"])), max(map(len, queries["weights"])), 1)
     values, wanted = _matrix(candidates["value"], width), _matrix(queries["weights"], width)
-    most = [max(abs(int(m.min())), abs(int(m.max()))) for m in (values, wanted)]
-    kind = np.float64 if width * most[0] * most[1] < EXACT else object  # object: Python's unbounded integers
+    kind = _kind(width, values, wanted)
     blocks = Blocks(candidates["vec_id"].to_numpy(np.int64), values.astype(kind), block)
-    scores, ids = blocks.search(queries["query_id"].to_numpy(np.int64), wanted.astype(kind), k)
+    floors = queries["floor"].astype("float64").fillna(-np.inf).to_numpy()
+    scores, ids = blocks.search(queries["query_id"].to_numpy(np.int64), wanted.astype(kind), k, floors)
     real = np.flatnonzero((scores != -np.inf).ravel())
     flat = [min(max(int(s), _LEAST), _MOST) for s in scores.ravel()[real]]
     return pd.DataFrame({"query": np.repeat(queries["query"].to_numpy(), k)[real], "query_id": np.repeat(queries["query_id"].to_numpy(), k)[real], "vec_id": ids.ravel()[real], "score": np.array(flat, np.int64)})
 
 
+def dealt(vectors: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``vectors`` (vec_id, value) with chunk: ranges of ``chunk`` rows in an order that keeps alike ones together. Checkpointed."""
+    n = vectors.count()
+    if n <= chunk:
+        return checkpointed(vectors.withColumn("chunk", F.lit(0).cast("long")))
+    terms = vectors.select(F.posexplode("value").alias("at", "x")).groupBy("at").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("spread"))
+    signs = min(SIGNS, (n // chunk * FINER).bit_length())
+    picked = terms.orderBy(F.desc("spread"), "at").limit(signs).collect()  # one row for each of a bounded number of components
+    bit = lambda r, k: F.when(F.coalesce(F.get("value", F.lit(r["at"])), F.lit(0)) > r["mean"], F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
+    cell = sum((bit(r, signs - 1 - k) for k, r in enumerate(picked)), F.lit(0).cast("long"))
+    placed = vectors.withColumns({"cell": cell, "hash": F.xxhash64("vec_id", "value")})
+    ranked = globally_ranked(placed, ["cell", "hash", "vec_id"], "rank")
+    return ranked.select("vec_id", "value", F.floor(F.col("rank") / chunk).cast("long").alias("chunk"))
+
+
+def chunk_bounds(vectors: DataFrame) -> DataFrame:
+    """chunk, and its term minima and maxima: least and most."""
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            frame = batch.to_pandas()
+            for name, own in frame.groupby("chunk")["value"]:
+                values = _matrix(own, max(map(len, own)))
+                short = np.array([len(v) for v in own]) < values.shape[1]
+                least, most = values.min(axis=0), values.max(axis=0)
+                yield pa.RecordBatch.from_pydict({"chunk": [name], "least": [least.tolist()], "most": [most.tolist()], "whole": [not short.any()]})
+
+    parts = vectors.select("chunk", "value").mapInArrow(gathered, "chunk long, least array<long>, most array<long>, whole boolean")
+    terms = parts.select("chunk", F.posexplode(F.arrays_zip("least", "most")).alias("at", "ends"))
+    ends = terms.groupBy("chunk", "at").agg(F.min("ends.least").alias("least"), F.max("ends.most").alias("most"), F.count("*").alias("n"))
+    n = parts.groupBy("chunk").agg(F.count("*").alias("parts"))
+    # a component that some rows lack is zero there
+    lacking = F.col("n") < F.col("parts")
+    bounded = ends.join(n, "chunk").withColumns({"least": F.when(lacking, F.least("least", F.lit(0))).otherwise(F.col("least")), "most": F.when(lacking, F.greatest("most", F.lit(0))).otherwise(F.col("most"))})
+    return bounded.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("at", "least", "most"))).alias("ends")).select("chunk", F.col("ends.least").alias("least"), F.col("ends.most").alias("most"))
+
+
+def _reached(queries: DataFrame, bounds: pd.DataFrame, best_only: bool) -> DataFrame:
+    """``queries`` (query, query_id, weights, floor, seed) with chunk: the one with the best bound, or all others whose bound reaches the floor."""
+    names, width = bounds["chunk"].to_numpy(np.int64), max(map(len, bounds["least"]), default=1)
+    least, most = _matrix(bounds["least"], width), _matrix(bounds["most"], width)
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch.column(2).to_pylist()
+            own = _matrix(pd.Series(rows), max(width, *map(len, rows)))
+            pad = lambda m: np.pad(m, ((0, 0), (0, own.shape[1] - width)))
+            kind = _kind(own.shape[1], own, least, most)
+            reach = _bounds(own.astype(kind), pad(least).astype(kind), pad(most).astype(kind)).astype(np.float64)
+            if best_only:
+                row, at = np.arange(len(rows)), np.argmax(reach, axis=1)
+            else:
+                floor = batch.column(3).to_numpy(zero_copy_only=False).astype(np.float64)
+                seed = batch.column(4).to_numpy(zero_copy_only=False)
+                # as large as rounding beyond exact integers may be off
+                slack = 0.0 if kind is np.float64 else np.abs(reach) * 1e-9
+                row, at = np.nonzero(~(reach + slack < floor[:, None]) & (names[None, :] != seed[:, None]))
+            taken = batch.take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(names[at], pa.int64())], [*batch.schema.names, "chunk"])
+
+    schema = "query long, query_id long, weights array<long>, floor double, seed long, chunk long"
+    return queries.select("query", "query_id", "weights", "floor", "seed").mapInArrow(sent, schema)
+
+
+def _searched(vectors: DataFrame, wanted: DataFrame, groups: int, k: int, block: int) -> DataFrame:
+    """query, query_id, vec_id and score: the k best in each chunk that ``wanted`` names for a query."""
+
+    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"query": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
+        return _search_chunk(a, b, k, block)
+
+    # other names, so that no column is one of the candidates' where both come from one table
+    asked = wanted.select("query", "query_id", "weights", "floor", F.col("chunk").alias("query_chunk"), F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int").alias("query_group"))
+    met = asked.select(F.col("query_chunk").alias("chunk"), F.col("query_group").alias("group")).distinct()
+    candidates = vectors.join(met, "chunk").select("vec_id", "value", "chunk", "group")
+    return candidates.groupBy("chunk", "group").cogroup(asked.groupBy("query_chunk", "query_group")).applyInPandas(search, "query long, query_id long, vec_id long, score long")
+
+
 def top_k(
     vectors: DataFrame, queries: DataFrame, k: int = K, chunk: int = CHUNK, block: int = BLOCK, group: int = GROUP
 ) -> DataFrame:
@@ -140,25 +240,26 @@ def top_k(
 
     Both have vec_id long and value array<long>; rows with a null value or vec_id are left out.
     """
-    vectors = checkpointed(vectors.select("vec_id", "value").dropna())
-    queries = checkpointed(queries.select("vec_id", "value").dropna().distinct().withColumn("query", F.monotonically_increasing_id()))
-    chunks, groups = math.ceil(vectors.count() / chunk), math.ceil(queries.count() / group)
-    if not chunks or not groups:
+    vectors = dealt(vectors.select("vec_id", "value").dropna(), chunk)
+    queries = queries.select(F.col("vec_id").alias("query_id"), F.col("value").alias("weights")).dropna().distinct()
+    queries = checkpointed(queries.select(F.monotonically_increasing_id().alias("query"), "query_id", "weights", F.lit(None).cast("double").alias("floor"), F.lit(None).cast("long").alias("seed")))
+    n_queries, terms = queries.count(), vectors.agg(F.max(F.size("value"))).first()[0]
+    if not n_queries or terms is None:
         return vectors.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.col("vec_id").alias("score"))
-    each = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    dealt = lambda n, name: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int").alias(name)
-    candidates = vectors.select("vec_id", "value", dealt(chunks, "chunk")).select("*", each(groups, "group"))
-    # other names, so that no column is one of the candidates' where both come from one table
-    renamed = queries.select("query", F.col("vec_id").alias("query_id"), F.col("value").alias("weights"), dealt(groups, "query_group"))
-    wanted = renamed.select("*", each(chunks, "query_chunk"))
-
-    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"query": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
-        return _search_chunk(a, b, k, block)
-
-    found = candidates.groupBy("chunk", "group").cogroup(wanted.groupBy("query_chunk", "query_group")).applyInPandas(search, "query long, query_id long, vec_id long, score long")
+    groups, chunks = math.ceil(n_queries / group), vectors.agg(F.max("chunk")).first()[0] + 1
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    if chunks == 1:
+        found = _searched(vectors, queries.withColumn("chunk", F.lit(0).cast("long")), groups, k, block)
+    elif chunks * terms * 16 > MOST_BOUNDS:
+        found = _searched(vectors, queries.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1)))), groups, k, block)
+    else:
+        bounds = chunk_bounds(vectors).toPandas()  # at most MOST_BOUNDS
+        seeded = checkpointed(_reached(queries, bounds, best_only=True))
+        first = checkpointed(_searched(vectors, seeded, groups, k, block))
+        floors = first.groupBy("query").agg(F.min("score").cast("double").alias("least"), F.count("*").alias("n"))
+        told = seeded.drop("floor", "seed").withColumnRenamed("chunk", "seed").join(floors, "query", "left")
+        told = told.withColumn("floor", F.when(F.col("n") == k, F.col("least")).otherwise(float("-inf")))
+        found = first.unionByName(_searched(vectors, _reached(told, bounds, best_only=False), groups, k, block))
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
@@ -172,7 +273,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = """
 WITH vectors AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS value
-  FROM embeddings),
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
          CAST(list_sum(list_transform(range(1, len(q.value) + 1), lambda i: q.value[i] * c.value[i])) AS BIGINT) AS score

@@ -53,3 +53,49 @@ def test_pruning_skips_blocks(monkeypatch):
     monkeypatch.setattr(np, "lexsort", lambda keys, axis=-1: scored.append(keys[0].shape[0]) or real(keys, axis=axis))
     blocks.search(np.arange(20) * 100, values[::200].astype(float), 5)
     assert sum(scored) < 20 * len(blocks.starts) / 2
+
+
+def clustered(spark, n=3000, centres=12, width=16):
+    rng = np.random.default_rng(7)
+    middle = rng.normal(size=(centres, width)) * 40
+    values = np.floor(middle[rng.integers(0, centres, n)] + rng.normal(size=(n, width)) * 4).astype(int)
+    return values, spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(values)], "vec_id long, value array<long>")
+
+
+def test_alike_vectors_share_chunks_and_queries_skip_the_others(spark, monkeypatch):
+    values, vectors = clustered(spark)
+    sent = []
+    reached = topk._reached
+    monkeypatch.setattr(topk, "_reached", lambda *a, **b: sent.append(reached(*a, **b)) or sent[-1])
+    found = topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), chunk=250, group=16).collect()
+    queries, chunks = 60, 12
+    assert sum(df.count() for df in sent) < queries * chunks / 2
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in found}
+    scores = values @ values.T
+    for q in range(0, 3000, 50):
+        order = sorted((c for c in range(3000) if c != q), key=lambda c: (-scores[q, c], c))[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(c, scores[q, c]) for c in order]
+
+
+def test_all_chunks_are_asked_where_bounds_are_too_many(spark, monkeypatch):
+    monkeypatch.setattr(topk, "MOST_BOUNDS", 0)
+    values, vectors = clustered(spark, 400)
+    found = topk.top_k(vectors, vectors.filter("vec_id < 3"), chunk=90).collect()
+    scores = values @ values.T
+    for q in range(3):
+        order = sorted((c for c in range(400) if c != q), key=lambda c: (-scores[q, c], c))[:5]
+        assert [r["vec_id"] for r in sorted((r for r in found if r["query_id"] == q), key=lambda r: r["rank"])] == order
+
+
+def test_vectors_of_other_lengths_and_columns_in_many_chunks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.integers(-50, 50, rng.integers(0, 7)).tolist(), "x", 1) for k in range(300)] + [(900, None, "x", 1), (None, [1], "x", 1)]
+    vectors = spark.createDataFrame(rows, "vec_id long, value array<long>, chunk string, rank int")
+    found = topk.top_k(vectors, vectors.filter("vec_id % 10 = 0 or vec_id is null"), chunk=40).collect()
+    wide = np.array([v + [0] * (6 - len(v)) for _, v, *_ in rows[:300]])
+    scores = wide @ wide.T
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in found}
+    assert len(got) == len(found) == 150
+    for q in range(0, 300, 10):
+        order = sorted((c for c in range(300) if c != q), key=lambda c: (-scores[q, c], c))[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(c, scores[q, c]) for c in order]
