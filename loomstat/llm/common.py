@@ -140,6 +140,8 @@ def kept(key, make):
     """
     if key not in _kept:
         _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         _kept[key] = make()
     return _kept[key]
 

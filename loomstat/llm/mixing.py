@@ -18,6 +18,7 @@ names, are not carried by ``copies`` and are kept by ``mixed``.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,7 +94,8 @@ def copies(
         before += r[3]
     # rows that still tie are alike in all that a mix looks at
     ranked = globally_ranked(slim, ["unnamed", "source", "bin", "hash", "doc_id", "size", "text_hash", *carried], "rank")
-    told = spark.createDataFrame(rows, "named string, source_size long, target double, before long")
+    kinds = {"named": pa.string(), "source_size": pa.int64(), "target": pa.float64(), "before": pa.int64()}
+    told = spark.createDataFrame(pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], list(kinds)))
     told = F.broadcast(told) if len(rows) <= BROADCAST_SOURCES else told
     place = F.col("rank") - F.col("before")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.nullif("source_size", F.lit(0))).otherwise(0.0)

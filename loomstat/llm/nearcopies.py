@@ -46,7 +46,7 @@ RADIUS = 2
 #: One in so many texts is counted to tell common shingles; and those at most that are told.
 COUNTED, COMMON = 16, 1 << 17
 #: Neighbours under a shingle that a text is compared with in the first round, and times as many in each further one.
-WIDTH, WIDER = 32, 8
+WIDTH, WIDER = 32, 32
 #: Texts under a shingle that meet in one task.
 PART = 1 << 17
 #: Texts or shingles at most that are broadcast to be looked up; for more, all are shuffled.
@@ -366,31 +366,29 @@ def groups(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     spark = texts.sparkSession
     common, times = _common(texts, shingle)
     told = checkpointed(summaries(texts, common, times, shingle, similarity))
-    stars = spark.createDataFrame([], "child long, parent long")
-    posted = _posted(told)
+    posted, part = _posted(told), F.lit(0)
     hot = np.flatnonzero(times > PART // COUNTED)
     if len(hot):  # known beforehand: dealt to several parts at once
-        parts = [(int(s), -(-int(t) * COUNTED // PART)) for s, t in zip(common[hot].view(np.int64), times[hot])]
-        posted = posted.join(F.broadcast(spark.createDataFrame(parts, "shingle long, parts int")), "shingle", "left")
+        parts = spark.createDataFrame(pa.table({"shingle": common[hot].view(np.int64), "parts": -(-times[hot].astype(np.int64) * COUNTED // PART)}))
+        posted = posted.join(F.broadcast(parts), "shingle", "left")
         part = F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(0))
-    else:
-        parts, part = [], F.lit(0)
     found = checkpointed(neighbours(posted.withColumn("part", part.cast("int")), WIDTH, similarity))
     released(spark)
     crowded = found.filter("b is null").select(F.col("a").alias("shingle"))
-    if parts:
-        crowded = crowded.union(spark.createDataFrame([(s,) for s, _ in parts], "shingle long")).distinct()
+    if len(hot):
+        crowded = crowded.union(parts.select("shingle")).distinct()
     pairs = checkpointed(ball(told, radius).union(found.filter("b is not null")).distinct())
     tested, width, turn = pairs, WIDTH, 0
+    links = verified(pairs, told, texts, shingle, similarity)
     while True:
-        links = verified(pairs, told, texts, shingle, similarity)
-        stars = components(stars.select(F.col("child").alias("a"), F.col("parent").alias("b")).union(links))
+        stars = components(links)
         if crowded.isEmpty():
             return stars
         width, turn = WIDER * width, turn + 1
         pairs, crowded = further(told, stars, crowded, width, turn, similarity)
         pairs = checkpointed(pairs.join(tested, ["a", "b"], "left_anti"))
         tested = tested.union(pairs)
+        links = stars.toDF("a", "b").union(verified(pairs, told, texts, shingle, similarity))
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
