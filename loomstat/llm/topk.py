@@ -145,7 +145,7 @@ def _search_chunk(candidates: pd.DataFrame, queries: pd.DataFrame, k: int, block
     values, wanted = _matrix(candidates["value"], width), _matrix(queries["weights"], width)
     kind = _kind(width, values, wanted)
     blocks = Blocks(candidates["vec_id"].to_numpy(np.int64), values.astype(kind), block)
-    floors = queries["floor"].astype("float64").fillna(-np.inf).to_numpy()
+    floors = np.nextafter(queries["floor"].astype("float64").fillna(-np.inf).to_numpy(), -np.inf)  # never above the exact score
     scores, ids = blocks.search(queries["query_id"].to_numpy(np.int64), wanted.astype(kind), k, floors)
     real = np.flatnonzero((scores != -np.inf).ravel())
     flat = [min(max(int(s), _LEAST), _MOST) for s in scores.ravel()[real]]
@@ -201,7 +201,7 @@ def _reached(queries: DataFrame, bounds: pd.DataFrame, best_only: bool) -> DataF
             rows = batch.column(2).to_pylist()
             own = _matrix(pd.Series(rows), max(width, *map(len, rows)))
             pad = lambda m: np.pad(m, ((0, 0), (0, own.shape[1] - width)))
-            kind = _kind(own.shape[1], own, least, most)
+            kind = _kind(own.shape[1], own, np.stack([least, most]))
             reach = _bounds(own.astype(kind), pad(least).astype(kind), pad(most).astype(kind)).astype(np.float64)
             if best_only:
                 row, at = np.arange(len(rows)), np.argmax(reach, axis=1)
