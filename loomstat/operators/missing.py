@@ -44,9 +44,9 @@ def complete_cases(df: DataFrame, sets: dict[str, Iterable[str]]) -> DataFrame:
     return df.agg(F.array(*parts).alias("parts")).select(F.inline("parts"))
 
 
-def missing_matrix(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """1 where a cell is missing, else 0."""
-    return df.select(*(F.col(c).isNull().cast("int").alias(c) for c in columns))
+def missing_matrix(df: DataFrame, columns: Iterable[str], keep: Iterable[str] = ()) -> DataFrame:
+    """1 where a cell is missing, else 0; columns to ``keep`` stay as they are."""
+    return df.select(*keep, *(F.col(c).isNull().cast("int").alias(c) for c in columns))
 
 
 def missing_corr(df: DataFrame, columns: Iterable[str]) -> DataFrame:

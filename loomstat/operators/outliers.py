@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .profile import describe
+from .profile import quantiles
 
 
 def fences(long: DataFrame, mild: float = 1.5, extreme: float = 3.0, min_values: int = 1) -> DataFrame:
-    """q1, q3, iqr and both pairs of fences by variable, for variables with enough values."""
-    q = describe(long).filter(F.col("n_valid") >= min_values).select("variable", "n_valid", F.col("p25").alias("q1"), F.col("p75").alias("q3"), "min", "max")
+    """q1, q3, iqr and both pairs of fences by variable, for variables with enough values."""
+    ends = long.groupBy("variable").agg(F.count("value").alias("n_valid"), F.min("value").alias("min"), F.max("value").alias("max"))
+    quartiles = quantiles(long, (0.25, 0.75)).select("variable", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    q = ends.filter(F.col("n_valid") >= min_values).join(quartiles, "variable", "left")
     iqr = F.col("q3") - F.col("q1")
     return q.select(
         "variable",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,9 +13,11 @@ from ..functions import moments as M
 from .longform import estimated_bytes
 
 #: Input bytes (as the optimizer estimates) up to which quantiles come from one map of values for each group.
-IN_MEMORY = 8 << 30
+IN_MEMORY = 128 << 20
 #: Accuracy of the sketch that brackets a quantile in larger inputs; the rank's error is n / ACCURACY at most.
 ACCURACY = 10_000
+#: Stretches of a bracket that are ranked by themselves.
+STRETCHES = 256
 
 
 def describe(long: DataFrame, by: Iterable[str] = ("variable",)) -> DataFrame:
@@ -40,7 +43,8 @@ def quantiles(long: DataFrame, probabilities=M.QUARTILES, by: Iterable[str] = ("
 
     Small inputs take Spark's exact percentile, which holds all distinct values of a group in
     one map. Larger ones are bracketed by a sketch first; a second pass counts what lies below
-    each bracket and ranks only the values inside, about n / 2500 of them.
+    each bracket and ranks only the values inside, about n / 2500 of them: range-split, so that
+    tasks rank stretches of them, each from where the stretches before it end.
     """
     by = list(by)
     if estimated_bytes(long) <= in_memory:
@@ -60,10 +64,20 @@ def _bracketed(long: DataFrame, probabilities: list[float], by: list[str]) -> Da
     met = values.join(F.broadcast(brackets), same) if by else values.crossJoin(F.broadcast(brackets))
     # what lies below a bracket, and what lies above, is one entry each: its value next to the bracket
     held = F.when(F.col("value") < F.col("low"), float("-inf")).when(F.col("value") > F.col("high"), float("inf")).otherwise(F.col("value"))
-    counted = met.groupBy(*by, "k", "p", "n", held.alias("held")).agg(F.count("*").alias("m"), F.min("value").alias("least"), F.max("value").alias("most"))
+    counted = met.groupBy(*by, "k", "p", "n", "low", "high", held.alias("held")).agg(F.count("*").alias("m"), F.min("value").alias("least"), F.max("value").alias("most"))
     edge = F.when(F.col("held") == float("-inf"), F.col("most")).otherwise(F.col("least"))
-    order = Window.partitionBy(*by, "k").orderBy("held")
-    upto = counted.withColumn("edge", edge).withColumn("upto", F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # stretches of equal width cut each bracket; the counts of those before are summed first, so that no task ranks a whole bracket
+    cut = F.when(F.col("held") == float("-inf"), -1).when(F.col("held") == float("inf"), STRETCHES).otherwise(
+        F.least(F.coalesce(F.floor(F.try_divide(F.col("held") - F.col("low"), F.col("high") - F.col("low")) * STRETCHES), F.lit(0)), F.lit(STRETCHES - 1))
+    )
+    counted = counted.withColumns({"edge": edge, "cut": cut.cast("int")})
+    stretch = Window.partitionBy(*by, "k").orderBy("cut")
+    before = counted.groupBy(*by, "k", "cut").agg(F.sum("m").alias("own")).withColumn("before", F.sum("own").over(stretch.rowsBetween(Window.unboundedPreceding, 0)) - F.col("own"))
+    told = before.select(*(F.col(c).alias(f"_{c}") for c in (*by, "k", "cut")), "before")
+    # as many rows as there are groups, probabilities and stretches: a size given by the catalogue
+    counted = counted.join(F.broadcast(told), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*by, "k", "cut")])
+    order = Window.partitionBy(*by, "k", "cut").orderBy("held")
+    upto = counted.withColumn("upto", F.col("before") + F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     place = F.col("p") * (F.col("n") - 1)
     at = lambda rank: F.min_by("edge", F.when(F.col("upto") > rank, F.col("held")))
     picked = upto.groupBy(*by, "k", "p", "n").agg(at(F.floor(place)).alias("a"), at(F.ceil(place)).alias("b"))
@@ -88,6 +102,20 @@ def distributions(long: DataFrame, heavy: float = 2.0, moderate: float = 1.0, mi
     return classed.select("variable", "n_valid", "mean", "std", "min", "p25", "median", "p75", "max", "skewness", "kurtosis", "skew_class")
 
 
+def type_frequency(df: DataFrame) -> DataFrame:
+    """The number of columns of each type, and the bytes that the optimizer estimates for the table."""
+    counts = Counter(kind for _, kind in df.dtypes)
+    rows = [(kind, n, estimated_bytes(df)) for kind, n in sorted(counts.items(), key=lambda c: (-c[1], c[0]))]
+    return df.sparkSession.createDataFrame(rows, "type string, n_columns long, table_bytes long")
+
+
+def scalars(df: DataFrame, value: str) -> DataFrame:
+    """One row: minimum and maximum (as integers), mean (1 place, half-even) and median."""
+    ends = df.agg(F.min(value).cast("int").alias("min"), F.max(value).cast("int").alias("max"), F.bround(F.avg(F.col(value).cast("double")), 1).alias("mean"))
+    middle = quantiles(df.select(F.col(value).cast("double").alias("value")), (0.5,), by=())
+    return ends.crossJoin(F.broadcast(middle.select(F.col("q")[0].alias("median"))))  # one row each
+
+
 def histogram(df: DataFrame, value: str, bins: int = 40) -> DataFrame:
     """Equal-width bins from minimum to maximum, the last one closed: bin, low, high, n (empty bins too)."""
     ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))

@@ -25,5 +25,9 @@ def recommendations(heavily_skewed: list[str], investigate: list[str], redundant
     ]
 
 
+# The two verdicts of the profile's summary.
+NOT_READY, READY = "Additional preprocessing recommended before clustering.", "Dataset ready for scaling and clustering."
+
+
 def verdict(found: list[Recommendation]) -> str:
-    return "Additional preprocessing recommended before clustering." if any(r.applies for r in found) else "Dataset ready for scaling and clustering."
+    return NOT_READY if any(r.applies for r in found) else READY

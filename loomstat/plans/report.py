@@ -31,8 +31,8 @@ def markdown_table(df: DataFrame) -> str:
 def phases(found, catalog: Catalog) -> dict[str, dict[str, DataFrame]]:
     """Each phase's tables, by name."""
     return {
-        "overview": {"variables": found.overview, "cells": found.cells},
-        "missingness": {"missing_values": found.missing, "complete_cases": found.complete, "co_missing": found.co_missing},
+        "overview": {"variables": found.overview, "types": found.types, "cells": found.cells},
+        "missingness": {"missing_values": found.missing, "high_missing": found.expected, "complete_cases": found.complete, "co_missing": found.co_missing},
         "distributions": {"distributions": found.distributions},
         "outliers": {"outlier_counts": found.outliers},
         "correlations": {"correlation_matrix": correlate.matrix(found.correlations, catalog.features), "high_correlations": found.high_pairs},
@@ -45,7 +45,7 @@ def summary(found, catalog: Catalog) -> str:
     lines = ["# Profile", "", f"**{found.verdict}**"]
     shown = {
         "Overview": [found.cells],
-        "Missing values": [found.complete, found.missing.filter("is_high")],
+        "Missing values": [found.complete, found.expected],
         "Distributions": [found.distributions.filter("abs(skewness) > 1.0").select("variable", "skewness", "skew_class")],
         "Outliers": [found.outliers.filter("n_requires_inv > 0").select("variable", "max_value", "n_extreme_outliers", "n_requires_inv")],
         "Correlations": [found.high_pairs],

@@ -51,8 +51,10 @@ class Profile:
     """Stage 3's results, lazy but for the recommendations."""
 
     overview: DataFrame
+    types: DataFrame
     cells: DataFrame
     missing: DataFrame
+    expected: DataFrame
     complete: DataFrame
     co_missing: DataFrame
     distributions: DataFrame
@@ -67,6 +69,12 @@ class Profile:
     verdict: str
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A result of a bounded number of rows (the catalogue's variables, pairs or groups), computed once and held as local rows, in order."""
+    rows = df.collect()
+    return df.sparkSession.createDataFrame(rows, df.schema).coalesce(1)
+
+
 def profile_panel(df: DataFrame, catalog: Catalog = SURVEY) -> Profile:
     """Stage 3: all phases over one table. Give it cached or written: each phase reads it."""
     t, features = catalog.thresholds, list(catalog.features)
@@ -75,9 +83,11 @@ def profile_panel(df: DataFrame, catalog: Catalog = SURVEY) -> Profile:
     measured = [c for c in df.columns if c != catalog.key]
     long = to_long(df, features)
     in_order = lambda d: d.orderBy(position(features))
-    shapes = in_order(profile.distributions(long, t.heavy_skew, t.moderate_skew, t.min_values))
-    beyond = in_order(outliers.outlier_counts(long, catalog.ranges, t.mild_fence, t.extreme_fence, t.min_values))
-    pairs = correlate.pearson(df, features, t.min_pairs)
+    # each is read by the rules, the tables and the summary, and has one row a variable or pair of variables
+    shapes = small(in_order(profile.distributions(long, t.heavy_skew, t.moderate_skew, t.min_values)))
+    beyond = small(in_order(outliers.outlier_counts(long, catalog.ranges, t.mild_fence, t.extreme_fence, t.min_values)))
+    pairs = small(correlate.pearson(df, features, t.min_pairs))
+    absent = small(missing.missing_table(df, measured, t.high_missing_pct))
     labelled = df.withColumns({f"{c}_label": C.label_of(F.col(c), labels) for c, labels in catalog.labels.items()})
     labelled = labelled.withColumns({f"{c}_bin": C.bin_of(F.col(c), bins) for c, bins in catalog.bins.items()})
     shown = [c for c in catalog.shown if c in df.columns]
@@ -92,8 +102,10 @@ def profile_panel(df: DataFrame, catalog: Catalog = SURVEY) -> Profile:
     age = catalog.age_column
     return Profile(
         overview=roles,
-        cells=missing.missing_cells(df),
-        missing=missing.missing_table(df, measured, t.high_missing_pct),
+        types=profile.type_frequency(df),
+        cells=small(missing.missing_cells(df)),
+        missing=absent,
+        expected=missing.expected(absent, catalog.expected_missing),
         complete=missing.complete_cases(df, catalog.feature_sets()),
         co_missing=missing.co_missing(missing.missing_corr(df, measured), t.co_missing),
         distributions=shapes,
@@ -101,7 +113,7 @@ def profile_panel(df: DataFrame, catalog: Catalog = SURVEY) -> Profile:
         correlations=pairs,
         high_pairs=correlate.noted(correlate.high_pairs(pairs, t.high_corr, t.very_high_corr), catalog.notes),
         label_counts={c: groups.frequency(labelled, f"{c}_label") for c in catalog.labels},
-        age=df.agg(F.min(age).alias("min"), F.max(age).alias("max"), F.bround(F.avg(age), 1).alias("mean"), F.percentile(age, F.lit(0.5)).alias("median")),
+        age=profile.scalars(df, age),
         bins=groups.label_shares(labelled, f"{age}_bin").orderBy(f"{age}_bin"),
         by_label=by_label,
         recommendations=found,

@@ -167,6 +167,18 @@ def missing_table(spark, sf_dir):
     return missing.missing_table(readings_panel(spark, sf_dir), _PANEL_COLUMNS, T.high_missing_pct)
 
 
+@_query(f"""WITH {PANEL}, counts AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS variable, count(*) - count({c}) missing_count, count({c}) present_count, count(*) n FROM panel" for c in _PANEL_COLUMNS) + """)
+  SELECT variable, missing_count, round_even(missing_count * 100.0::DOUBLE / n, 2) missing_pct, variable IN ('r1', 'r2') AS expected FROM counts WHERE missing_count * 100.0 / n > 40""")
+def expected_missing(spark, sf_dir):
+    table = missing.missing_table(readings_panel(spark, sf_dir), _PANEL_COLUMNS, T.high_missing_pct)
+    return missing.expected(table, ("r1", "r2")).select("variable", "missing_count", "missing_pct", "expected")
+
+
+@_query(f"""WITH {PANEL} SELECT c_custkey, (c_acctbal IS NULL)::INT c_acctbal, (r1 IS NULL)::INT r1, (r2 IS NULL)::INT r2, (r3 IS NULL)::INT r3 FROM panel""")
+def missing_indicator_matrix(spark, sf_dir):
+    return missing.missing_matrix(readings_panel(spark, sf_dir), _PANEL_COLUMNS, keep=("c_custkey",))
+
+
 @_query(f"""WITH {PANEL}, counts AS (SELECT count(*) n, 4 * count(*) - count(c_acctbal) - count(r1) - count(r2) - count(r3) m FROM panel)
   SELECT n n_rows, CAST(4 AS BIGINT) n_columns, 4 * n n_cells, m n_missing, round(m * 100.0::DOUBLE / (4 * n), 4) missing_pct FROM counts""")
 def missing_cells(spark, sf_dir):
@@ -269,6 +281,27 @@ def tukey_fences(spark, sf_dir):
     return _rounded(outliers.fences(_values(spark, sf_dir), T.mild_fence, T.extreme_fence))
 
 
+@_query("""SELECT min(p_size)::INT min, max(p_size)::INT max, round_even(avg(p_size::DOUBLE), 1) mean, quantile_cont(p_size::DOUBLE, 0.5) median FROM part""")
+def age_scalars(spark, sf_dir):
+    return profile.scalars(_t(spark, sf_dir, "part"), "p_size")
+
+
+@_query("""WITH long AS (SELECT 'p_size' AS variable, p_size::DOUBLE AS value FROM part UNION ALL SELECT 'n_nationkey', n_nationkey::DOUBLE FROM nation UNION ALL SELECT 'r_regionkey', r_regionkey::DOUBLE FROM region)
+  SELECT variable, count(value) n_valid, quantile_cont(value, 0.25) q1, quantile_cont(value, 0.75) q3 FROM long GROUP BY variable HAVING count(value) >= 10""")
+def enough_values(spark, sf_dir):
+    tables = (("part", "p_size"), ("nation", "n_nationkey"), ("region", "r_regionkey"))
+    first, *others = (to_long(_t(spark, sf_dir, name), [column]) for name, column in tables)
+    for other in others:
+        first = first.unionByName(other)
+    return outliers.fences(first, min_values=T.min_values).select("variable", "n_valid", "q1", "q3")
+
+
+@_query("""SELECT data_type AS type, count(*) n_columns FROM (SELECT CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'DATE' THEN 'date' ELSE lower(data_type) END data_type
+  FROM information_schema.columns WHERE table_name = 'documents') GROUP BY 1""")
+def type_frequency(spark, sf_dir):
+    return profile.type_frequency(_t(spark, sf_dir, "documents")).select("type", "n_columns")
+
+
 _BEYOND = f"""{_FENCES}, met AS (SELECT value, value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1) mild, value < q1 - 3 * (q3 - q1) OR value > q3 + 3 * (q3 - q1) far,
   CASE WHEN value BETWEEN 0 AND 25 THEN 'p' WHEN value < 0 OR value > 50 THEN 'r' ELSE 's' END kind FROM events, fences WHERE value IS NOT NULL)"""
 
@@ -334,6 +367,44 @@ def pairwise_null_corr(spark, sf_dir):
     return _rounded(correlate.pearson(readings_panel(spark, sf_dir), READINGS, T.min_pairs), 6)
 
 
+_BLOCK_COLUMNS = (*LINE_COLUMNS, "net_price", "charge", "unit_price", "l_linenumber", "suppkey", "returned")
+_BLOCK = "wide AS (SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_extendedprice * (1 - l_discount) net_price, l_extendedprice * (1 - l_discount) * (1 + l_tax) charge, l_extendedprice / nullif(l_quantity, 0) unit_price, l_linenumber::DOUBLE l_linenumber, CASE WHEN l_suppkey % 3 > 0 THEN l_suppkey::DOUBLE END suppkey, CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE WHEN l_returnflag = 'A' THEN 0.0::DOUBLE END returned FROM lineitem)"
+
+
+def _wide_lines(spark, sf_dir):
+    made = {
+        "net_price": "l_extendedprice * (1 - l_discount)",
+        "charge": "l_extendedprice * (1 - l_discount) * (1 + l_tax)",
+        "unit_price": "try_divide(l_extendedprice, l_quantity)",
+        "suppkey": "CASE WHEN l_suppkey % 3 > 0 THEN l_suppkey END",
+        "returned": "CASE l_returnflag WHEN 'R' THEN 1.0D WHEN 'A' THEN 0.0D END",
+    }
+    return _t(spark, sf_dir, "lineitem").withColumns({name: F.expr(sql) for name, sql in made.items()})
+
+
+@_query(f"WITH {_BLOCK} " + " UNION ALL ".join(f"SELECT '{a}' variable_1, '{b}' variable_2, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) n_pairs, round(corr({a}, {b}), 6) r FROM wide" for k, a in enumerate(_BLOCK_COLUMNS) for b in _BLOCK_COLUMNS[k + 1 :]))
+def pearson_many_columns(spark, sf_dir):
+    return _rounded(correlate.pearson(_wide_lines(spark, sf_dir), _BLOCK_COLUMNS, T.min_pairs), 6)
+
+
+_SQUARE = ", ".join(f"round(max(CASE WHEN variable_2 = '{c}' THEN r END), 6) AS \"{c}\"" for c in _CORR_COLUMNS)
+
+
+@_query(f"""WITH {_CORR}, both_ways AS (SELECT variable_1, variable_2, r FROM pairs UNION ALL SELECT variable_2, variable_1, r FROM pairs""" + "".join(f" UNION ALL SELECT '{c}', '{c}', 1.0::DOUBLE" for c in _CORR_COLUMNS) + f""")
+  SELECT variable_1 AS variable, {_SQUARE} FROM both_ways GROUP BY variable_1""")
+def correlation_square(spark, sf_dir):
+    return _rounded(correlate.matrix(_line_pairs(spark, sf_dir), _CORR_COLUMNS), 6)
+
+
+_NOTES = {frozenset({"l_extendedprice", "net_price"}): "the net price is computed from the price", frozenset({"l_tax", "l_discount"}): "both are rates"}
+
+
+@_query(f"""WITH {_CORR} SELECT variable_1, variable_2, CASE WHEN least(variable_1, variable_2) = 'l_extendedprice' AND greatest(variable_1, variable_2) = 'net_price' THEN 'the net price is computed from the price'
+  WHEN least(variable_1, variable_2) = 'l_discount' AND greatest(variable_1, variable_2) = 'l_tax' THEN 'both are rates' END note FROM pairs""")
+def pair_notes(spark, sf_dir):
+    return correlate.noted(_line_pairs(spark, sf_dir), _NOTES).select("variable_1", "variable_2", "note")
+
+
 # --- groups --------------------------------------------------------------------------------------
 
 _LANG_CASE = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LANGUAGES.items()) + " END"
