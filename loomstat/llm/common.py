@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 from collections.abc import Iterator
@@ -97,7 +98,7 @@ def distinct_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return once.join(chosen.toDF(*keys, *chosen.columns[2:]), keys).drop(*keys)
 
 
-def globally_ranked(df: DataFrame, keys: list[str], rank: str) -> DataFrame:
+def globally_ranked(df: DataFrame, keys: list[str], rank: str, partitions: int | None = None) -> DataFrame:
     """Add the 0-based position of each row in the order of ``keys`` over the whole table.
 
     A range shuffle sorts the rows into partitions of like size, whatever the keys' skew
@@ -106,7 +107,7 @@ def globally_ranked(df: DataFrame, keys: list[str], rank: str) -> DataFrame:
     """
     spark = df.sparkSession
     place = fresh(df, "place")
-    ordered = df.repartitionByRange(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys)
+    ordered = df.repartitionByRange(partitions or shuffle_partitions(spark), *keys).sortWithinPartitions(*keys)
     ordered = checkpointed(ordered.withColumn(place, F.monotonically_increasing_id()))
     part = F.shiftright(place, _ROW_BITS).cast("int")
     row = F.col(place).bitwiseAND((1 << _ROW_BITS) - 1)
@@ -142,6 +143,8 @@ def kept(key, make):
         _kept.clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
+        if hasattr(ctypes.CDLL(None), "malloc_trim"):  # the C library's own free lists
+            ctypes.CDLL(None).malloc_trim(0)
         _kept[key] = make()
     return _kept[key]
 

@@ -18,11 +18,10 @@ names, are not carried by ``copies`` and are kept by ``mixed``.
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, distinct_rows, fresh, globally_ranked, row_key, table, text_key
+from .common import WORD, checkpointed, distinct_rows, fresh, globally_ranked, row_key, shuffle_partitions, table, text_key
 
 #: Weights of the sources in order of code points, null last, repeating.
 WEIGHTS = (5, 2, 1)
@@ -33,30 +32,37 @@ MOST = 2
 SEED = "mix"
 #: Sources at most whose targets are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_SOURCES = 20_000
+#: Sources that one task ranks, about.
+SOURCES_IN_A_TASK = 100_000
 
 
 def word_count(text: str | Column = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: list[int], weights: list[int], budget: float, most: float) -> list[float]:
-    """Shares of ``budget`` by weight; none above ``most`` times its size, the excess reshared.
+def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
+    """``sources`` (unnamed, source, source_size, ...; one row each) with target: shares of ``budget`` times all sizes by weight; none above ``most`` times its size.
 
-    Resharing until none is above ends with one price per weight: sources whose limit lies below
-    it stop there. They are the first in order of limit per weight.
+    A source is full if its limit is no more than its weight's share of what the full ones leave to
+    the others. Filling some raises the shares of the others, until none more gets full: each round
+    is one sum over the sources, and the sums alone go to the driver.
     """
-    order = sorted(range(len(sizes)), key=lambda k: (sizes[k] / weights[k], k))
-    left, open_weight = budget, sum(weights)
-    found = [0.0] * len(sizes)
-    for n, k in enumerate(order):
-        if most * sizes[k] * open_weight > left * weights[k]:
-            for j in order[n:]:
-                found[j] = left * weights[j] / open_weight
+    parts = min(shuffle_partitions(sources.sparkSession), 1 + sources.count() // SOURCES_IN_A_TASK)
+    ranked = globally_ranked(sources, ["unnamed", "source"], "nth", parts)
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("nth", F.lit(len(weights))) + 1).cast("int"))
+    weighed = checkpointed(ranked.withColumn("weight", weight))
+    limit, weight = F.lit(float(most)) * F.col("source_size"), F.col("weight")
+    sums = lambda *columns: [float(v or 0) for v in weighed.agg(*map(F.sum, columns)).first()]
+    size, still_open = sums("source_size", "weight")
+    left = everything = budget * size
+    while True:
+        full = limit * still_open <= left * weight
+        taken, others = sums(F.when(full, limit), F.when(~full, weight))
+        if others >= still_open:
             break
-        found[k] = float(most * sizes[k])
-        left -= most * sizes[k]
-        open_weight -= weights[k]
-    return found
+        left, still_open = everything - taken, others
+    share = F.lit(left) * weight / F.lit(still_open or 1.0)
+    return weighed.withColumn("target", F.when(full, limit).otherwise(share)).drop("nth", "weight")
 
 
 def _hash60(value: Column) -> Column:
@@ -69,9 +75,9 @@ def copies(
 ) -> DataFrame:
     """doc_id, text_hash, size, source_size, target and copies of each row of ``docs`` (doc_id, text, source), and its ``carried`` columns.
 
-    One row for each source goes to the driver, and returns with its target.
+    Sources stay a table, however many they are; beyond BROADCAST_SOURCES the join with it
+    leaves a large source to adaptive execution.
     """
-    spark = docs.sparkSession
     size = F.col("size").cast("string")
     slim = docs.select("doc_id", "source", word_count().alias("size"), text_key().alias("text_hash"), *carried).select(
         "doc_id",
@@ -84,19 +90,11 @@ def copies(
         *carried,
     )
     slim = checkpointed(slim)
-    sources = slim.groupBy("unnamed", "source").agg(F.sum("size"), F.count("*")).collect()
-    sources.sort(key=lambda r: (r[0], (r[1] or "").encode()))
-    own = [weights[k % len(weights)] for k in range(len(sources))]
-    sizes = [r[2] for r in sources]
-    rows, before = [], 0
-    for r, target in zip(sources, targets(sizes, own, budget * sum(sizes), most)):
-        rows.append((r[1], r[2], target, before))
-        before += r[3]
     # rows that still tie are alike in all that a mix looks at
     ranked = globally_ranked(slim, ["unnamed", "source", "bin", "hash", "doc_id", "size", "text_hash", *carried], "rank")
-    kinds = {"named": pa.string(), "source_size": pa.int64(), "target": pa.float64(), "before": pa.int64()}
-    told = spark.createDataFrame(pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], list(kinds)))
-    told = F.broadcast(told) if len(rows) <= BROADCAST_SOURCES else told
+    own = checkpointed(ranked.groupBy("unnamed", "source").agg(F.sum("size").alias("source_size"), F.min("rank").alias("before")))
+    told = targets(own, weights, budget, most).select(F.col("source").alias("named"), "source_size", "target", "before")
+    told = F.broadcast(told) if own.count() <= BROADCAST_SOURCES else told
     place = F.col("rank") - F.col("before")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.nullif("source_size", F.lit(0))).otherwise(0.0)
     offset = _hash60(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("")))) / F.lit(2.0**60)

@@ -144,13 +144,33 @@ def test_language_rejects_and_tells(spark, docs):
     assert language.dictionaries(train.limit(0)) == {}
 
 
-def test_mixing_targets():
-    assert mixing.targets([100, 100, 100], [5, 2, 1], 450, 2) == [200.0, 500 / 3, 250 / 3]
-    assert mixing.targets([10, 1000], [5, 2], 1515, 2) == [20.0, 1495.0]
-    assert mixing.targets([], [], 0, 2) == [] and mixing.targets([0, 0], [5, 2], 0, 2) == [0.0, 0.0]
-    sizes, weights = [7, 40, 3, 900, 25, 60], [5, 2, 1, 5, 2, 1]
-    found = mixing.targets(sizes, weights, 1.5 * sum(sizes), 2)
-    assert sum(found) == pytest.approx(1.5 * sum(sizes)) and all(t <= 2 * s + 1e-9 for t, s in zip(found, sizes))
+def plain_targets(sizes, weights, budget, most):
+    """Shares of the budget by weight; those above their limit stop there and leave the rest to the others, until none is above."""
+    found, full = {}, set()
+    while True:
+        left = budget - sum(most * sizes[k] for k in full)
+        rest = [k for k in range(len(sizes)) if k not in full]
+        found = {k: most * sizes[k] for k in full} | {k: left * weights[k] / sum(weights[j] for j in rest) for k in rest}
+        above = {k for k in rest if found[k] > most * sizes[k]}
+        if not above:
+            return [float(found[k]) for k in range(len(sizes))]
+        full |= above
+
+
+def test_mixing_targets(spark):
+    def targets(sizes, weights=(5, 2, 1)):
+        sources = [(False, f"s{k:03}", size) for k, size in enumerate(sizes[:-1])] + [(True, None, size) for size in sizes[-1:]]
+        made = spark.createDataFrame(sources, "unnamed boolean, source string, source_size long")
+        told = {r["source"]: r["target"] for r in mixing.targets(made, weights).collect()}
+        return [told[source] for _, source, _ in sources]
+
+    assert targets([100, 100, 100]) == [200.0, 500 / 3, 250 / 3]
+    assert targets([10, 1000]) == [20.0, 1495.0]
+    assert targets([]) == [] and targets([0, 0]) == [0.0, 0.0]
+    for sizes in ([7, 40, 3, 900, 25, 60], [0, 5], [4**k for k in range(12)], [(k * 7919) % 1000 for k in range(100)]):
+        found = targets(sizes)
+        assert found == pytest.approx(plain_targets(sizes, [(5, 2, 1)[k % 3] for k in range(len(sizes))], 1.5 * sum(sizes), 2))
+        assert sum(found) == pytest.approx(1.5 * sum(sizes)) and all(t <= 2 * s + 1e-9 for t, s in zip(found, sizes))
 
 
 def test_mixing_takes_near_targets(spark, docs):
