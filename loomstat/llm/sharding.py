@@ -18,6 +18,7 @@ leave shards empty; an empty table gives no rows; other columns are not carried
 from __future__ import annotations
 
 from dataclasses import dataclass
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +30,10 @@ SHARDS = 40
 COST = 16
 #: Bins of a node's open bracket in each pass.
 BINS = 1024
-#: Shards at most of one tree, whose cuts stand in one SQL expression. For more, shard each shard again.
+#: Leaves at most of one tree, whose cuts stand in one SQL expression (a power of two). For more shards, its leaves are trees again.
 MOST_SHARDS = 1024
+#: Shards at most whose first ranks are broadcast.
+BROADCAST_SHARDS = 1 << 20
 #: Bits of a key below the dimension's value: a hash of the row, of which the last bits spread rows that are equal.
 LOW, TIE = 32, 12
 
@@ -54,11 +57,11 @@ class Node:
     def leaves(self) -> list[Node]:
         return [self] if self.left is None else self.left.leaves() + self.right.leaves()
 
-    def route(self) -> str:
-        """SQL for the number of the leaf that a row lies in: the first of its shards."""
+    def route(self, number: dict[int, int] | None = None) -> str:
+        """SQL for the leaf that a row lies in: the first of its shards, or what ``number`` has for that."""
         if self.left is None:
-            return str(self.first)
-        return f"CASE WHEN key{self.dimension} < {self.threshold}L THEN {self.left.route()} ELSE {self.right.route()} END"
+            return str(number[self.first] if number else self.first)
+        return f"CASE WHEN key{self.dimension} < {self.threshold}L THEN {self.left.route(number)} ELSE {self.right.route(number)} END"
 
 
 def _hashed_value(col: Column) -> Column:
@@ -73,13 +76,14 @@ def _scaled_log(col: Column) -> Column:
 
 def _medians(points: DataFrame, root: Node, open_nodes: list[Node], dimensions: int) -> None:
     """Set each open node's threshold, narrowing brackets of all of them together."""
-    seeking = list(open_nodes)
+    seeking, leaves = list(open_nodes), root.leaves()
+    number = {n.first: k for k, n in enumerate(leaves)}
     while seeking:
         own = {n.first: n for n in seeking}
-        by_node = lambda f, rest: f"element_at(array({', '.join(str(f(own[k]) if k in own else rest) + 'L' for k in range(root.shards))}), node + 1)"
+        by_node = lambda f, rest: f"element_at(array({', '.join(str(f(own[n.first]) if n.first in own else rest) + 'L' for n in leaves)}), node + 1)"
         key = f"element_at(array({', '.join(f'key{d}' for d in range(dimensions))}), int({by_node(lambda n: n.dimension + 1, 1)}))"
         low, step = by_node(lambda n: n.low, 1), by_node(lambda n: (n.high - n.low) // BINS + 1, 1)
-        placed = points.selectExpr("*", f"{root.route()} AS node")
+        placed = points.selectExpr("*", f"{root.route(number)} AS node")
         keyed = placed.selectExpr("node", "size", f"{key} AS key", f"{low} AS low", f"{by_node(lambda n: n.high, 0)} AS high", f"{step} AS step")
         bins = (
             keyed.filter("key BETWEEN low AND high")  # a node that is not sought has none
@@ -93,7 +97,7 @@ def _medians(points: DataFrame, root: Node, open_nodes: list[Node], dimensions:
         left = []
         for n in seeking:
             below = n.below
-            for b in by_bin[n.first]:
+            for b in by_bin[number[n.first]]:
                 if below + b["size"] >= n.aim or b["high"] == n.high:
                     break
                 below += b["size"]
@@ -105,11 +109,12 @@ def _medians(points: DataFrame, root: Node, open_nodes: list[Node], dimensions:
         seeking = left
 
 
-def kd_tree(points: DataFrame, shards: int, dimensions: int) -> Node:
-    """The tree over ``points`` (size, key0, key1, ...), for ``shards`` leaves of like bytes."""
-    root = Node(0, shards)
-    spans: list[int] = []
-    while open_nodes := [n for n in root.leaves() if n.shards > 1]:
+def kd_tree(points: DataFrame, root: Node, dimensions: int, spans: list[int], most: int = 1) -> None:
+    """Grow the tree over ``points`` (size, key0, key1, ...) until its leaves have ``most`` shards, of like bytes each.
+
+    Widths are told in shares of ``spans``, those of all points, which the first tree over them sets.
+    """
+    while open_nodes := [n for n in root.leaves() if n.shards > most]:
         keys = [f(f"key{d}").alias(f"{f.__name__}{d}") for d in range(dimensions) for f in (F.min, F.max)]
         stats = {r["node"]: r for r in points.groupBy(F.expr(root.route()).alias("node")).agg(F.sum("size").alias("size"), *keys).collect()}
         sought = []
@@ -118,7 +123,8 @@ def kd_tree(points: DataFrame, shards: int, dimensions: int) -> Node:
             if (r := stats.get(n.first)) is not None:
                 ends = [(r[f"min{d}"], r[f"max{d}"]) for d in range(dimensions)]
                 widths = [(high >> LOW) - (low >> LOW) for low, high in ends]
-                spans = spans or [max(w, 1) for w in widths]
+                if not spans:
+                    spans.extend(max(w, 1) for w in widths)
                 n.dimension = max(range(dimensions), key=lambda d: widths[d] / spans[d])
                 n.low, n.high = ends[n.dimension]
                 n.below, n.aim = 0, r["size"] * n_left / n.shards
@@ -127,7 +133,27 @@ def kd_tree(points: DataFrame, shards: int, dimensions: int) -> Node:
         for n in open_nodes:
             n_left = n.shards // 2
             n.left, n.right = Node(n.first, n_left), Node(n.first + n_left, n.shards - n_left)
-    return root
+
+
+def _routed(points: DataFrame, root: Node, dimensions: int, spans: list[int]) -> DataFrame:
+    """``points`` with the shard of each, one of those of ``root``.
+
+    Beyond MOST_SHARDS each leaf of the first tree has many shards. Its points lie in a folder of their own
+    (below ``spark.checkpoint.dir``), so that the tree over them reads no others. The cuts are those of one large tree.
+    """
+    most = 1 if root.shards <= MOST_SHARDS else max(MOST_SHARDS, -(-root.shards // MOST_SHARDS))
+    kd_tree(points, root, dimensions, spans, most)
+    placed = points.withColumn("shard", F.expr(root.route()).cast("int"))
+    if most == 1:
+        return placed
+    spark = points.sparkSession
+    folder = f"{spark.sparkContext.getCheckpointDir()}/shards-{uuid4().hex}"
+    placed.repartitionByRange("shard", "key0").write.partitionBy("shard").parquet(f"{folder}/points")
+    parts = spark.read.schema(placed.schema).parquet(f"{folder}/points")
+    for leaf in root.leaves():
+        own = parts.filter(F.col("shard") == leaf.first).select(points.columns)
+        _routed(own, Node(leaf.first, leaf.shards), dimensions, spans).write.parquet(f"{folder}/routed/part={leaf.first}")
+    return spark.read.schema(placed.schema).parquet(f"{folder}/routed").select(placed.columns)
 
 
 def sharded(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | None = None) -> DataFrame:
@@ -150,18 +176,12 @@ def sharded(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | No
     if shards is None:
         total = points.agg(F.sum("size")).first()[0] or 0
         shards = max(1, -(-total // max(1, target_bytes or 1)))
-    if shards > MOST_SHARDS:
-        raise ValueError(f"{shards} shards: one tree has at most {MOST_SHARDS}; shard into fewer and shard each of them")
-    tree = kd_tree(points, shards, 3)
-    placed = points.select("doc_id", "size", "text_crc32", F.expr(tree.route()).cast("int").alias("shard"), (F.col("key2").bitwiseAND((1 << LOW) - 1)).alias("low"))
+    routed = _routed(points, Node(0, shards), 3, [])
+    placed = routed.select("doc_id", "size", "text_crc32", "shard", (F.col("key2").bitwiseAND((1 << LOW) - 1)).alias("low"))
     ranked = globally_ranked(placed, ["shard", "low", "doc_id"], "rank")
-    counts = {r[0]: r[1] for r in ranked.groupBy("shard").count().collect()}
-    starts, before = [], 0
-    for k in range(shards):
-        starts.append(before)
-        before += counts.get(k, 0)
-    start = F.element_at(F.lit(starts).cast("array<bigint>"), F.col("shard") + 1)
-    return ranked.select("doc_id", "size", "text_crc32", "shard", (F.col("rank") - start).alias("slot"))
+    starts = ranked.groupBy("shard").agg(F.min("rank").alias("start"))  # one row a shard
+    starts = F.broadcast(starts) if shards <= BROADCAST_SHARDS else starts
+    return ranked.join(starts, "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("rank") - F.col("start")).alias("slot"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,7 +52,8 @@ def test_tree_is_that_of_exact_medians(spark, shards):
     random.seed(shards)
     rows = [(k, random.randint(1, 500), tuple(random.randrange(40) << sharding.LOW | random.getrandbits(31) for _ in range(3))) for k in range(400)]
     points = spark.createDataFrame([(k, s, *keys) for k, s, keys in rows], "id long, size long, key0 long, key1 long, key2 long").cache()
-    tree = sharding.kd_tree(points, shards, 3)
+    tree = sharding.Node(0, shards)
+    sharding.kd_tree(points, tree, 3, [])
     found = {r["id"]: r["shard"] for r in points.selectExpr("id", f"int({tree.route()}) AS shard").collect()}
     assert found == plain_tree(rows, 0, shards, None)
 
@@ -63,6 +64,19 @@ def test_shards_do_not_depend_on_the_layout(spark):
     assert of(docs) == of(docs.repartition(5))
 
 
+def test_trees_of_trees_are_one_tree(spark, monkeypatch):
+    """19 shards of trees of at most 4 or 2 leaves; some parts are empty where there are fewer rows than shards."""
+    docs = H.documents(spark)
+    of = lambda df: Counter((r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.sharded(df, 19).collect())
+    for df in (docs, docs.filter("doc_id is not null").limit(3), docs.limit(0)):
+        df = spark.createDataFrame(df.collect(), df.schema)
+        once = of(df)
+        for most in (4, 2):
+            monkeypatch.setattr(sharding, "MOST_SHARDS", most)
+            assert of(df) == once
+        monkeypatch.undo()
+
+
 def test_discriminant_is_the_plain_one(spark):
     rng = np.random.default_rng(1)
     width = len(discriminant.FEATURES)
