@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from loomstat.__main__ import main
 from loomstat.catalog import SURVEY
 from loomstat.operators.quality import DuplicateKeyError, MissingColumnsError
 from loomstat.plans import stages
@@ -71,3 +72,16 @@ def test_duplicate_keys_stop_the_merge(spark, folder, tmp_path):
     (tmp_path / "HDL_J.csv").write_text("SEQN,LBDHDD\n7,1\n7,2\n")
     with pytest.raises(DuplicateKeyError, match="hdl"):
         stages.run_merge(spark, str(tmp_path), str(tmp_path / "out"))
+
+
+def test_command_line(spark, folder, tmp_path, capsys):
+    main(["explore", "--data", folder])
+    main(["explore", "--data", str(tmp_path)])
+    main(["preview", "--data", folder])
+    main(["all", "--data", folder, "--out", str(tmp_path), "--snapshots"])
+    said = capsys.readouterr().out
+    assert "hdl: EXTRA, LBDHDD, SEQN" in said and "hdl: no file" in said and "HDL_J.csv\n" in said
+    assert f"merged: {N} rows, 34 columns" in said and "preprocessed: " in said
+    assert (tmp_path / "profile" / "SUMMARY.md").exists() and len(list((tmp_path / "snapshots").iterdir())) == 5
+    with pytest.raises(SystemExit):
+        main(["other"])
