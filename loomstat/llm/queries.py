@@ -21,6 +21,7 @@ MODULES = {
     "op8_token_counts": "tokens",
     "op9_mixing": "mixing",
     "op10_simhash": "simhash",
+    "op11_sentencepiece": "backtracking",
 }
 
 
