@@ -22,6 +22,7 @@ MODULES = {
     "op9_mixing": "mixing",
     "op10_simhash": "simhash",
     "op11_sentencepiece": "backtracking",
+    "op12_merkle": "merkle",
 }
 
 
