@@ -23,6 +23,7 @@ MODULES = {
     "op10_simhash": "simhash",
     "op11_sentencepiece": "backtracking",
     "op12_merkle": "merkle",
+    "op13_hard_negatives": "covertree",
 }
 
 

@@ -152,19 +152,19 @@ def _search_chunk(candidates: pd.DataFrame, queries: pd.DataFrame, k: int, block
     return pd.DataFrame({"query": np.repeat(queries["query"].to_numpy(), k)[real], "query_id": np.repeat(queries["query_id"].to_numpy(), k)[real], "vec_id": ids.ravel()[real], "score": np.array(flat, np.int64)})
 
 
-def dealt(vectors: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """``vectors`` (vec_id, value) with chunk: ranges of ``chunk`` rows in an order that keeps alike ones together. Checkpointed."""
+def dealt(vectors: DataFrame, chunk: int = CHUNK, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``vectors`` (vec_id, value, keys) with chunk: ranges of ``chunk`` rows in an order by ``keys`` that keeps alike ones together. Checkpointed."""
     n = vectors.count()
     if n <= chunk:
-        return checkpointed(vectors.withColumn("chunk", F.lit(0).cast("long")))
+        return checkpointed(vectors.select(*keys, "vec_id", "value", F.lit(0).cast("long").alias("chunk")))
     terms = vectors.select(F.posexplode("value").alias("at", "x")).groupBy("at").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("spread"))
     signs = min(SIGNS, (n // chunk * FINER).bit_length())
     picked = terms.orderBy(F.desc("spread"), "at").limit(signs).collect()  # one row for each of a bounded number of components
     bit = lambda r, k: F.when(F.coalesce(F.get("value", F.lit(r["at"])), F.lit(0)) > r["mean"], F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
     cell = sum((bit(r, signs - 1 - k) for k, r in enumerate(picked)), F.lit(0).cast("long"))
     placed = vectors.withColumns({"cell": cell, "hash": F.xxhash64("vec_id", "value")})
-    ranked = globally_ranked(placed, ["cell", "hash", "vec_id"], "rank")
-    return ranked.select("vec_id", "value", F.floor(F.col("rank") / chunk).cast("long").alias("chunk"))
+    ranked = globally_ranked(placed, [*keys, "cell", "hash", "vec_id"], "rank")
+    return ranked.select(*keys, "vec_id", "value", F.floor(F.col("rank") / chunk).cast("long").alias("chunk"))
 
 
 def chunk_bounds(vectors: DataFrame) -> DataFrame:
