@@ -2,84 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from itertools import combinations
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .comoments import pairwise
 from .longform import position
 
-#: Columns up to which all pairs fit one generated aggregate; beyond, each task adds up matrices.
-WIDE = 8
-
-
 def pearson(df: DataFrame, columns: Iterable[str], min_pairs: int = 30) -> DataFrame:
     """variable_1, variable_2, n_pairs and r of each pair, the first before the second in ``columns``.
 
-    r is null below ``min_pairs`` complete pairs, or where one side is constant among them. One
-    pass over the data, no shuffle but of the sums: rows are never paired with each other.
+    r is null below ``min_pairs`` complete pairs, where one side is constant among them, or where one is
+    infinite; NaN is missing. One pass over the data, whatever the number of columns; only blocks of
+    co-moments are shuffled: rows are never paired with each other.
     """
     columns = list(columns)
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "variable_1 string, variable_2 string, n_pairs long, r double")
-    sums = _wide(df, columns) if len(columns) <= WIDE else _blocked(df, columns)
-    r = F.try_divide("sxy", F.sqrt("sxx") * F.sqrt("syy"))
-    bounded = F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))
-    return sums.select("variable_1", "variable_2", "n_pairs", F.when((F.col("n_pairs") >= min_pairs) & r.isNotNull(), bounded).alias("r"))
-
-
-def _wide(df: DataFrame, columns: list[str]) -> DataFrame:
-    plain = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
-    parts = []
-    for a, b in combinations(columns, 2):
-        own = lambda x, other: F.when(F.col(other).isNotNull(), F.col(x))
-        parts.append(
-            F.struct(
-                F.lit(a).alias("variable_1"),
-                F.lit(b).alias("variable_2"),
-                F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias("n_pairs"),
-                F.covar_pop(a, b).alias("sxy"),
-                F.var_pop(own(a, b)).alias("sxx"),
-                F.var_pop(own(b, a)).alias("syy"),
-            )
-        )
-    return plain.agg(F.array(*parts).alias("parts")).select(F.inline("parts"))
-
-
-def _blocked(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Products of each batch's matrix with its mask, around the columns' means, added up by task and then by Spark."""
-    import numpy as np
-    import pyarrow as pa
-
-    p = len(columns)
-    plain = df.select(*(F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)))
-    first = plain.agg(*(F.avg(f"c{k}").alias(f"c{k}") for k in range(p))).first()
-    centre = [first[k] or 0.0 for k in range(p)]
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((4, p, p))
-        for batch in batches:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - np.array(centre)
-            there = ~np.isnan(x)
-            x = np.where(there, x, 0.0)
-            mask = there.astype(float)
-            total += np.stack([mask.T @ mask, x.T @ mask, (x * x).T @ mask, x.T @ x])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(4 * p * p)), pa.array(total.ravel())], ["at", "value"])
-
-    cells = plain.mapInArrow(added, "at long, value double").groupBy("at").agg(F.sum("value").alias("value"))
-    kind, i, j = F.floor(F.col("at") / (p * p)), F.floor(F.col("at") % (p * p) / p), F.col("at") % p
-    named = cells.select(kind.alias("kind"), F.least(i, j).alias("i"), F.greatest(i, j).alias("j"), (i <= j).alias("upper"), "value").filter("i < j")
-    of = lambda k, upper: F.sum(F.when((F.col("kind") == k) & (F.col("upper") == upper), F.col("value")))
-    pairs = named.groupBy("i", "j").agg(of(0, True).alias("n"), of(1, True).alias("sx"), of(1, False).alias("sy"), of(2, True).alias("xx"), of(2, False).alias("yy"), of(3, True).alias("xy"))
-    n = F.col("n")
-    spread = lambda raw, a, b: F.try_divide(F.col(raw), n) - F.try_divide(F.col(a), n) * F.try_divide(F.col(b), n)
-    # a constant side leaves rounding errors of its variance alone
-    real = lambda raw, s: F.when(spread(raw, s, s) > 1e-12 * F.try_divide(F.col(raw), n), spread(raw, s, s)).otherwise(0.0)
-    names = F.array(*map(F.lit, columns))
-    at = lambda k: F.element_at(names, (F.col(k) + 1).cast("int"))
-    return pairs.select(at("i").alias("variable_1"), at("j").alias("variable_2"), n.cast("long").alias("n_pairs"), spread("xy", "sx", "sy").alias("sxy"), real("xx", "sx").alias("sxx"), real("yy", "sy").alias("syy"))
+    names = F.lit(columns)
+    at = lambda k: F.element_at(names, F.col(k) + 1)
+    return pairwise(df, columns, min_pairs).select(at("i").alias("variable_1"), at("j").alias("variable_2"), "n_pairs", "r")
 
 
 def matrix(pairs: DataFrame, columns: Iterable[str]) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.columns import nan_to_null
+from ..functions.moments import exact_quantiles
 from .longform import to_long
 
 
@@ -38,3 +40,31 @@ def group_diff_pct(means: DataFrame, a: str, b: str, places: int = 3) -> DataFra
     """(a - b) / b in percent, of means rounded first."""
     rounded = means.withColumns({a: F.bround(a, places), b: F.bround(b, places)})
     return rounded.withColumn("diff_pct", C.relative_diff_pct(F.col(a), F.col(b)))
+
+
+def label_sets(df: DataFrame, features: Iterable[str], labels: Iterable[str], quartiles: bool = True) -> DataFrame:
+    """What each feature is over all rows and by each of several labels: grouping sets, one scan and one shuffle.
+
+    label_set (``all`` or the label's column), label, variable, n_rows, n_valid, mean, std, min and max, and with ``quartiles``
+    q1, median and q3 (exact: a task holds the distinct values of a feature in a group). Rows without a label are a group of their own,
+    whose label is null; that of ``all`` is null too, and label_set tells them apart.
+    """
+    features, labels = list(features), list(labels)
+    plain = df.select(*labels, *(nan_to_null(F.col(c).cast("double")).alias(f"value{k}") for k, c in enumerate(features)))
+
+    def measured(k: int, name: str) -> Column:
+        value = F.col(f"value{k}")
+        parts = [F.lit(name).alias("variable"), F.count(value).alias("n_valid"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")]
+        if quartiles:
+            q = exact_quantiles(f"value{k}")
+            parts += [F.get(q, F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))]
+        return F.struct(*parts)
+
+    sets = [[], *([F.col(c)] for c in labels)]
+    made = plain.groupingSets(sets, *labels).agg(F.grouping_id().alias("set"), F.count("*").alias("n_rows"), F.array(*(measured(k, c) for k, c in enumerate(features))).alias("parts"))
+    # a label's bit is 0 in its own set, the first label's bit the highest
+    own = lambda k: F.col("set") == (1 << len(labels)) - 1 - (1 << (len(labels) - 1 - k))
+    name, label = F.lit("all"), F.lit(None).cast("string")
+    for k, c in enumerate(labels):
+        name, label = F.when(own(k), F.lit(c)).otherwise(name), F.when(own(k), F.col(c).cast("string")).otherwise(label)
+    return made.select(name.alias("label_set"), label.alias("label"), "n_rows", F.inline("parts"))

@@ -7,11 +7,13 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import nan_to_null
+
 
 def to_long(df: DataFrame, columns: Iterable[str], keep: Iterable[str] = ()) -> DataFrame:
-    """(keep..., variable, value): one row a cell, values as double, nulls kept."""
+    """(keep..., variable, value): one row a cell, values as double, nulls kept; NaN becomes null."""
     columns, keep = list(columns), list(keep)
-    plain = df.select(*keep, *(F.col(c).cast("double").alias(c) for c in columns))
+    plain = df.select(*keep, *(nan_to_null(F.col(c).cast("double")).alias(c) for c in columns))
     return plain.unpivot([F.col(k) for k in keep], columns, "variable", "value")
 
 

@@ -5,20 +5,16 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import moments as M
 from .longform import estimated_bytes
+from .selection import radix_quantiles
 
 #: Input bytes (as the optimizer estimates) up to which quantiles come from one map of values for each group.
 IN_MEMORY = 128 << 20
-#: Accuracy of the sketch that brackets a quantile in larger inputs; the rank's error is n / ACCURACY at most.
-ACCURACY = 10_000
-#: Stretches of a bracket that are ranked by themselves.
-STRETCHES = 256
-
 
 def describe(long: DataFrame, by: Iterable[str] = ("variable",)) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles and maximum, nulls ignored."""
@@ -41,49 +37,15 @@ def shape(long: DataFrame, by: Iterable[str] = ("variable",)) -> DataFrame:
 def quantiles(long: DataFrame, probabilities=M.QUARTILES, by: Iterable[str] = ("variable",), in_memory: int = IN_MEMORY) -> DataFrame:
     """Exact, linearly interpolated quantiles: the group columns and ``q``, an array.
 
-    Small inputs take Spark's exact percentile, which holds all distinct values of a group in
-    one map. Larger ones are bracketed by a sketch first; a second pass counts what lies below
-    each bracket and ranks only the values inside, about n / 2500 of them: range-split, so that
-    tasks rank stretches of them, each from where the stretches before it end.
+    Nulls and NaN are left out; between opposite infinities a quantile is null. Small inputs take Spark's
+    exact percentile, which holds all distinct values of a group in one map; larger ones radix selection, with the same results.
     """
     by = list(by)
-    if estimated_bytes(long) <= in_memory:
-        return long.filter(F.col("value").isNotNull()).groupBy(*by).agg(M.exact_quantiles("value", probabilities).alias("q"))
-    return _bracketed(long, list(probabilities), by)
-
-
-def _bracketed(long: DataFrame, probabilities: list[float], by: list[str]) -> DataFrame:
-    slack = 2.0 / ACCURACY
-    ends = [min(1.0, max(0.0, p + s)) for p in probabilities for s in (-slack, slack)]
-    values = long.filter(F.col("value").isNotNull())
-    sketch = values.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("value", F.array(*map(F.lit, ends)), ACCURACY).alias("ends"))
-    wanted = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(p).alias("p"), F.col("ends")[2 * k].alias("low"), F.col("ends")[2 * k + 1].alias("high")) for k, p in enumerate(probabilities)))
-    brackets = sketch.select(*(F.col(c).alias(f"_{c}") for c in by), "n", F.inline(wanted))
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
-    # one row for each group and probability: a size given by the catalogue, not by the rows
-    met = values.join(F.broadcast(brackets), same) if by else values.crossJoin(F.broadcast(brackets))
-    # what lies below a bracket, and what lies above, is one entry each: its value next to the bracket
-    held = F.when(F.col("value") < F.col("low"), float("-inf")).when(F.col("value") > F.col("high"), float("inf")).otherwise(F.col("value"))
-    counted = met.groupBy(*by, "k", "p", "n", "low", "high", held.alias("held")).agg(F.count("*").alias("m"), F.min("value").alias("least"), F.max("value").alias("most"))
-    edge = F.when(F.col("held") == float("-inf"), F.col("most")).otherwise(F.col("least"))
-    # stretches of equal width cut each bracket; the counts of those before are summed first, so that no task ranks a whole bracket
-    cut = F.when(F.col("held") == float("-inf"), -1).when(F.col("held") == float("inf"), STRETCHES).otherwise(
-        F.least(F.coalesce(F.floor(F.try_divide(F.col("held") - F.col("low"), F.col("high") - F.col("low")) * STRETCHES), F.lit(0)), F.lit(STRETCHES - 1))
-    )
-    counted = counted.withColumns({"edge": edge, "cut": cut.cast("int")})
-    stretch = Window.partitionBy(*by, "k").orderBy("cut")
-    before = counted.groupBy(*by, "k", "cut").agg(F.sum("m").alias("own")).withColumn("before", F.sum("own").over(stretch.rowsBetween(Window.unboundedPreceding, 0)) - F.col("own"))
-    told = before.select(*(F.col(c).alias(f"_{c}") for c in (*by, "k", "cut")), "before")
-    # as many rows as there are groups, probabilities and stretches: a size given by the catalogue
-    counted = counted.join(F.broadcast(told), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*by, "k", "cut")])
-    order = Window.partitionBy(*by, "k", "cut").orderBy("held")
-    upto = counted.withColumn("upto", F.col("before") + F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    place = F.col("p") * (F.col("n") - 1)
-    at = lambda rank: F.min_by("edge", F.when(F.col("upto") > rank, F.col("held")))
-    picked = upto.groupBy(*by, "k", "p", "n").agg(at(F.floor(place)).alias("a"), at(F.ceil(place)).alias("b"))
-    value = F.col("a") + (F.col("b") - F.col("a")) * (place - F.floor(place))
-    gathered = picked.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", value.alias("v")))).alias("all"))
-    return gathered.select(*by, F.transform("all", lambda s: s["v"]).alias("q"))
+    if estimated_bytes(long) > in_memory:
+        return radix_quantiles(long, probabilities, by)
+    values = long.select(*by, C.nan_to_null(F.col("value").cast("double")).alias("value")).filter(F.col("value").isNotNull())
+    exact = values.groupBy(*by).agg(M.exact_quantiles("value", probabilities).alias("q")).filter(F.col("q").isNotNull())
+    return exact.withColumn("q", F.transform("q", C.nan_to_null))
 
 
 def _with_quantiles(stats: DataFrame, long: DataFrame, by: list[str]) -> DataFrame:
@@ -117,7 +79,8 @@ def scalars(df: DataFrame, value: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, value: str, bins: int = 40) -> DataFrame:
-    """Equal-width bins from minimum to maximum, the last one closed: bin, low, high, n (empty bins too)."""
+    """Equal-width bins from minimum to maximum, the last one closed: bin, low, high, n (empty bins too); NaN is missing."""
+    df = df.withColumn(value, C.nan_to_null(F.col(value).cast("double")))
     ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     width = F.try_divide(F.col("hi") - F.col("lo"), F.lit(float(bins)))
     at = F.least(F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("lo"), width)), F.lit(0)), F.lit(bins - 1)).cast("int")
@@ -127,16 +90,20 @@ def histogram(df: DataFrame, value: str, bins: int = 40) -> DataFrame:
     return edges.join(counts, "bin", "left").select("bin", "low", "high", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def _boxed(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """The values of each group with its quartiles."""
+    long = df.select(*by, C.nan_to_null(F.col(value).cast("double")).alias("value"))
+    q = quantiles(long, by=by).select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    # one row for each group: joined as the optimizer sees fit, or broadcast alone when ungrouped
+    return long.join(q, by) if by else long.crossJoin(F.broadcast(q))
+
+
 def box_stats(df: DataFrame, value: str, by: Iterable[str] = (), fence: float = 1.5) -> DataFrame:
     """Quartiles, whiskers (the furthest values within the fences) and the number of fliers, by group."""
     by = list(by)
-    long = df.select(*by, F.col(value).cast("double").alias("value"))
-    q = quantiles(long, by=by).select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     low, high = _fence("q1", "q3", -fence), _fence("q1", "q3", fence)
-    # one row for each group: joined as the optimizer sees fit, or broadcast alone when ungrouped
-    met = long.join(q, by) if by else long.crossJoin(F.broadcast(q))
     inside = F.col("value").between(low, high)
-    return met.groupBy(*by, "q1", "median", "q3").agg(
+    return _boxed(df, value, by).groupBy(*by, "q1", "median", "q3").agg(
         F.count("value").alias("n_valid"),
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
@@ -144,6 +111,18 @@ def box_stats(df: DataFrame, value: str, by: Iterable[str] = (), fence: float =
     )
 
 
+def fliers(df: DataFrame, value: str, by: Iterable[str] = (), fence: float = 1.5) -> DataFrame:
+    """The values beyond the fences themselves: the group, value, side and n, in order of group and value.
+
+    Equal values are counted together before they are shuffled; the order is by ranges, so that no task holds a group.
+    """
+    by = list(by)
+    low, high = _fence("q1", "q3", -fence), _fence("q1", "q3", fence)
+    beyond = _boxed(df, value, by).filter((F.col("value") < low) | (F.col("value") > high))
+    side = F.when(F.col("value") < low, "low").otherwise("high").alias("side")
+    return beyond.groupBy(*by, "value", side).agg(F.count("*").alias("n")).orderBy(*by, "value")
+
+
 def _fence(q1: str, q3: str, times: float) -> Column:
     edge = F.col(q1) if times < 0 else F.col(q3)
     return edge + times * (F.col(q3) - F.col(q1))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .catalog import Derived, Thresholds
 from .functions import columns as C
-from .operators import correlate, groups, missing, outliers, panel, profile, quality, rules, transforms
+from .operators import correlate, density, groups, missing, outliers, panel, profile, quality, rules, transforms
 from .operators.longform import to_long
+from .operators.patterns import Patterns
 
 T = Thresholds()
 READINGS = ("r1", "r2", "r3")
@@ -228,6 +229,25 @@ def co_missing_pairs(spark, sf_dir):
     return missing.co_missing(missing.missing_corr(shown, ("quality", "toxic", "n_long")), T.co_missing)
 
 
+_PATTERN = " || ".join(f"(CASE WHEN {c} IS NULL THEN '1' ELSE '0' END)" for c in _PANEL_COLUMNS)
+_MISSED = ", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in _PANEL_COLUMNS)
+
+
+@_query(f"""WITH {PANEL} SELECT {_PATTERN} AS pattern, concat_ws(',', {_MISSED}) AS missing, count(*) n FROM panel GROUP BY 1, 2""")
+def missing_patterns(spark, sf_dir):
+    return Patterns.of(readings_panel(spark, sf_dir), _PANEL_COLUMNS).named()
+
+
+@_query(f"WITH {PANEL}, {_INDICATORS} SELECT variable_1, variable_2, n_pairs, round(r, 6) r FROM ({_PHI}) WHERE r IS NOT NULL AND NOT isnan(r)")
+def missing_corr_of_patterns(spark, sf_dir):
+    return _rounded(Patterns.of(_indicator_panel(spark, sf_dir), (*READINGS, "label")).missing_corr(), 6)
+
+
+@_query(f"""WITH {PANEL}""" + " UNION ALL ".join(f" SELECT '{s}' column_set, CAST({len(cs)} AS BIGINT) n_columns, count(*) FILTER ({' AND '.join(c + ' IS NOT NULL' for c in cs)}) n_complete, count(*) n_rows FROM panel" for s, cs in _SETS.items()))
+def complete_cases_of_patterns(spark, sf_dir):
+    return Patterns.of(readings_panel(spark, sf_dir), _PANEL_COLUMNS).complete_cases(_SETS)
+
+
 # --- distributions -------------------------------------------------------------------------------
 
 
@@ -267,6 +287,20 @@ def skew_class(spark, sf_dir):
     return shown.select("variable", F.round("skewness", 4).alias("skewness"), C.skew_class(F.col("skewness"), T.heavy_skew, T.moderate_skew).alias("skew_class"))
 
 
+@_query("""SELECT l_partkey, round(quantile_cont(l_extendedprice::DOUBLE, 0.05), 4) p05, round(quantile_cont(l_extendedprice::DOUBLE, 0.5), 4) median,
+  round(quantile_cont(l_extendedprice::DOUBLE, 0.95), 4) p95 FROM lineitem GROUP BY l_partkey""")
+def quantiles_of_many_groups(spark, sf_dir):
+    prices = _t(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_extendedprice").cast("double").alias("value"))
+    found = profile.quantiles(prices, (0.05, 0.5, 0.95), ["l_partkey"], in_memory=0)  # by radix selection
+    return _rounded(found.select("l_partkey", *(F.col("q")[k].alias(name) for k, name in enumerate(("p05", "median", "p95")))))
+
+
+@_query(f"""WITH {_LINES} SELECT variable, round(quantile_cont(value, 0.25), 4) q1, round(quantile_cont(value, 0.5), 4) median, round(quantile_cont(value, 0.75), 4) q3 FROM long GROUP BY variable""")
+def quantiles_by_radix(spark, sf_dir):
+    found = profile.quantiles(_lines(spark, sf_dir), in_memory=0)
+    return _rounded(found.select("variable", *(F.col("q")[k].alias(name) for k, name in enumerate(("q1", "median", "q3")))))
+
+
 _FENCES = """fences AS (SELECT quantile_cont(value::DOUBLE, 0.25) q1, quantile_cont(value::DOUBLE, 0.75) q3, quantile_cont(value::DOUBLE, 0.5) median FROM events)"""
 
 
@@ -337,6 +371,47 @@ def box_stats(spark, sf_dir):
     return _rounded(profile.box_stats(_t(spark, sf_dir, "events"), "value", ["event_type"]))
 
 
+@_query("""WITH q AS (SELECT event_type, quantile_cont(value::DOUBLE, 0.25) q1, quantile_cont(value::DOUBLE, 0.75) q3 FROM events GROUP BY 1)
+  SELECT e.event_type, round(value, 4) AS value, CASE WHEN value < q1 THEN 'low' ELSE 'high' END side, count(*) n FROM events e JOIN q ON q.event_type = e.event_type
+  WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1) GROUP BY e.event_type, value, q1""")
+def box_fliers(spark, sf_dir):
+    return _rounded(profile.fliers(_t(spark, sf_dir, "events"), "value", ["event_type"]))
+
+
+_MANY = "long AS (" + " UNION ALL ".join([f"SELECT '{c}' AS variable, {c}::DOUBLE AS value FROM lineitem" for c in LINE_COLUMNS] + ["SELECT 'value', value::DOUBLE FROM events"]) + ")"
+
+
+def _many(spark, sf_dir):
+    return _lines(spark, sf_dir).unionByName(_values(spark, sf_dir))
+
+
+@_query(f"""WITH {_MANY}, ends AS (SELECT variable, count(value) n, min(value) lo, max(value) hi, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) iqr FROM long GROUP BY variable),
+  widths AS (SELECT *, (hi - lo) / (log2(n) + 1) sturges, 2 * iqr / pow(n, 1.0::DOUBLE / 3) fd FROM ends),
+  bins AS (SELECT variable, lo, CAST(least(ceil((hi - lo) / CASE WHEN fd > 0 AND fd < sturges THEN fd ELSE sturges END), 10000) AS INTEGER) bins, hi - lo AS span FROM widths),
+  counts AS (SELECT l.variable, least(floor((value - lo) / (span / bins)), bins - 1)::INT bin, count(*) n FROM long l JOIN bins b ON b.variable = l.variable WHERE value IS NOT NULL GROUP BY 1, 2),
+  every AS (SELECT variable, lo, span / bins w, unnest(range(bins))::INT bin FROM bins)
+  SELECT e.variable, e.bin, round(lo + e.bin * w, 6) low, round(lo + (e.bin + 1) * w, 6) high, coalesce(n, 0) n FROM every e LEFT JOIN counts c ON c.variable = e.variable AND c.bin = e.bin""")
+def histogram_auto_bins(spark, sf_dir):
+    return _rounded(density.auto_histogram(_many(spark, sf_dir)), 6)
+
+
+_GRID = 128  # points of the curve that SQL draws too
+
+
+@_query(f"""WITH {_MANY}, ends AS (SELECT variable, count(value) n, min(value) lo, max(value) hi, stddev_samp(value) / pow(count(value), 0.2) h FROM long WHERE value IS NOT NULL GROUP BY variable),
+  frame AS (SELECT variable, n, h, lo - 4 * h AS lo, (hi - lo + 8 * h) / {_GRID - 1} AS step FROM ends),
+  shared AS (SELECT l.variable, least(floor((value - lo) / step), {_GRID - 2})::INT g, (value - lo) / step AS place FROM long l JOIN frame f ON f.variable = l.variable WHERE value IS NOT NULL),
+  parts AS (SELECT variable, g, sum(1 - (place - g)) w FROM shared GROUP BY 1, 2 UNION ALL SELECT variable, g + 1, sum(place - g) FROM shared GROUP BY 1, 2),
+  weights AS (SELECT variable, g, sum(w) w FROM parts GROUP BY 1, 2)
+  SELECT f.variable, p.point::INT point, round(lo + p.point * step, 4) x, round(h * sum(w * exp(-pow((p.point - g) * step / h, 2) / 2)) / (n * h * sqrt(2 * pi())), 6) scaled_density,
+    round(h, 6) bandwidth, round(pow(step / h, 2) / (8 * sqrt(2 * pi())), 6) scaled_bound
+  FROM frame f JOIN weights w ON w.variable = f.variable CROSS JOIN range({_GRID}) p(point) GROUP BY f.variable, p.point, lo, step, h, n""")
+def density_curve(spark, sf_dir):
+    curve = density.density(_many(spark, sf_dir), grid=_GRID)  # densities in units of the bandwidth, which are alike for all variables
+    h = F.col("bandwidth")
+    return curve.select("variable", "point", F.round("x", 4).alias("x"), F.round(F.col("density") * h, 6).alias("scaled_density"), F.round(h, 6).alias("bandwidth"), F.round(F.col("error_bound") * h, 6).alias("scaled_bound"))
+
+
 # --- correlations --------------------------------------------------------------------------------
 
 _CORR_COLUMNS = (*LINE_COLUMNS, "net_price")
@@ -367,6 +442,25 @@ def pairwise_null_corr(spark, sf_dir):
     return _rounded(correlate.pearson(readings_panel(spark, sf_dir), READINGS, T.min_pairs), 6)
 
 
+_ODD = {
+    "quantity": "CAST(l_quantity AS DOUBLE)",
+    "price": "CASE WHEN l_partkey % 7 = 0 THEN CAST('NaN' AS DOUBLE) WHEN l_partkey % 11 > 0 THEN l_extendedprice END",
+    "tax": "CASE WHEN l_partkey % 501 = 3 THEN CAST('Infinity' AS DOUBLE) WHEN l_partkey % 501 = 5 THEN CAST('-Infinity' AS DOUBLE) ELSE l_tax END",
+    "discount": "CASE WHEN l_partkey % 501 > 5 THEN l_discount WHEN l_partkey % 2 = 0 THEN CAST('NaN' AS DOUBLE) END",
+    "constant": "CASE WHEN l_partkey % 5 = 0 THEN 2.5D END",
+}
+_SQL_ODD = "odd AS (SELECT " + ", ".join(f"CASE WHEN isnan(({sql})) THEN NULL ELSE ({sql}) END AS {c}" for c, sql in ((c, x.replace("2.5D", "2.5::DOUBLE")) for c, x in _ODD.items())) + " FROM lineitem)"
+
+
+@_query(f"WITH {_SQL_ODD} " + " UNION ALL ".join(
+    f"""SELECT '{a}' variable_1, '{b}' variable_2, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) n_pairs,
+  CASE WHEN count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL AND (isinf({a}) OR isinf({b}))) = 0 AND '{b}' <> 'constant' THEN round(corr(CASE WHEN isfinite({a}) THEN {a} END, CASE WHEN isfinite({b}) THEN {b} END), 6) END r FROM odd"""
+    for k, a in enumerate(_ODD) for b in list(_ODD)[k + 1 :]))
+def pearson_nonfinite(spark, sf_dir):
+    odd = _t(spark, sf_dir, "lineitem").select(*(F.expr(sql).alias(c) for c, sql in _ODD.items()))
+    return _rounded(correlate.pearson(odd, _ODD, T.min_pairs), 6)
+
+
 _BLOCK_COLUMNS = (*LINE_COLUMNS, "net_price", "charge", "unit_price", "l_linenumber", "suppkey", "returned")
 _BLOCK = "wide AS (SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_extendedprice * (1 - l_discount) net_price, l_extendedprice * (1 - l_discount) * (1 + l_tax) charge, l_extendedprice / nullif(l_quantity, 0) unit_price, l_linenumber::DOUBLE l_linenumber, CASE WHEN l_suppkey % 3 > 0 THEN l_suppkey::DOUBLE END suppkey, CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE WHEN l_returnflag = 'A' THEN 0.0::DOUBLE END returned FROM lineitem)"
 
@@ -438,6 +532,18 @@ def group_diff_pct(spark, sf_dir):
     return groups.group_diff_pct(means, "A", "R").select("variable", "A", "R", F.round("diff_pct", 4).alias("diff_pct"))
 
 
+_MEASURES = """count({c}) n_valid, round(avg({c}), 4) mean, round(stddev_samp({c}), 4) std, round(min({c}), 4) min, round(max({c}), 4) max,
+  round(quantile_cont({c}::DOUBLE, 0.25), 4) q1, round(quantile_cont({c}::DOUBLE, 0.5), 4) median, round(quantile_cont({c}::DOUBLE, 0.75), 4) q3"""
+
+
+@_query("WITH labelled AS (SELECT *, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS flag, CAST(l_linenumber AS VARCHAR) AS line FROM lineitem) " + " UNION ALL ".join(
+    f"""SELECT CASE GROUPING(flag) * 2 + GROUPING(line) WHEN 3 THEN 'all' WHEN 1 THEN 'flag' ELSE 'line' END label_set, coalesce(flag, line) AS label, count(*) n_rows, '{c}' AS variable, {_MEASURES.format(c=c)}
+  FROM labelled GROUP BY GROUPING SETS ((), (flag), (line))""" for c in LINE_COLUMNS))
+def label_sets(spark, sf_dir):
+    lines = _t(spark, sf_dir, "lineitem").withColumns({"flag": F.expr("CASE WHEN l_returnflag <> 'N' THEN l_returnflag END"), "line": F.col("l_linenumber").cast("string")})
+    return _rounded(groups.label_sets(lines, LINE_COLUMNS, ["flag", "line"]))
+
+
 # --- rules ---------------------------------------------------------------------------------------
 
 

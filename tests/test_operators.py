@@ -98,7 +98,7 @@ def test_sample_gate_and_rounding(spark):
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 1000, 30011])
-def test_bracketed_quantiles_are_exact(spark, n):
+def test_radix_quantiles_are_exact(spark, n):
     values = spark.range(n).select(F.lit("x").alias("variable"), ((F.col("id") * 7919) % 1009 + F.rand(3)).alias("value")).union(spark.createDataFrame([("x", None)], "variable string, value double"))
     values = values.union(spark.range(40).select(F.lit("y"), F.lit(2.5))).cache()
     for by in (["variable"], []):
@@ -138,9 +138,7 @@ def pairs_of(df):
     return {(r["variable_1"], r["variable_2"]): r for r in df.collect()}
 
 
-@pytest.mark.parametrize("wide", [8, 1])
-def test_pearson_is_pairwise_complete(spark, monkeypatch, wide):
-    monkeypatch.setattr(correlate, "WIDE", wide)
+def test_pearson_is_pairwise_complete(spark):
     data = pd.DataFrame({"a": [float((7 * k) % 31) for k in range(60)], "c": [5.0] * 60})
     data["b"] = data["a"] * 2 + [float(k % 5) for k in range(60)]
     data.loc[::2, "b"] = None  # 30 complete pairs
