@@ -25,6 +25,7 @@ class Dataset:
 class Thresholds:
     """Where the profile draws its lines."""
 
+    # Fixed values
     high_missing_pct: float = 40.0  # above: high
     co_missing: float = 0.70  # |r| from here: co-missing
     heavy_skew: float = 2.0  # |skew| above: heavy

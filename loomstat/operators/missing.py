@@ -49,6 +49,16 @@ def missing_matrix(df: DataFrame, columns: Iterable[str], keep: Iterable[str] =
     return df.select(*keep, *(F.col(c).isNull().cast("int").alias(c) for c in columns))
 
 
+def missing_by_stretch(df: DataFrame, key: str, columns: Iterable[str], stretches: int = 200) -> DataFrame:
+    """A26 for drawing: the share of missing cells of each column in ``stretches`` equal ranges of a numeric key: stretch, n_rows and the columns."""
+    columns = list(columns)
+    ends = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    step = (F.col("hi") - F.col("lo")) / stretches
+    at = F.least(F.coalesce(F.floor(F.try_divide(F.col(key) - F.col("lo"), step)), F.lit(0)), F.lit(stretches - 1)).cast("int")
+    shares = (F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns)
+    return df.crossJoin(F.broadcast(ends)).groupBy(at.alias("stretch")).agg(F.count("*").alias("n_rows"), *shares).orderBy("stretch")  # one row to broadcast
+
+
 def missing_corr(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Correlation of missingness of each pair of columns; pairs with a column that never or always misses drop out."""
     return pearson(missing_matrix(df, columns), columns, min_pairs=1).filter(F.col("r").isNotNull())

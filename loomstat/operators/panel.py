@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 MATCHED = "_matched_"
@@ -41,3 +41,27 @@ def match_report(panel: DataFrame, others: dict[str, list[str]]) -> DataFrame:
             )
         )
     return panel.agg(F.array(*parts).alias("parts")).select(F.inline("parts"))
+
+
+def observed_matches(panel: DataFrame, others: dict[str, list[str]]) -> tuple[DataFrame, Observation]:
+    """J03 in passing: ``panel`` without the flags of ``left_join_chain``, and the counts that whatever writes it gathers.
+
+    The joins lie below, so the counts belong to the stage that writes: a task that is tried again counts once.
+    """
+    seen = Observation("matches")
+    counts = [F.count(F.lit(1)).alias("rows")]
+    for name, columns in others.items():
+        counts += [F.count(MATCHED + name).alias(f"matched {name}"), F.count(columns[-1]).alias(f"present {name}")]
+    return panel.observe(seen, *counts).drop(*(MATCHED + name for name in others)), seen
+
+
+def told_matches(counts: dict[str, int], others: dict[str, list[str]]) -> list[tuple[str, int, int, int, int]]:
+    """The rows of ``match_report`` from observed counts."""
+    rows = []
+    for name, columns in others.items():
+        lacking = counts["rows"] - counts[f"matched {name}"]
+        rows.append((name, counts[f"matched {name}"], lacking, lacking * len(columns), counts[f"present {name}"]))
+    return rows
+
+
+MATCH_REPORT = "dataset string, n_matched long, n_unmatched long, n_added_nulls long, n_last_col_present long"

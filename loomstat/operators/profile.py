@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -64,11 +63,23 @@ def distributions(long: DataFrame, heavy: float = 2.0, moderate: float = 1.0, mi
     return classed.select("variable", "n_valid", "mean", "std", "min", "p25", "median", "p75", "max", "skewness", "kurtosis", "skew_class")
 
 
+# Bytes of a value of each type of fixed size
+_WIDTHS = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4, "bigint": 8, "double": 8, "timestamp": 8}
+
+
 def type_frequency(df: DataFrame) -> DataFrame:
-    """The number of columns of each type, and the bytes that the optimizer estimates for the table."""
-    counts = Counter(kind for _, kind in df.dtypes)
-    rows = [(kind, n, estimated_bytes(df)) for kind, n in sorted(counts.items(), key=lambda c: (-c[1], c[0]))]
-    return df.sparkSession.createDataFrame(rows, "type string, n_columns long, table_bytes long")
+    """For each type its columns, the values they hold and their bytes, in one aggregate over the rows; bytes of nested types are not told."""
+    by_type: dict[str, list[str]] = {}
+    for name, kind in df.dtypes:
+        by_type.setdefault(kind, []).append(name)
+    none = F.lit(None).cast("long")
+
+    def held(kind: str, names: list[str]) -> Column:
+        present = sum((F.count(F.col(c)) for c in names), F.lit(0))
+        sizes = sum((F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in names), F.lit(0)) if kind in ("string", "binary") else present * _WIDTHS[kind] if kind in _WIDTHS else none
+        return F.struct(F.lit(kind).alias("type"), F.lit(len(names)).cast("long").alias("n_columns"), present.cast("long").alias("n_values"), sizes.cast("long").alias("n_bytes"))
+
+    return df.agg(F.array(*(held(k, names) for k, names in by_type.items())).alias("parts")).select(F.inline("parts")).orderBy(F.desc("n_columns"), "type")
 
 
 def scalars(df: DataFrame, value: str) -> DataFrame:
@@ -123,6 +134,17 @@ def fliers(df: DataFrame, value: str, by: Iterable[str] = (), fence: float = 1.5
     return beyond.groupBy(*by, "value", side).agg(F.count("*").alias("n")).orderBy(*by, "value")
 
 
+def flier_bins(df: DataFrame, value: str, by: Iterable[str] = (), bins: int = 200, fence: float = 1.5) -> DataFrame:
+    """A25 for drawing: fliers counted in ``bins`` places between the least and the greatest of their group: place (their middle) and n."""
+    by = list(by)
+    beyond = fliers(df, value, by, fence)
+    ends = beyond.groupBy(*by).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    met = beyond.join(ends, by) if by else beyond.crossJoin(F.broadcast(ends))
+    step = (F.col("hi") - F.col("lo")) / bins
+    at = F.least(F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("lo"), step)), F.lit(0)), F.lit(bins - 1))
+    return met.groupBy(*by, (F.col("lo") + (at + 0.5) * step).alias("place")).agg(F.sum("n").alias("n")).orderBy(*by, "place")
+
+
 def _fence(q1: str, q3: str, times: float) -> Column:
     edge = F.col(q1) if times < 0 else F.col(q3)
     return edge + times * (F.col(q3) - F.col(q1))

@@ -45,11 +45,11 @@ def key_report(df: DataFrame, *key: str) -> DataFrame:
 
 
 def check_unique(tables: dict[str, DataFrame], key: str) -> None:
-    """J02 over several tables, in one job: raise if a key repeats or is null, naming the first ten."""
+    """J02 over several tables, in one job: raise if a key repeats or is null, naming the first ten. Tables in buckets of the key are not shuffled."""
     found = None
     for name, df in tables.items():
-        bad = df.groupBy(F.col(key).cast("string").alias("key")).agg(F.count("*").alias("n")).filter("n > 1 or key is null")
-        bad = bad.select(F.lit(name).alias("dataset"), "key", "n")
+        bad = df.groupBy(key).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col(key).isNull())
+        bad = bad.select(F.lit(name).alias("dataset"), F.col(key).cast("string").alias("key"), "n")
         found = bad if found is None else found.unionByName(bad)
     if found is not None and (rows := found.limit(10).collect()):
         raise DuplicateKeyError(f"{key} is not unique: " + ", ".join(f"{r['dataset']} {r['key']} x{r['n']}" for r in rows))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
 @dataclass(frozen=True)
 class Recommendation:
@@ -25,6 +29,23 @@ def recommendations(heavily_skewed: list[str], investigate: list[str], redundant
     ]
 
 
+def applied(shapes: DataFrame, beyond: DataFrame, pairs: DataFrame, known: Iterable[tuple[str, str]], heavy: float = 2.0) -> DataFrame:
+    """F21 as a table (source, decision, n_found, applies): which recommendations count, from the profile's results, without collecting them.
+
+    Heavily skewed variables, variables with values to investigate, and known (raw, derived) pairs of which both hold values together.
+    """
+    related = F.array_sort(F.array("variable_1", "variable_2")).isin([F.array(*map(F.lit, sorted(pair))) for pair in known]) if known else F.lit(False)
+    found = [
+        ("distributions", "007", shapes.agg(F.count_if(F.abs("skewness") > heavy).alias("n_found"))),
+        ("outliers", "007", beyond.agg(F.count_if(F.col("n_requires_inv") > 0).alias("n_found"))),
+        ("correlations", "008", pairs.agg(F.count_if(related & (F.col("n_pairs") > 0)).alias("n_found"))),
+    ]
+    first, *others = (d.select(F.lit(source).alias("source"), F.lit(decision).alias("decision"), "n_found", (F.col("n_found") > 0).alias("applies")) for source, decision, d in found)
+    for other in others:
+        first = first.unionByName(other)
+    return first
+
+
 # The two verdicts of the profile's summary.
 NOT_READY, READY = "Additional preprocessing recommended before clustering.", "Dataset ready for scaling and clustering."
 

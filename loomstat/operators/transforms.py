@@ -5,9 +5,9 @@ Each is a projection or filter on built-in expressions; composed, they collapse
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..catalog import Derived
@@ -54,3 +54,30 @@ def null_changes(before: DataFrame, rule: dict[str, Column]) -> DataFrame:
         for c, new in rule.items()
     ]
     return before.agg(F.array(*parts).alias("parts")).select(F.inline("parts")).withColumn("n_nulled", F.col("n_null_after") - F.col("n_null_before"))
+
+
+def observed(df: DataFrame, steps: list[tuple[str, str, Callable[[DataFrame], DataFrame]]], columns: Iterable[str]) -> tuple[DataFrame, list[Observation]]:
+    """A04 in passing: ``df`` after all steps, and observations of rows and of nulls in ``columns`` (those there are) before the first and after each.
+
+    Nothing is read for them: whatever writes the result gathers them. Steps of one stage count a task that is tried again once.
+    """
+    columns, points = list(columns), []
+    for k in range(len(steps) + 1):
+        if k:
+            df = df.transform(steps[k - 1][2])
+        points.append(Observation(f"point{k}"))
+        df = df.observe(points[-1], F.count(F.lit(1)).alias("rows"), *(F.count_if(F.col(c).isNull()).alias(c) for c in columns if c in df.columns))
+    return df, points
+
+
+CHANGES = "decision string, label string, variable string, n_rows_before long, n_rows_after long, n_null_before long, n_null_after long"
+
+
+def told_changes(steps: list[tuple[str, str, Callable[[DataFrame], DataFrame]]], points: list[Observation], columns: Iterable[str]) -> list[tuple]:
+    """The rows of a report on what each step changed, for each column that it made or whose nulls or rows it changed."""
+    counts, rows = [p.get for p in points], []
+    for (number, label, _), before, after in zip(steps, counts, counts[1:]):
+        for c in columns:
+            if c in after and (c not in before or before[c] != after[c] or before["rows"] != after["rows"]):
+                rows.append((number, label, c, before["rows"], after["rows"], before.get(c), after[c]))
+    return rows

@@ -330,10 +330,11 @@ def enough_values(spark, sf_dir):
     return outliers.fences(first, min_values=T.min_values).select("variable", "n_valid", "q1", "q3")
 
 
-@_query("""SELECT data_type AS type, count(*) n_columns FROM (SELECT CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'DATE' THEN 'date' ELSE lower(data_type) END data_type
-  FROM information_schema.columns WHERE table_name = 'documents') GROUP BY 1""")
+@_query("""SELECT 'string' AS type, CAST(3 AS BIGINT) n_columns, count(text) + count(lang) + count(source) n_values,
+  CAST(sum(coalesce(strlen(text), 0) + coalesce(strlen(lang), 0) + coalesce(strlen(source), 0)) AS BIGINT) n_bytes FROM documents
+  UNION ALL SELECT 'bigint', 2, count(doc_id) + count(n_chars), 8 * (count(doc_id) + count(n_chars)) FROM documents""")
 def type_frequency(spark, sf_dir):
-    return profile.type_frequency(_t(spark, sf_dir, "documents")).select("type", "n_columns")
+    return profile.type_frequency(_t(spark, sf_dir, "documents"))
 
 
 _BEYOND = f"""{_FENCES}, met AS (SELECT value, value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1) mild, value < q1 - 3 * (q3 - q1) OR value > q3 + 3 * (q3 - q1) far,
@@ -493,10 +494,12 @@ def correlation_square(spark, sf_dir):
 _NOTES = {frozenset({"l_extendedprice", "net_price"}): "the net price is computed from the price", frozenset({"l_tax", "l_discount"}): "both are rates"}
 
 
-@_query(f"""WITH {_CORR} SELECT variable_1, variable_2, CASE WHEN least(variable_1, variable_2) = 'l_extendedprice' AND greatest(variable_1, variable_2) = 'net_price' THEN 'the net price is computed from the price'
-  WHEN least(variable_1, variable_2) = 'l_discount' AND greatest(variable_1, variable_2) = 'l_tax' THEN 'both are rates' END note FROM pairs""")
+@_query(f"""WITH {_CORR} SELECT variable_1, variable_2, round_even(r, 4) pearson_r, CASE WHEN abs(r) >= 0.9 THEN 'VERY HIGH' ELSE 'HIGH' END AS "level",
+  CASE WHEN least(variable_1, variable_2) = 'l_extendedprice' AND greatest(variable_1, variable_2) = 'net_price' THEN 'the net price is computed from the price'
+  WHEN least(variable_1, variable_2) = 'l_discount' AND greatest(variable_1, variable_2) = 'l_tax' THEN 'both are rates' END note FROM pairs WHERE abs(r) >= 0.75 AND n_pairs >= 30""")
 def pair_notes(spark, sf_dir):
-    return correlate.noted(_line_pairs(spark, sf_dir), _NOTES).select("variable_1", "variable_2", "note")
+    high = correlate.high_pairs(_line_pairs(spark, sf_dir), T.high_corr, T.very_high_corr)
+    return correlate.noted(high, _NOTES).select("variable_1", "variable_2", "pearson_r", "level", "note")
 
 
 # --- groups --------------------------------------------------------------------------------------
@@ -547,12 +550,12 @@ def label_sets(spark, sf_dir):
 # --- rules ---------------------------------------------------------------------------------------
 
 
-@_query(f"""WITH shapes AS ({_SHAPES}), {_BEYOND} SELECT 'distributions' AS source, '007' AS decision, (SELECT count(*) FROM shapes WHERE abs(s) > 2) > 0 AS applies
-  UNION ALL SELECT 'outliers', '007', (SELECT count(*) FROM met WHERE far AND kind = 'r') > 0 UNION ALL SELECT 'correlations', '008', true""")
+_FOUND = f"""found AS (SELECT 'distributions' AS source, '007' AS decision, (SELECT count(*) FROM shapes WHERE abs(s) > 2) n_found
+  UNION ALL SELECT 'outliers', '007', CAST((SELECT count(*) FROM met WHERE far AND kind = 'r') > 0 AS BIGINT)
+  UNION ALL SELECT 'correlations', '008', (SELECT count(*) FROM pairs WHERE n_pairs > 0 AND variable_1 = 'l_extendedprice' AND variable_2 = 'net_price'))"""
+
+
+@_query(f"""WITH {_CORR}, shapes AS ({_SHAPES}), {_BEYOND}, {_FOUND} SELECT source, decision, n_found, n_found > 0 AS applies FROM found""")
 def recommendations(spark, sf_dir):
-    skewed = [r["variable"] for r in _shapes(spark, sf_dir).filter(F.abs("skewness") > T.heavy_skew).select("variable").collect()]
     beyond = outliers.outlier_counts(_values(spark, sf_dir), VALUE_RANGE, T.mild_fence, T.extreme_fence)
-    bad = [r["variable"] for r in beyond.filter("n_requires_inv > 0").select("variable").collect()]
-    known = correlate.redundant(_CORR_COLUMNS, [("l_extendedprice", "net_price")])
-    found = rules.recommendations(skewed, bad, known)
-    return spark.createDataFrame([(r.source, r.decision, r.applies) for r in found], "source string, decision string, applies boolean")
+    return rules.applied(_shapes(spark, sf_dir), beyond, _line_pairs(spark, sf_dir), [("l_extendedprice", "net_price")], T.heavy_skew)

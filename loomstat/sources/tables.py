@@ -64,8 +64,21 @@ def read_datasets(spark: SparkSession, folder: str, catalog: Catalog, validate:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A stage's Parquet output."""
-    return spark.read.parquet(require_path(spark, path, "stage input"))
+    """A stage's Parquet output, or one from elsewhere: NaN becomes null."""
+    df = spark.read.parquet(require_path(spark, path, "stage input"))
+    return df.withColumns({c: nan_to_null(F.col(c)).cast(kind) for c, kind in df.dtypes if kind in ("double", "float")})
+
+
+def write_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int) -> DataFrame:
+    """A table in ``buckets`` of its key, each sorted: joins and counts by the key with tables in as many buckets shuffle nothing.
+
+    It is shuffled once, here, so that a bucket is one file. The number of buckets goes with the largest of the
+    tables that are to meet: its bytes over those that a task should hold.
+    """
+    spark = df.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)
 
 
 def write_table(df: DataFrame, path: str, csv: str | None = None) -> DataFrame:
