@@ -18,8 +18,6 @@ leave shards empty; an empty table gives no rows; other columns are not carried
 from __future__ import annotations
 
 from dataclasses import dataclass
-from uuid import uuid4
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +26,11 @@ from .common import checkpointed, globally_ranked, table
 SHARDS = 40
 #: Bytes that each document weighs besides its text.
 COST = 16
-#: Bins of a node's open bracket in each pass.
-BINS = 1024
-#: Leaves at most of one tree, whose cuts stand in one SQL expression (a power of two). For more shards, its leaves are trees again.
-MOST_SHARDS = 1024
-#: Shards at most whose first ranks are broadcast.
+#: Bins of a node's open bracket in each pass, fewer where there are many nodes: so many in all.
+BINS, LEAST_BINS, MOST_BINS = 1024, 16, 1 << 20
+#: Leaves at most of a tree whose cuts stand in one SQL expression, and levels of a larger one that are told by tables of cuts.
+MOST_SHARDS, DEPTH = 1024, 5
+#: Shards at most whose first ranks and nodes are broadcast.
 BROADCAST_SHARDS = 1 << 20
 #: Bits of a key below the dimension's value: a hash of the row, of which the last bits spread rows that are equal.
 LOW, TIE = 32, 12
@@ -57,11 +55,11 @@ class Node:
     def leaves(self) -> list[Node]:
         return [self] if self.left is None else self.left.leaves() + self.right.leaves()
 
-    def route(self, number: dict[int, int] | None = None) -> str:
-        """SQL for the leaf that a row lies in: the first of its shards, or what ``number`` has for that."""
+    def route(self) -> str:
+        """SQL for the leaf that a row lies in: the first of its shards."""
         if self.left is None:
-            return str(number[self.first] if number else self.first)
-        return f"CASE WHEN key{self.dimension} < {self.threshold}L THEN {self.left.route(number)} ELSE {self.right.route(number)} END"
+            return f"{self.first}L"
+        return f"CASE WHEN key{self.dimension} < {self.threshold}L THEN {self.left.route()} ELSE {self.right.route()} END"
 
 
 def _hashed_value(col: Column) -> Column:
@@ -74,30 +72,49 @@ def _scaled_log(col: Column) -> Column:
     return (F.log2(F.coalesce(col, F.lit(0)) + 1.0) * (1 << 25)).cast("long")
 
 
-def _medians(points: DataFrame, root: Node, open_nodes: list[Node], dimensions: int) -> None:
-    """Set each open node's threshold, narrowing brackets of all of them together."""
-    seeking, leaves = list(open_nodes), root.leaves()
-    number = {n.first: k for k, n in enumerate(leaves)}
+def _local(points: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """A row for each of some nodes, which are at most as many as shards."""
+    df = points.sparkSession.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= BROADCAST_SHARDS else df
+
+
+def _key(dimensions: int) -> str:
+    return "CASE dimension " + " ".join(f"WHEN {d} THEN key{d}" for d in range(dimensions)) + " END"
+
+
+def located(points: DataFrame, tops: list[Node], dimensions: int) -> DataFrame:
+    """``points`` with ``node``: the leaf that each lies in. Those of several ``tops`` have the one of these that they lie in there."""
+    if len(tops) == 1:
+        return points.withColumn("node", F.expr(tops[0].route()))
+    level = [n for n in tops if n.left is not None]
+    while level:
+        # a node's left half has its number
+        cuts = _local(points, [(n.first, n.dimension, n.threshold, n.right.first) for n in level], "node long, dimension int, threshold long, right long")
+        moved = f"CASE WHEN threshold IS NOT NULL AND {_key(dimensions)} >= threshold THEN right ELSE node END"
+        points = points.join(cuts, "node", "left").withColumn("node", F.expr(moved)).drop("dimension", "threshold", "right")
+        level = [c for n in level for c in (n.left, n.right) if c.left is not None]
+    return points
+
+
+def _medians(placed: DataFrame, seeking: list[Node], dimensions: int) -> None:
+    """Set each node's threshold, narrowing the brackets of all of them together."""
     while seeking:
-        own = {n.first: n for n in seeking}
-        by_node = lambda f, rest: f"element_at(array({', '.join(str(f(own[n.first]) if n.first in own else rest) + 'L' for n in leaves)}), node + 1)"
-        key = f"element_at(array({', '.join(f'key{d}' for d in range(dimensions))}), int({by_node(lambda n: n.dimension + 1, 1)}))"
-        low, step = by_node(lambda n: n.low, 1), by_node(lambda n: (n.high - n.low) // BINS + 1, 1)
-        placed = points.selectExpr("*", f"{root.route(number)} AS node")
-        keyed = placed.selectExpr("node", "size", f"{key} AS key", f"{low} AS low", f"{by_node(lambda n: n.high, 0)} AS high", f"{step} AS step")
-        bins = (
-            keyed.filter("key BETWEEN low AND high")  # a node that is not sought has none
+        bins = min(BINS, max(LEAST_BINS, MOST_BINS // len(seeking)))
+        sought = _local(placed, [(n.first, n.dimension, n.low, n.high, (n.high - n.low) // bins + 1) for n in seeking], "node long, dimension int, low long, high long, step long")
+        keyed = placed.join(sought, "node").select("node", "size", F.expr(_key(dimensions)).alias("key"), "low", "high", "step")
+        counted = (
+            keyed.filter("key BETWEEN low AND high")
             .groupBy("node", F.expr("(key - low) div step").alias("bin"))
             .agg(F.sum("size").alias("size"), F.min("key").alias("low"), F.max("key").alias("high"))
             .collect()
         )
-        by_bin: dict[int, list] = {}
-        for b in sorted(bins, key=lambda b: b["bin"]):
-            by_bin.setdefault(b["node"], []).append(b)
+        by_node: dict[int, list] = {}
+        for b in sorted(counted, key=lambda b: b["bin"]):
+            by_node.setdefault(b["node"], []).append(b)
         left = []
         for n in seeking:
             below = n.below
-            for b in by_bin[number[n.first]]:
+            for b in by_node[n.first]:
                 if below + b["size"] >= n.aim or b["high"] == n.high:
                     break
                 below += b["size"]
@@ -109,51 +126,37 @@ def _medians(points: DataFrame, root: Node, open_nodes: list[Node], dimensions:
         seeking = left
 
 
-def kd_tree(points: DataFrame, root: Node, dimensions: int, spans: list[int], most: int = 1) -> None:
-    """Grow the tree over ``points`` (size, key0, key1, ...) until its leaves have ``most`` shards, of like bytes each.
+def kd_tree(points: DataFrame, shards: int, dimensions: int) -> DataFrame:
+    """``points`` (size, key0, key1, ...) with the shard of each: the tree grows a level at a time until its leaves have one shard, of like bytes each.
 
-    Widths are told in shares of ``spans``, those of all points, which the first tree over them sets.
+    The cuts of a tree of up to MOST_SHARDS leaves stand in one SQL expression; larger ones keep the leaf of each
+    point in a checkpoint, and the cuts below it are small tables. Widths are told in shares of those of all points.
     """
-    while open_nodes := [n for n in root.leaves() if n.shards > most]:
+    tops, depth, spans = [Node(0, shards)], 0, []
+    while open_nodes := [n for top in tops for n in top.leaves() if n.shards > 1]:
+        placed = located(points, tops, dimensions)
         keys = [f(f"key{d}").alias(f"{f.__name__}{d}") for d in range(dimensions) for f in (F.min, F.max)]
-        stats = {r["node"]: r for r in points.groupBy(F.expr(root.route()).alias("node")).agg(F.sum("size").alias("size"), *keys).collect()}
+        stats = {r["node"]: r for r in placed.groupBy("node").agg(F.sum("size").alias("size"), *keys).collect()}
         sought = []
         for n in open_nodes:
             n_left = n.shards // 2
             if (r := stats.get(n.first)) is not None:
                 ends = [(r[f"min{d}"], r[f"max{d}"]) for d in range(dimensions)]
                 widths = [(high >> LOW) - (low >> LOW) for low, high in ends]
-                if not spans:
-                    spans.extend(max(w, 1) for w in widths)
+                spans = spans or [max(w, 1) for w in widths]
                 n.dimension = max(range(dimensions), key=lambda d: widths[d] / spans[d])
                 n.low, n.high = ends[n.dimension]
                 n.below, n.aim = 0, r["size"] * n_left / n.shards
                 sought.append(n)
-        _medians(points, root, sought, dimensions)
+        _medians(placed, sought, dimensions)
         for n in open_nodes:
             n_left = n.shards // 2
             n.left, n.right = Node(n.first, n_left), Node(n.first + n_left, n.shards - n_left)
-
-
-def _routed(points: DataFrame, root: Node, dimensions: int, spans: list[int]) -> DataFrame:
-    """``points`` with the shard of each, one of those of ``root``.
-
-    Beyond MOST_SHARDS each leaf of the first tree has many shards. Its points lie in a folder of their own
-    (below ``spark.checkpoint.dir``), so that the tree over them reads no others. The cuts are those of one large tree.
-    """
-    most = 1 if root.shards <= MOST_SHARDS else max(MOST_SHARDS, -(-root.shards // MOST_SHARDS))
-    kd_tree(points, root, dimensions, spans, most)
-    placed = points.withColumn("shard", F.expr(root.route()).cast("int"))
-    if most == 1:
-        return placed
-    spark = points.sparkSession
-    folder = f"{spark.sparkContext.getCheckpointDir()}/shards-{uuid4().hex}"
-    placed.repartitionByRange("shard", "key0").write.partitionBy("shard").parquet(f"{folder}/points")
-    parts = spark.read.schema(placed.schema).parquet(f"{folder}/points")
-    for leaf in root.leaves():
-        own = parts.filter(F.col("shard") == leaf.first).select(points.columns)
-        _routed(own, Node(leaf.first, leaf.shards), dimensions, spans).write.parquet(f"{folder}/routed/part={leaf.first}")
-    return spark.read.schema(placed.schema).parquet(f"{folder}/routed").select(placed.columns)
+        depth += 1
+        leaves = [leaf for top in tops for leaf in top.leaves()]
+        if depth >= DEPTH and 2 * len(leaves) > MOST_SHARDS:
+            points, tops, depth = checkpointed(located(points, tops, dimensions)), [Node(n.first, n.shards) for n in leaves], 0
+    return located(points, tops, dimensions).withColumn("shard", F.col("node").cast("int")).drop("node")
 
 
 def sharded(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | None = None) -> DataFrame:
@@ -176,7 +179,7 @@ def sharded(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | No
     if shards is None:
         total = points.agg(F.sum("size")).first()[0] or 0
         shards = max(1, -(-total // max(1, target_bytes or 1)))
-    routed = _routed(points, Node(0, shards), 3, [])
+    routed = kd_tree(points, shards, 3)
     placed = routed.select("doc_id", "size", "text_crc32", "shard", (F.col("key2").bitwiseAND((1 << LOW) - 1)).alias("low"))
     ranked = globally_ranked(placed, ["shard", "low", "doc_id"], "rank")
     starts = ranked.groupBy("shard").agg(F.min("rank").alias("start"))  # one row a shard

@@ -1,9 +1,13 @@
 """Operators on awkward documents, against brute force."""
 
 import hashlib
+import os
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 from itertools import groupby
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -201,6 +205,35 @@ def test_shards_are_even_and_gapless(spark, docs):
     assert {(r["doc_id"], zlib.crc32((r["text"] or "").encode())) for r in docs.collect()} == {(None if pd.isna(a) else int(a), b) for a, b in zip(odd["doc_id"], odd["text_crc32"])}
 
 
+def test_large_trees_have_the_cuts_of_small_ones(spark, monkeypatch):
+    rows = [(k, "x" * (k * 7919 % 300), "hot" if k % 3 else f"s{k % 9}", "en") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    placed = lambda: sorted(map(tuple, sharding.sharded(df, 30).select("doc_id", "shard", "slot").collect()))
+    one = placed()
+    monkeypatch.setattr(sharding, "MOST_SHARDS", 4)
+    monkeypatch.setattr(sharding, "DEPTH", 2)
+    monkeypatch.setattr(sharding, "MOST_BINS", 64)
+    assert placed() == one
+
+
+STRICT = """
+import sys
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2")
+    .config("spark.sql.codegen.factoryMode", "CODEGEN_ONLY").config("spark.sql.codegen.fallback", "false").getOrCreate())
+import __spark_entry__
+for name in ("op2_sharding", "op9_mixing", "op12_merkle"):
+    print(name, __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").count())
+"""
+
+
+def test_generated_code_compiles():
+    root = str(Path(__file__).resolve().parents[2])
+    said = subprocess.run([sys.executable, "-c", STRICT], capture_output=True, text=True, timeout=600, cwd=root, env=os.environ)
+    assert "op12_merkle 200" in said.stdout, said.stderr[-2000:]
+    assert "Failed to compile" not in said.stderr
+
+
 def brute_fingerprint(text, shingle):
     from xxhash import xxh64_intdigest
 
