@@ -21,6 +21,8 @@ GAP = r"[\x20\x09-\x0D]+"
 STRIDE, BATCH = 1 << 20, 4 << 20
 _BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
+_CLEANING = "spark.cleaner.referenceTracking.cleanCheckpoints"
+
 _ROW_BITS = 33  # monotonically_increasing_id: partition in the upper bits, row in the lower 33
 
 
@@ -41,7 +43,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if not named and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomstat-checkpoint-"))
-    return df.checkpoint(eager=True)
+    settings = context._jsc.sc().conf()
+    before = settings.get(_CLEANING, "false")
+    settings.set(_CLEANING, "true")  # told as a checkpoint is made: its files go with the last reference to it
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        settings.set(_CLEANING, before)
 
 
 def released(spark: SparkSession) -> None:

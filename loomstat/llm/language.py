@@ -6,7 +6,7 @@ of ``PIECE`` bytes, all of them; the language whose dictionary gives the smalles
 predicted. Where the runner-up comes close, the prediction is marked as rejected.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; null
-languages teach nothing; with no languages learned every text is ``und``; with one, every text
+languages, and those of fewer than LEAST_TEXTS texts, teach nothing; with no languages learned every text is ``und``; with one, every text
 that has letters is that one; equal sizes go to the language with more texts learned from; repeated
 rows are classified each; null or repeated ids neither add to nor take from what is learned; an
 empty table gives no rows; other columns, whatever their names, are not carried by ``classified``
@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_crc, kept, strides, table
+from .common import id_crc, kept, shuffle_partitions, strides, table
 
 UNKNOWN = "und"
 #: Bytes of a language's dictionary.
 DICTIONARY = 96 << 10
 #: Texts at most that a language's dictionary is drawn from, and characters of the passage drawn from each.
 SAMPLE, SNIPPET = 400, 400
+#: Texts that a value of lang must have to be learned as a language, and languages at most.
+LEAST_TEXTS, MOST_LANGUAGES = 5, 256
 #: Bytes of text compressed by itself.
 PIECE = 4 << 10
 LEVEL = 6
@@ -85,33 +87,46 @@ def _joined(texts: list[str], size: int) -> bytes:
     return b" ".join(reversed(found)) if found or not texts else texts[-1].encode()[-size:].decode(errors="ignore").encode()
 
 
-def _agreeing(texts: dict[str, list[str]], size: int) -> dict[str, list[str]]:
-    """The texts whose language the other half's texts confirm: labels are wrong now and then."""
-    halves = [{lang: own[k::2] for lang, own in texts.items()} for k in (0, 1)]
-    judges = [Compressors({lang: _joined(own, size) for lang, own in half.items() if own}) for half in halves]
+def _agreeing(spark: SparkSession, texts: dict[str, list[str]], size: int) -> dict[str, list[str]]:
+    """The texts whose language the other half's texts confirm: labels are wrong now and then. The texts are judged in tasks."""
+    halves = [{lang: _joined(own[k::2], size) for lang, own in texts.items() if own[k::2]} for k in (0, 1)]
+    names = list(texts)
+
+    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            judges = kept(("halves", *(tuple(h.items()) for h in halves)), lambda: [Compressors(h) for h in halves])
+            langs, places, own = (c.to_pylist() for c in batch.columns)
+            kept_ones = [judges[1 - k % 2].classify(t.encode())[0] == names[lang] for lang, k, t in zip(langs, places, own)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept_ones, pa.bool_())], ["lang", "place", "confirmed"])
+
+    rows = [(n, k, t) for n, own in enumerate(texts.values()) for k, t in enumerate(own)]
+    asked = spark.createDataFrame(rows, "lang int, place int, text string").repartition(shuffle_partitions(spark))
+    told = {(r["lang"], r["place"]) for r in asked.mapInArrow(confirmed, "lang int, place int, confirmed boolean").filter("confirmed").collect()}
     found = {}
-    for lang, own in texts.items():
-        kept = [t for k, t in enumerate(own) if judges[1 - k % 2].classify(t.encode())[0] == lang]
-        found[lang] = kept if 2 * len(kept) > len(own) else own
+    for n, (lang, own) in enumerate(texts.items()):
+        agreed = [t for k, t in enumerate(own) if (n, k) in told]
+        found[lang] = agreed if 2 * len(agreed) > len(own) else own
     return found
 
 
-def dictionaries(docs: DataFrame, sample: int = SAMPLE, snippet: int = SNIPPET, size: int = DICTIONARY) -> dict[str, bytes]:
+def dictionaries(docs: DataFrame, sample: int = SAMPLE, snippet: int = SNIPPET, size: int = DICTIONARY, least: int = LEAST_TEXTS, most: int = MOST_LANGUAGES) -> dict[str, bytes]:
     """Dictionaries from ``docs`` (doc_id, text, lang), by language, most texts first.
 
     Two passes: one counts each language's texts, by map-side-combined sums; one draws ``sample``
     of each by a hash of doc_id and text, whatever ids are null or come again. Only a passage of
     ``snippet`` characters of the letters of each of these, from a hashed position in the whole
-    text, goes to the driver: a bounded sample to fit on, not a limit on what is classified.
+    text, goes to the driver: a bounded sample to fit on, not a limit on what is classified. Values of lang
+    with fewer than ``least`` texts are no languages, and of more than ``most`` those with the most texts are learned.
     """
     known = docs.filter(F.col("lang").isNotNull() & (F.octet_length("text") > 0))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    common = known.groupBy("lang").count().filter(F.col("count") >= least).orderBy(F.desc("count"), "lang").limit(most)
+    counts = {r["lang"]: r["count"] for r in common.collect()}
     if not counts:
         return {}
-    texts: dict[str, list[str]] = {lang: [] for lang in sorted(counts, key=lambda c: (-counts[c], c))}
+    texts: dict[str, list[str]] = {lang: [] for lang in counts}
     for r in sorted(drawn(known, counts, sample, snippet).collect(), key=lambda r: (r["place"], r["text"])):
         texts[r["lang"]].append(r["text"])
-    return {lang: _joined(own, size) for lang, own in _agreeing(texts, size).items() if own}
+    return {lang: _joined(own, size) for lang, own in _agreeing(docs.sparkSession, texts, size).items() if own}
 
 
 def drawn(known: DataFrame, counts: dict[str, int], sample: int = SAMPLE, snippet: int = SNIPPET) -> DataFrame:

@@ -335,3 +335,39 @@ def test_dictionaries_are_drawn_from_the_letters_of_whole_texts(spark):
     rows += [(100 + k, "opening " * 50 + "closing " * 200, "fr") for k in range(20)]
     learned = language.dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert set(learned) == {"en", "de", "fr"} and b"closing" in learned["fr"]
+
+
+def test_many_languages_and_dirty_labels_stay_bounded(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    words = {f"l{k:03}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)] for k in range(200)}
+    rows = [(k * 100 + i, " ".join(rng.choice(own, 40)), lang) for k, (lang, own) in enumerate(words.items()) for i in range(5)]
+    rows += [(10**6 + k, "some words", f"dirty {k}") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = language.dictionaries(df)
+    assert set(learned) == set(words)
+    found = language.classified(df.filter("doc_id < 1000"), learned).join(df.select("doc_id", "lang"), "doc_id")
+    assert found.filter("lang_pred = lang").count() == found.count() == 50
+    assert len(language.dictionaries(df, most=7)) == 7
+
+
+def test_checkpoints_go_with_their_last_reference(spark):
+    import gc
+    import time
+
+    from loomstat.llm.common import checkpointed, released
+
+    made = checkpointed(spark.range(100))
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = {p.name for p in folder.glob("rdd-*")}
+    again = checkpointed(made.withColumn("x", F.col("id") * 2))
+    new = {p.name for p in folder.glob("rdd-*")} - before
+    assert len(new) == 1 and again.count() == 100
+    del again
+    for _ in range(30):
+        gc.collect()
+        released(spark)
+        time.sleep(0.2)
+        if not new & {p.name for p in folder.glob("rdd-*")}:
+            break
+    assert not new & {p.name for p in folder.glob("rdd-*")}
+    assert made.count() == 100
