@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomstat.llm import language, mixing, nearcopies, packing, pii
-from loomstat.llm.common import checkpointed, prepared
+from loomstat.llm.common import checkpointed, prepared, released
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,4 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     *before, (_, last) = STAGES
     for _, stage in before:  # stages read their input more than once: each is kept for the next
         docs = checkpointed(stage(spark, docs, sf_dir))
+        released(spark)  # what the stage before kept goes
     return last(spark, docs, sf_dir)
