@@ -52,9 +52,7 @@ def test_tree_is_that_of_exact_medians(spark, shards):
     random.seed(shards)
     rows = [(k, random.randint(1, 500), tuple(random.randrange(40) << sharding.LOW | random.getrandbits(31) for _ in range(3))) for k in range(400)]
     points = spark.createDataFrame([(k, s, *keys) for k, s, keys in rows], "id long, size long, key0 long, key1 long, key2 long").cache()
-    tree = sharding.Node(0, shards)
-    sharding.kd_tree(points, tree, 3, [])
-    found = {r["id"]: r["shard"] for r in points.selectExpr("id", f"int({tree.route()}) AS shard").collect()}
+    found = {r["id"]: r["shard"] for r in sharding.kd_tree(points, shards, 3).select("id", "shard").collect()}
     assert found == plain_tree(rows, 0, shards, None)
 
 
