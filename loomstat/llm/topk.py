@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, globally_ranked, table
+from .common import checkpointed, globally_ranked, shuffle_partitions, table
 
 K = 5
 SCALE = 256
@@ -140,16 +140,48 @@ def _kind(width: int, *matrices: np.ndarray) -> type:
     return np.float64 if width * math.prod(most) < EXACT else object
 
 
-def _search_chunk(candidates: pd.DataFrame, queries: pd.DataFrame, k: int, block: int) -> pd.DataFrame:
-    width = max(max(map(len, candidates["value"])), max(map(len, queries["weights"])), 1)
-    values, wanted = _matrix(candidates["value"], width), _matrix(queries["weights"], width)
-    kind = _kind(width, values, wanted)
-    blocks = Blocks(candidates["vec_id"].to_numpy(np.int64), values.astype(kind), block)
-    floors = np.nextafter(queries["floor"].astype("float64").fillna(-np.inf).to_numpy(), -np.inf)  # never above the exact score
-    scores, ids = blocks.search(queries["query_id"].to_numpy(np.int64), wanted.astype(kind), k, floors)
-    real = np.flatnonzero((scores != -np.inf).ravel())
-    flat = [min(max(int(s), _LEAST), _MOST) for s in scores.ravel()[real]]
-    return pd.DataFrame({"query": np.repeat(queries["query"].to_numpy(), k)[real], "query_id": np.repeat(queries["query_id"].to_numpy(), k)[real], "vec_id": ids.ravel()[real], "score": np.array(flat, np.int64)})
+class Chunk:
+    """A task's current chunk: candidates come first, then queries, which are answered in its blocks."""
+
+    def __init__(self):
+        self.ids: list[np.ndarray] = []
+        self.rows: list[np.ndarray] = []
+        self.made: tuple | None = None
+
+    def add(self, part: pa.RecordBatch) -> None:
+        rows = part.column("value").to_pylist()
+        self.ids.append(part.column("vec_id").to_numpy())
+        self.rows.append(_matrix(rows, max(map(len, rows), default=0)))
+
+    def search(self, asked: pa.RecordBatch, k: int, block: int) -> pa.RecordBatch:
+        """query, query_id, vec_id and score: the k best of the chunk for each of the queries."""
+        rows, names = asked.column("value").to_pylist(), asked.column("query").to_numpy()
+        query_ids = asked.column("vec_id").to_numpy()
+        found = [np.zeros(0, np.int64)] * 4
+        if self.ids:
+            width = max([1, *map(len, rows), *(m.shape[1] for m in self.rows)])
+            wanted = _matrix(rows, width)
+            whole = np.concatenate([np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in self.rows]) if self.made is None or self.made[0] != width else self.made[1]
+            kind = _kind(width, whole, wanted)
+            if self.made is None or self.made[0] != width or self.made[2] != kind:
+                self.made = (width, whole, kind, Blocks(np.concatenate(self.ids), whole.astype(kind), block))
+            floors = asked.column("floor").to_numpy(zero_copy_only=False).astype(np.float64)
+            floors = np.nextafter(np.where(np.isnan(floors), -np.inf, floors), -np.inf)  # never above the exact score
+            scores, ids = self.made[3].search(query_ids, wanted.astype(kind), k, floors)
+            real = np.flatnonzero((scores != -np.inf).ravel())
+            flat = [min(max(int(s), _LEAST), _MOST) for s in scores.ravel()[real]]
+            found = [np.repeat(names, k)[real], np.repeat(query_ids, k)[real], ids.ravel()[real], np.array(flat, np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["query", "query_id", "vec_id", "score"])
+
+
+def chunk_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """chunk, kind and rows of each stretch of rows sorted by chunk and kind."""
+    for batch in batches:
+        place = batch.column("chunk").to_numpy() * 2 + batch.column("kind").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(place)]
+        for start, end in zip(cuts, cuts[1:]):
+            if start < end:
+                yield int(place[start]) // 2, int(place[start]) % 2, batch.slice(start, end - start)
 
 
 def dealt(vectors: DataFrame, chunk: int = CHUNK, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -218,19 +250,28 @@ def _reached(queries: DataFrame, bounds: pd.DataFrame, best_only: bool) -> DataF
     return queries.select("query", "query_id", "weights", "floor", "seed").mapInArrow(sent, schema)
 
 
-def _searched(vectors: DataFrame, wanted: DataFrame, groups: int, k: int, block: int) -> DataFrame:
-    """query, query_id, vec_id and score: the k best in each chunk that ``wanted`` names for a query."""
+def _searched(vectors: DataFrame, wanted: DataFrame, k: int, block: int, group: int) -> DataFrame:
+    """query, query_id, vec_id and score: the k best in each chunk that ``wanted`` names for a query.
 
-    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"query": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
-        return _search_chunk(a, b, k, block)
+    Each chunk is sent to one task, once, and all its queries stream past it in groups.
+    """
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, current = None, Chunk()
+        for chunk, kind, part in chunk_parts(batches):
+            if chunk != name:
+                name, current = chunk, Chunk()
+            if kind == 0:
+                current.add(part)
+            else:
+                for first in range(0, part.num_rows, group):
+                    yield current.search(part.slice(first, group), k, block)
 
-    # other names, so that no column is one of the candidates' where both come from one table
-    asked = wanted.select("query", "query_id", "weights", "floor", F.col("chunk").alias("query_chunk"), F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int").alias("query_group"))
-    met = asked.select(F.col("query_chunk").alias("chunk"), F.col("query_group").alias("group")).distinct()
-    candidates = vectors.join(met, "chunk").select("vec_id", "value", "chunk", "group")
-    return candidates.groupBy("chunk", "group").cogroup(asked.groupBy("query_chunk", "query_group")).applyInPandas(search, "query long, query_id long, vec_id long, score long")
+    none = F.lit(None)
+    candidates = vectors.select("chunk", F.lit(0).alias("kind"), none.cast("long").alias("query"), "vec_id", "value", none.cast("double").alias("floor"))
+    asked = wanted.select("chunk", F.lit(1).alias("kind"), "query", F.col("query_id").alias("vec_id"), F.col("weights").alias("value"), "floor")
+    both = candidates.unionByName(asked).repartition(shuffle_partitions(vectors.sparkSession), "chunk")
+    return both.sortWithinPartitions("chunk", "kind").mapInArrow(stream, "query long, query_id long, vec_id long, score long")
 
 
 def top_k(
@@ -243,23 +284,23 @@ def top_k(
     vectors = dealt(vectors.select("vec_id", "value").dropna(), chunk)
     queries = queries.select(F.col("vec_id").alias("query_id"), F.col("value").alias("weights")).dropna().distinct()
     queries = checkpointed(queries.select(F.monotonically_increasing_id().alias("query"), "query_id", "weights", F.lit(None).cast("double").alias("floor"), F.lit(None).cast("long").alias("seed")))
-    n_queries, terms = queries.count(), vectors.agg(F.max(F.size("value"))).first()[0]
-    if not n_queries or terms is None:
+    terms = vectors.agg(F.max(F.size("value"))).first()[0]
+    if terms is None or queries.isEmpty():
         return vectors.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.col("vec_id").alias("score"))
-    groups, chunks = math.ceil(n_queries / group), vectors.agg(F.max("chunk")).first()[0] + 1
+    chunks = vectors.agg(F.max("chunk")).first()[0] + 1
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     if chunks == 1:
-        found = _searched(vectors, queries.withColumn("chunk", F.lit(0).cast("long")), groups, k, block)
+        found = _searched(vectors, queries.withColumn("chunk", F.lit(0).cast("long")), k, block, group)
     elif chunks * terms * 16 > MOST_BOUNDS:
-        found = _searched(vectors, queries.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1)))), groups, k, block)
+        found = _searched(vectors, queries.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1)))), k, block, group)
     else:
         bounds = chunk_bounds(vectors).toPandas()  # at most MOST_BOUNDS
         seeded = checkpointed(_reached(queries, bounds, best_only=True))
-        first = checkpointed(_searched(vectors, seeded, groups, k, block))
+        first = checkpointed(_searched(vectors, seeded, k, block, group))
         floors = first.groupBy("query").agg(F.min("score").cast("double").alias("least"), F.count("*").alias("n"))
         told = seeded.drop("floor", "seed").withColumnRenamed("chunk", "seed").join(floors, "query", "left")
         told = told.withColumn("floor", F.when(F.col("n") == k, F.col("least")).otherwise(float("-inf")))
-        found = first.unionByName(_searched(vectors, _reached(told, bounds, best_only=False), groups, k, block))
+        found = first.unionByName(_searched(vectors, _reached(told, bounds, best_only=False), k, block, group))
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
