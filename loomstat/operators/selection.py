@@ -55,7 +55,8 @@ def radix_quantiles(long: DataFrame, probabilities: Iterable[float], by: Iterabl
     probabilities, by = list(probabilities), list(by)
     # one key for the group, which is never null, though its parts may be: joins and counts on it share their partitioning
     group = F.struct(*(F.col(c).alias(f"by{k}") for k, c in enumerate(by))) if by else F.struct(F.lit(0).alias("by0"))
-    values = with_bits(long.select(group.alias("grp"), F.col("value").cast("double").alias("value")), "value", "bits").filter("bits is not null")
+    plain = long.select(group.alias("grp"), F.col("value").cast("double").alias("value")).filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    values = with_bits(plain, "value", "bits")
     counts = [values.groupBy("grp", F.coalesce("bits", F.lit(0)).alias("key")).agg(F.count("*").alias("cnt"))]
     for _ in range(LEVELS - 1):  # from all bits to the top ones
         counts.append(counts[-1].groupBy("grp", F.shiftright("key", DIGIT).alias("key")).agg(F.sum("cnt").alias("cnt")))
