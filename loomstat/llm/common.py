@@ -140,6 +140,14 @@ def prepared(spark: SparkSession) -> SparkSession:
 
 
 _kept: dict = {}
+#: Hands freed memory of the C library back to the system, where it can.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda keep: None)
+
+
+def given_back() -> None:
+    """Give the memory that a Python worker has freed back to the system: the allocators would keep it for the next batch."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
 
 
 def kept(key, make):
@@ -150,9 +158,7 @@ def kept(key, make):
     if key not in _kept:
         _kept.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        if hasattr(ctypes.CDLL(None), "malloc_trim"):  # the C library's own free lists
-            ctypes.CDLL(None).malloc_trim(0)
+        given_back()
         _kept[key] = make()
     return _kept[key]
 
@@ -167,3 +173,4 @@ def strides(column: pa.Array, most: int = STRIDE) -> Iterator[tuple[int, list]]:
             start, total = k + 1, 0
     if start < len(column):
         yield start, column.slice(start).to_pylist()
+    given_back()
