@@ -166,6 +166,8 @@ def test_queries_run_whole(spark, name):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     if name == "op3_topk_search":
         assert found.count() == 50
+    elif name == "op13_hard_negatives":
+        assert found.count() == 150  # 10 anchors, 5 positives, 3 negatives
     elif name == "op1_packing":
         assert found.select("doc_id").distinct().count() == n
     else:
