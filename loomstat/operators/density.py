@@ -8,6 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .longform import with_rows
 from .profile import quantiles
 
 #: Bins of an automatic histogram at most: beyond, they are as wide as this number of them needs.
@@ -24,7 +25,7 @@ def _ends(long: DataFrame, by: list[str]) -> DataFrame:
 
 def _with(long: DataFrame, frame: DataFrame, by: list[str]) -> DataFrame:
     """The finite values with their group's row of ``frame``."""
-    return long.filter(F.col("value").isNotNull() & (F.abs("value") < float("inf"))).join(frame, by)
+    return with_rows(long.filter(F.col("value").isNotNull() & (F.abs("value") < float("inf"))), frame, by)
 
 
 def auto_bins(long: DataFrame, by: Iterable[str] = ("variable",), most: int = MOST_BINS) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loomstat.functions.ordering import from_bits, with_bits
 from loomstat.operators import correlate, density, groups, missing, profile
 from loomstat.operators.comoments import Block
-from loomstat.operators.longform import to_long
+from loomstat.operators.longform import to_long, with_rows
 from loomstat.operators.patterns import Patterns
 
 NAN, INF = float("nan"), float("inf")
@@ -182,6 +182,32 @@ def test_automatic_bins(spark):
     assert counts[counts["variable"] == "constant"]["n"].tolist() == [4]
 
 
+@pytest.fixture
+def no_automatic_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def spread(df, by: str) -> dict:
+    """In how many tasks each group's rows are."""
+    return {r[0]: r[1] for r in df.groupBy(by, F.spark_partition_id().alias("task")).count().groupBy(by).count().collect()}
+
+
+def test_values_of_an_automatic_histogram_stay_in_their_tasks(spark, no_automatic_broadcast):
+    long = long_of(spark, a=range(300), b=range(30))
+    met = density._with(long, density.auto_bins(long), ["variable"])
+    assert spread(met, "variable") == {"a": 3, "b": 3} and met.count() == 330
+
+
+def test_only_values_of_light_groups_are_shuffled_by_other_columns(spark, no_automatic_broadcast):
+    df = spark.createDataFrame([(g, float(x)) for g, n in (("heavy", 300), ("light", 30), (None, 40)) for x in range(n)], "g string, value double").repartition(3)
+    frame = df.groupBy("g").agg(F.count("*").alias("n"), F.max("value").alias("hi"))
+    met = with_rows(df, frame, ["g"], heavy=100)
+    assert spread(met, "g") == {"heavy": 3, "light": 1}
+    assert sorted(met.select("g", "value", "n", "hi").collect()) == sorted(df.join(frame, "g").select("g", "value", "n", "hi").collect())
+
+
 def test_fliers_are_those_that_boxes_count(spark):
     rng = np.random.default_rng(7)
     rows = [(g, float(x)) for g in ("a", "b", None) for x in np.round(rng.standard_cauchy(300), 1)] + [("a", NAN), ("a", None), ("c", 1.0)]
