@@ -200,6 +200,12 @@ def test_values_of_an_automatic_histogram_stay_in_their_tasks(spark, no_automati
     assert spread(met, "variable") == {"a": 3, "b": 3} and met.count() == 330
 
 
+def test_density_curves_shuffle_weights_alone(spark, no_automatic_broadcast):
+    long = long_of(spark, a=range(300), b=range(30))
+    plan = density.density(long, grid=40)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1 and plan.count("SortMergeJoin") == 1  # of the values; of the grid's weights
+
+
 def test_only_values_of_light_groups_are_shuffled_by_other_columns(spark, no_automatic_broadcast):
     df = spark.createDataFrame([(g, float(x)) for g, n in (("heavy", 300), ("light", 30), (None, 40)) for x in range(n)], "g string, value double").repartition(3)
     frame = df.groupBy("g").agg(F.count("*").alias("n"), F.max("value").alias("hi"))
