@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.columns import nan_to_null
-from ..functions.moments import exact_quantiles
-from .longform import to_long
+from ..functions.moments import QUARTILES, exact_quantiles
+from .longform import known_bytes, to_long
+from .profile import IN_MEMORY
+from .selection import radix_quantiles
 
 
 def frequency(df: DataFrame, label: str) -> DataFrame:
@@ -42,29 +44,50 @@ def group_diff_pct(means: DataFrame, a: str, b: str, places: int = 3) -> DataFra
     return rounded.withColumn("diff_pct", C.relative_diff_pct(F.col(a), F.col(b)))
 
 
-def label_sets(df: DataFrame, features: Iterable[str], labels: Iterable[str], quartiles: bool = True) -> DataFrame:
-    """What each feature is over all rows and by each of several labels: grouping sets, one scan and one shuffle.
+def _quartiles_of_sets(plain: DataFrame, features: int, sets: dict[int, str | None]) -> DataFrame:
+    """For each group of each set, by set, its labels and the feature's position, q: the exact quartiles by radix selection.
+
+    Values are counted by all labels together first; the sets take these counts.
+    """
+    labels = [label for label in sets.values() if label is not None]
+    long = plain.select(*labels, F.posexplode(F.array(*(F.col(f"value{k}") for k in range(features)))).alias("pos", "value")).filter(F.col("value").isNotNull())
+    counts = long.groupBy(*labels, "pos", "value").agg(F.count("*").alias("times"))
+    kept = lambda c, own: F.col(c) if c == own else F.lit(None).cast(plain.schema[c].dataType)
+    groups = F.array(*(F.struct(F.lit(n).cast("long").alias("set"), *(kept(c, own).alias(c) for c in labels)) for n, own in sets.items()))
+    return radix_quantiles(counts.select("pos", "value", "times", F.inline(groups)), QUARTILES, ["set", *labels, "pos"], "times")
+
+
+def label_sets(df: DataFrame, features: Iterable[str], labels: Iterable[str], quartiles: bool = True, in_memory: int = IN_MEMORY) -> DataFrame:
+    """What each feature is over all rows and by each of several labels, as grouping sets.
 
     label_set (``all`` or the label's column), label, variable, n_rows, n_valid, mean, std, min and max, and with ``quartiles``
-    q1, median and q3 (exact: a task holds the distinct values of a feature in a group). Rows without a label are a group of their own,
+    q1, median and q3, exact: of small inputs in the same scan and shuffle, where one task holds the distinct values of all features;
+    of larger ones by radix selection, with the same results. Rows without a label are a group of their own,
     whose label is null; that of ``all`` is null too, and label_set tells them apart.
     """
     features, labels = list(features), list(labels)
-    plain = df.select(*labels, *(nan_to_null(F.col(c).cast("double")).alias(f"value{k}") for k, c in enumerate(features)))
+    own_names = [f"label{k}" for k in range(len(labels))]
+    plain = df.select(*(F.col(c).alias(o) for c, o in zip(labels, own_names)), *(nan_to_null(F.col(c).cast("double")).alias(f"value{k}") for k, c in enumerate(features)))
+    by_radix = quartiles and known_bytes(plain) * len(features) > in_memory
 
     def measured(k: int, name: str) -> Column:
         value = F.col(f"value{k}")
         parts = [F.lit(name).alias("variable"), F.count(value).alias("n_valid"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")]
-        if quartiles:
+        if quartiles and not by_radix:
             q = exact_quantiles(f"value{k}")
-            parts += [F.get(q, F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))]
+            parts += [nan_to_null(F.get(q, F.lit(i))).alias(n) for i, n in enumerate(("q1", "median", "q3"))]
         return F.struct(*parts)
 
-    sets = [[], *([F.col(c)] for c in labels)]
-    made = plain.groupingSets(sets, *labels).agg(F.grouping_id().alias("set"), F.count("*").alias("n_rows"), F.array(*(measured(k, c) for k, c in enumerate(features))).alias("parts"))
     # a label's bit is 0 in its own set, the first label's bit the highest
-    own = lambda k: F.col("set") == (1 << len(labels)) - 1 - (1 << (len(labels) - 1 - k))
+    whole = (1 << len(labels)) - 1
+    sets = {whole: None} | {whole - (1 << (len(labels) - 1 - k)): o for k, o in enumerate(own_names)}
+    made = plain.groupingSets([[F.col(o)] if o else [] for o in sets.values()], *own_names).agg(F.grouping_id().alias("set"), F.count("*").alias("n_rows"), F.array(*(measured(k, c) for k, c in enumerate(features))).alias("parts"))
     name, label = F.lit("all"), F.lit(None).cast("string")
-    for k, c in enumerate(labels):
-        name, label = F.when(own(k), F.lit(c)).otherwise(name), F.when(own(k), F.col(c).cast("string")).otherwise(label)
-    return made.select(name.alias("label_set"), label.alias("label"), "n_rows", F.inline("parts"))
+    for c, (n, own) in zip(labels, list(sets.items())[1:]):
+        name, label = F.when(F.col("set") == n, F.lit(c)).otherwise(name), F.when(F.col("set") == n, F.col(own).cast("string")).otherwise(label)
+    if not by_radix:
+        return made.select(name.alias("label_set"), label.alias("label"), "n_rows", F.inline("parts"))
+    rows = made.select("set", *own_names, name.alias("label_set"), label.alias("label"), "n_rows", F.posexplode("parts").alias("pos", "part")).alias("m")
+    q = _quartiles_of_sets(plain, len(features), sets).alias("q")
+    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"q.{c}")) for c in ("set", *own_names, "pos")]
+    return rows.join(q, same, "left").select("label_set", "label", "n_rows", "part.*", *(F.get("q.q", F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))))

@@ -11,6 +11,8 @@ from ..functions.columns import nan_to_null
 
 #: Values from which a group is heavy.
 HEAVY = 1_000_000
+#: Bytes from which an estimate of the optimizer is a guess: of data of unknown size it takes 8 EiB.
+GUESSED = 1 << 50
 
 
 def to_long(df: DataFrame, columns: Iterable[str], keep: Iterable[str] = ()) -> DataFrame:
@@ -42,3 +44,9 @@ def position(columns: Iterable[str], variable: str | Column = "variable") -> Col
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the size of ``df``, without running a job."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def known_bytes(df: DataFrame) -> int:
+    """``estimated_bytes``, but where that is no more than a guess (of an RDD, say) 8 bytes a cell, for which the rows are counted."""
+    estimate = estimated_bytes(df)
+    return estimate if estimate < GUESSED else 8 * len(df.columns) * df.count()

@@ -47,17 +47,19 @@ def _narrowed(df: DataFrame) -> DataFrame:
     return chosen.select("grp", "n", F.inline(F.transform(keys, lambda k: F.struct(F.coalesce(k, F.lit(0)).alias("prefix"), below(k).alias("targets")))))
 
 
-def radix_quantiles(long: DataFrame, probabilities: Iterable[float], by: Iterable[str]) -> DataFrame:
+def radix_quantiles(long: DataFrame, probabilities: Iterable[float], by: Iterable[str], times: str | None = None) -> DataFrame:
     """The columns ``by`` and q: an array with the linearly interpolated quantile of ``value`` for each probability.
 
     Nulls and NaN are left out, groups of them alone too. Infinities are values; between opposite ones a quantile is null.
+    A row's value counts as often as its column ``times`` tells, if one is named.
     """
     probabilities, by = list(probabilities), list(by)
     # one key for the group, which is never null, though its parts may be: joins and counts on it share their partitioning
     group = F.struct(*(F.col(c).alias(f"by{k}") for k, c in enumerate(by))) if by else F.struct(F.lit(0).alias("by0"))
-    plain = long.select(group.alias("grp"), F.col("value").cast("double").alias("value")).filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    weight = F.col(times).cast("long") if times else F.lit(1).cast("long")
+    plain = long.select(group.alias("grp"), F.col("value").cast("double").alias("value"), weight.alias("times")).filter(F.col("value").isNotNull() & ~F.isnan("value"))
     values = with_bits(plain, "value", "bits")
-    counts = [values.groupBy("grp", F.coalesce("bits", F.lit(0)).alias("key")).agg(F.count("*").alias("cnt"))]
+    counts = [values.groupBy("grp", F.coalesce("bits", F.lit(0)).alias("key")).agg(F.sum("times").alias("cnt"))]
     for _ in range(LEVELS - 1):  # from all bits to the top ones
         counts.append(counts[-1].groupBy("grp", F.shiftright("key", DIGIT).alias("key")).agg(F.sum("cnt").alias("cnt")))
 

@@ -239,6 +239,21 @@ def test_label_sets(spark):
     assert plan.count("Exchange") == 1
 
 
+def test_label_sets_of_large_inputs_hold_no_group_in_a_task(spark):
+    df = spark.range(20_000_000).select(F.col("id").cast("double").alias("v"), (F.col("id") % 3).cast("string").alias("g"))
+    plan = lambda d: groups.label_sets(d, ["v"], ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in plan(df) and "percentile(" in plan(df.sparkSession.range(9).select(F.col("id").cast("double").alias("v"), F.lit("a").alias("g")))
+
+
+def test_label_sets_by_radix_are_those_in_memory(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["m", "f", None]), rng.choice([1, 2, None]), rng.choice([None, NAN, -0.0, 1.5, rng.random()]), float(rng.randrange(9))) for _ in range(500)]
+    df = spark.createDataFrame([*rows, ("odd", 7, INF, None), ("odd", 7, -INF, None)], "g string, k int, v double, w double").repartition(3)
+    told = lambda r: repr([x + 0.0 if isinstance(x, float) else x for x in r])  # noqa: E731  both zeros alike
+    found = [sorted(map(told, groups.label_sets(df, ["v", "w"], ["g", "k"], in_memory=m).collect())) for m in (1 << 30, 0)]
+    assert [(a, b) for a, b in zip(*found) if a != b] == [] and len(found[0]) == len(found[1]) == 2 * (1 + 4 + 4)
+
+
 @pytest.mark.parametrize("p", [5, 130])
 def test_results_from_patterns_equal_those_from_rows(spark, p):
     random.seed(p)
