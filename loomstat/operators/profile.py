@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import moments as M
-from .longform import estimated_bytes
+from .longform import estimated_bytes, with_rows
 from .selection import radix_quantiles
 
 #: Input bytes (as the optimizer estimates) up to which quantiles come from one map of values for each group.
@@ -105,8 +105,9 @@ def _boxed(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """The values of each group with its quartiles."""
     long = df.select(*by, C.nan_to_null(F.col(value).cast("double")).alias("value"))
     q = quantiles(long, by=by).select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-    # one row for each group: joined as the optimizer sees fit, or broadcast alone when ungrouped
-    return long.join(q, by) if by else long.crossJoin(F.broadcast(q))
+    if not by:
+        return long.crossJoin(F.broadcast(q))  # one row
+    return with_rows(long, q.join(long.groupBy(*by).agg(F.count("*").alias("n")), by), by)
 
 
 def box_stats(df: DataFrame, value: str, by: Iterable[str] = (), fence: float = 1.5) -> DataFrame:

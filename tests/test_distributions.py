@@ -214,6 +214,14 @@ def test_only_values_of_light_groups_are_shuffled_by_other_columns(spark, no_aut
     assert sorted(met.select("g", "value", "n", "hi").collect()) == sorted(df.join(frame, "g").select("g", "value", "n", "hi").collect())
 
 
+def test_values_of_boxes_stay_in_their_tasks(spark, no_automatic_broadcast, monkeypatch):
+    monkeypatch.setattr(with_rows, "__defaults__", (100,))  # heavy from 100 on
+    df = spark.createDataFrame([(g, float(x)) for g, n in (("heavy", 300), ("light", 30)) for x in [*range(n - 1), 9999]], "g string, v double").repartition(3)
+    assert spread(profile._boxed(df, "v", ["g"]), "g") == {"heavy": 3, "light": 1}
+    boxes = {r["g"]: (r["n_valid"], r["whisker_high"], r["n_fliers"]) for r in profile.box_stats(df, "v", ["g"]).collect()}
+    assert boxes == {"heavy": (300, 298.0, 1), "light": (30, 28.0, 1)}
+
+
 def test_fliers_are_those_that_boxes_count(spark):
     rng = np.random.default_rng(7)
     rows = [(g, float(x)) for g in ("a", "b", None) for x in np.round(rng.standard_cauchy(300), 1)] + [("a", NAN), ("a", None), ("c", 1.0)]
